@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
-from .common import table
+from . import hmm, minhash, tokens
+from .common import shared_dir, table
+
+
+def op3_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and hidden Markov log10 probabilities of all documents."""
+    return hmm.hmm_scores(table(spark, sf_dir, "documents"))
 
 
 def op5_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +18,21 @@ def op5_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
-QUERIES = {"op5_minmax_dedup": op5_minmax_dedup}
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents in order of ids, as read back from the files."""
+    import public_tokenizers
+
+    folder = shared_dir(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    manifest = tokens.write_tokens(table(spark, sf_dir, "documents"), folder, path, 0, parts)
+    return tokens.read_digests(spark, folder, manifest)
+
+
+QUERIES = {
+    "op3_hmm_scores": op3_hmm_scores,
+    "op5_minmax_dedup": op5_minmax_dedup,
+    "op6_token_files": op6_token_files,
+}
 
 ORACLE_SQL: dict[str, str] = {}
