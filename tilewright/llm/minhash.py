@@ -30,6 +30,9 @@ BANDS, ROWS = 32, 5
 PERMUTATIONS = BANDS * ROWS // 2
 SKETCH_BITS = 128
 MOST_BITS_APART = 36
+SEGMENTS = 128
+#: What bounds from 32-bit hashes may miss, as two shingles of a document may share one.
+SLACK = 4
 
 _RNG = np.random.RandomState(20240229)
 _MUL = _RNG.randint(0, 2**32, PERMUTATIONS, dtype=np.uint32) | np.uint32(1)
@@ -38,10 +41,10 @@ _ODD = _RNG.randint(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class _WordHashes(dict):
-    """Word to 64-bit hash, emptied when it holds a million words."""
+    """Word to 64-bit hash, emptied when it holds 200,000 words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -57,16 +60,27 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def hashed_words(words: list[list[bytes]]) -> np.ndarray:
+    """64-bit hashes of the words of many texts, one after the other."""
+    return np.fromiter((_HASHES[w] for ws in words for w in ws), np.uint64, sum(map(len, words)))
+
+
+def window_hashes(flat: np.ndarray, k: int) -> np.ndarray:
+    """64-bit hashes of all runs of k hashed words."""
+    n = len(flat) - k + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    run = flat[:n] * _ODD[0]
+    for j in range(1, k):
+        run += flat[j : n + j] * _ODD[j]
+    return _mixed(run)
+
+
 def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     """The sorted distinct 64-bit hashes of each text's k-word shingles; fewer words make one shingle, none make none."""
     words = [lower_words_of(t) for t in texts]
     sizes = [len(w) for w in words]
-    flat = np.fromiter((_HASHES[w] for ws in words for w in ws), np.uint64, sum(sizes))
-    if len(flat) >= k:
-        run = flat[: len(flat) - k + 1] * _ODD[0]
-        for j in range(1, k):
-            run += flat[j : len(flat) - k + 1 + j] * _ODD[j]
-        run = _mixed(run)
+    run = window_hashes(hashed_words(words), k)
     out, at = [], 0
     for ws, n in zip(words, sizes, strict=True):
         if n >= k:
@@ -116,7 +130,7 @@ _SIGNED = "_id long, n_shingles long, set_key binary, keys array<long>, s0 long,
 
 def _sign(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text", 4_000_000):
+        for batch in slices(batches, "_text", 2_000_000):
             sets = shingle_sets(batch.column("_text").to_pylist(), k)
             full = [i for i, s in enumerate(sets) if len(s)]
             keys: list = [None] * len(sets)
@@ -147,7 +161,7 @@ def _sets(k: int, wide: bool):
     kind = np.int64 if wide else np.int32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text", 4_000_000):
+        for batch in slices(batches, "_text", 2_000_000):
             sets = shingle_sets(batch.column("_text").to_pylist(), k)
             if not wide:
                 sets = [np.unique((s >> np.uint64(32)).astype(np.uint32)) for s in sets]
@@ -192,6 +206,8 @@ def _confirmed(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, perce
     rough = cut(_scored(pairs, sets).withColumn("gap", gap))
     sure = rough.where(F.col("gap") > 4 * (100 + percent))
     near = rough.where(F.abs("gap") <= 4 * (100 + percent))
+    if near.isEmpty():
+        return sure.select("a", "b")
     exact = _scored(near, _sets_of(docs, cut(_ids(near)), k, True)).where(gap >= 0)
     return cut(sure.select("a", "b").union(exact.select("a", "b")))
 
@@ -271,11 +287,10 @@ def near_duplicates(
     comps = cut(components(links))
     rest = cut(_labelled(pairs, comps).join(best, ["a", "b"], "left_anti").select("a", "b"))
     more = _confirmed(docs, sets, rest, k, percent)
-    links = cut(links.union(more))
     comps = cut(_merged(comps, more))
 
     done = best.union(rest)
-    left = cut(_across(shared, marks, comps, percent).join(done, ["a", "b"], "left_anti"))
+    left = cut(_across(shared, marks, sets, comps, percent).join(done, ["a", "b"], "left_anti"))
     more = _confirmed(docs, sets, left, k, percent)
     comps = cut(_merged(comps, more))
 
@@ -291,6 +306,8 @@ def near_duplicates(
 
 def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
     """Components after more links: the links between old components are solved on their own, then carried over."""
+    if links.isEmpty():
+        return comps
     over = cut(components(_labelled(links, comps).select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
     lifted = comps.select(F.col("node"), F.col("comp").alias("old")).join(
         over.select(F.col("node").alias("old"), F.col("comp").alias("new")), "old", "left"
@@ -300,10 +317,45 @@ def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
     return lifted.union(alone.select("node", "comp"))
 
 
-def _across(shared: DataFrame, marks: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+def _segments(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per document the number of its not lone shingles in each of SEGMENTS parts of the hash range."""
+    for batch in rows:
+        found = []
+        for members, lone in zip(batch.column("members"), batch.column("lone"), strict=True):
+            held = members.values.to_numpy()
+            if lone.is_valid:
+                held = np.setdiff1d(held, lone.values.to_numpy(), assume_unique=True)
+            found.append(np.bincount(held.view(np.uint32) % SEGMENTS, minlength=SEGMENTS).astype(np.int32))
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("_id"), pa.array([x.sum() for x in found], pa.int64()),
+                pa.array(found, pa.list_(pa.int32())),
+            ],
+            names=["_id", "most", "seg"],
+        )
+
+
+def _bounds(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """(_id, most, seg): shingles that some other of these documents has too, in all and by segment.
+
+    A shingle that only one of them has is in no intersection, and two sets share at most
+    sum(least(seg of a, seg of b)) shingles.
+    """
+    held = sets.join(ids, "_id", "left_semi")
+    once = held.select("_id", F.explode("members").alias("m")).groupBy("m")
+    once = once.agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("of")).where("n = 1")
+    lone = once.groupBy("of").agg(F.collect_list("m").alias("lone"))  # at most a document's own shingles
+    return held.join(lone, F.col("_id") == F.col("of"), "left").select("_id", "members", "lone").mapInArrow(
+        _segments, "_id long, most long, seg array<int>"
+    )
+
+
+def _across(shared: DataFrame, marks: DataFrame, sets: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of one bucket that are in different components.
 
     Such a pair has at least one row outside the bucket's largest component; those rows meet all others.
+    The bounds on intersections (see ``_bounds``) keep documents that are near a large group, but link
+    with none of it, from being compared with all of it. They are exact: no link fails them.
     """
     named = shared.select("_id", "key").join(
         comps.select(F.col("node").alias("_id"), "comp"), "_id", "left"
@@ -314,19 +366,22 @@ def _across(shared: DataFrame, marks: DataFrame, comps: DataFrame, percent: int)
         groups.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("n", "comp")).alias("top"))
         .where("c > 1").select("key", F.col("top.comp").alias("main"))
     )
-    open_rows = cut(
-        named.join(mixed, "key").join(marks.select("_id", "n_shingles", "s0", "s1"), "_id")
-        .select("key", "_id", "comp", "main", "n_shingles", "s0", "s1")
-    )
+    open_keys = cut(named.join(mixed, "key").select("key", "_id", "comp", "main"))
+    bounds = _bounds(sets, open_keys.select("_id").distinct())
+    of_doc = marks.select("_id", "n_shingles", "s0", "s1").join(bounds, "_id")
+    of_doc = cut(of_doc.where((F.col("most") + SLACK) * 100 >= F.col("n_shingles") * percent))
+    open_rows = cut(open_keys.join(of_doc, "_id"))
     few = open_rows.where("comp != main").select(
         "key", F.col("_id").alias("a"), F.col("comp").alias("ca"), F.col("n_shingles").alias("na"),
-        F.col("s0").alias("s0a"), F.col("s1").alias("s1a"),
+        F.col("seg").alias("sa"), F.col("s0").alias("s0a"), F.col("s1").alias("s1a"),
     )
     all_rows = open_rows.select(
         F.col("key").alias("key_b"), F.col("_id").alias("b"), F.col("comp").alias("cb"), F.col("main").alias("mb"),
-        F.col("n_shingles").alias("nb"), F.col("s0").alias("s0b"), F.col("s1").alias("s1b"),
+        F.col("n_shingles").alias("nb"), F.col("seg").alias("sb"), F.col("s0").alias("s0b"), F.col("s1").alias("s1b"),
     )
     on = (F.col("key") == F.col("key_b")) & (F.col("ca") != F.col("cb")) & _may_link(percent)
+    both = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.least(x, y)), F.lit(SLACK), lambda x, y: x + y)
+    on = on & (both * 100 >= (F.col("na") + F.col("nb") - both) * percent)
     on = on & ((F.col("cb") == F.col("mb")) | (F.col("a") < F.col("b")))
     found = few.join(all_rows, on)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
