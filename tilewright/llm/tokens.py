@@ -9,6 +9,7 @@ their lengths, so that any document's place in the whole sequence is base + offs
 
 from __future__ import annotations
 
+import gc
 import json
 import mmap
 import os
@@ -40,11 +41,12 @@ def _local(path: str) -> str | None:
 
 
 class _Encoder:
-    """Encodes texts by the tokenizers library, each distinct piece once.
+    """Encodes texts by the tokenizers library, each distinct word once.
 
-    The byte-level pattern always cuts before a single space or at a single line break between two
-    non-space characters, so a text with no other white space is encoded word by word, and a worker
-    remembers the ids of words it has met (emptied at two million). Other texts are encoded whole.
+    The byte-level pattern always cuts before a single space, and around a single line break, between two
+    non-space characters. So a text is encoded word by word (its space with the word), and a worker
+    remembers the ids of words it has met (emptied at two million). A text with other white space beside
+    a space or line break, or at its ends, is encoded whole.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -54,27 +56,30 @@ class _Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = np.array([end_id], self.dtype).tobytes()
-        self.line = self._bytes(self.tokenizer.encode("\n", add_special_tokens=False).ids)
-        self.spaced: dict[str, bytes] = {}
-        self.plain: dict[str, bytes] = {}
+        self.line = self._whole("\n")
+        #: Word to ids as bytes, or None where the word shows that its text must be encoded whole.
+        self.spaced: dict[str, bytes | None] = {}
+        self.plain: dict[str, bytes | None] = {}
 
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _learn(self, cache: dict[str, bytes], words: set[str], prefix: str) -> None:
+    def _learn(self, cache: dict[str, bytes | None], words: set[str], prefix: str) -> None:
         """Encodes many new words in one call, parted by line breaks, which are tokens of their own there."""
-        words = [w for w in words if w not in cache]
         if len(cache) + len(words) > 2_000_000:
             cache.clear()
+        words = list(words.difference(cache))
+        for word in [w for w in words if not w or w[0].isspace() or w[-1].isspace()]:
+            cache[word] = None
+            words.remove(word)
         line = int(np.frombuffer(self.line, self.dtype)[0])
         for at in range(0, len(words), 2000):
             some = words[at : at + 2000]
-            ids = np.array(
-                self.tokenizer.encode("\n".join(prefix + w for w in some), add_special_tokens=False).ids, self.dtype
-            )
+            text = prefix + f"\n{prefix}".join(some)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
             cuts = np.flatnonzero(ids == line)
             if len(cuts) != len(some) - 1:  # a word with the break's id in it
-                cache.update((w, self._bytes(self.tokenizer.encode(prefix + w, add_special_tokens=False).ids)) for w in some)
+                cache.update((w, self._whole(prefix + w)) for w in some)
                 continue
             starts, ends = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
             raw, size = ids.tobytes(), self.dtype.itemsize
@@ -82,32 +87,25 @@ class _Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text with the end id, as bytes of the file's type."""
-        split: list[list[list[str]] | None] = []
-        first: set[str] = set()
+        gc.disable()  # many short-lived lists, no cycles
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
+        split = [[line.split(" ") for line in (text or "").split("\n")] for text in texts]
+        self._learn(self.plain, {words[0] for lines in split for words in lines}, "")
         later: set[str] = set()
-        for text in texts:
-            text = text or ""
-            if text and len(text.split()) == text.count(" ") + text.count("\n") + 1:
-                lines = [line.split(" ") for line in text.split("\n")]
-                split.append(lines)
-                for words in lines:
-                    first.add(words[0])
-                    later.update(words[1:])
-            else:
-                split.append(None)
-        if len(self.plain) + len(first) > 2_000_000:
-            self.plain.clear()
-        if len(self.spaced) + len(later) > 2_000_000:
-            self.spaced.clear()
-        self._learn(self.plain, first, "")
+        for lines in split:
+            later.update(*[words[1:] for words in lines])
         self._learn(self.spaced, later, " ")
         plain, spaced, out = self.plain, self.spaced.__getitem__, []
         for text, lines in zip(texts, split, strict=True):
-            if lines is None:
-                ids = self.tokenizer.encode(text or "", add_special_tokens=False).ids
-                out.append(self._bytes(ids) + self.end)
-            else:
-                out.append(self.line.join(plain[w[0]] + b"".join(map(spaced, w[1:])) for w in lines) + self.end)
+            try:
+                out.append(self.line.join([plain[w[0]] + b"".join(map(spaced, w[1:])) for w in lines]) + self.end)
+            except TypeError:  # a None among the words
+                out.append(self._whole(text or "") + self.end)
         return out
 
 
