@@ -259,6 +259,18 @@ def _sums(counts: DataFrame, keys: list[str], width: int) -> list:
     return counts.groupBy(*keys).agg(*parts).collect()
 
 
+def _most_frequent(words: DataFrame, most: int) -> list:
+    """At most so many words, by falling counts: all words above a count that a histogram of counts gives."""
+    grade = F.floor(F.log2("c") * 16).cast("int")
+    kept, least = 0, None
+    for r in words.groupBy(grade.alias("g")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("g")).collect():
+        if kept + r["n"] > most:
+            break
+        kept, least = kept + r["n"], r["g"]
+    found = [] if least is None else words.where(grade >= least).collect()
+    return sorted(found, key=lambda r: (-r["c"], bytes(r["word"])))
+
+
 def _first_model(table: np.ndarray, totals: np.ndarray, states: int) -> Model:
     """States from word clusters, each word's share of a state falling with its distance from the state's centre."""
     seen = np.maximum(np.diag(table), 1e-9)
@@ -324,7 +336,7 @@ def hmm_scores(
     train = rows.where("not held_out")
     ends = train.select("_id").count()
     words = cut(train.select("_text").mapInArrow(_count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")))
-    top = words.orderBy(F.desc("c"), "word").limit(SENT).collect()
+    top = _most_frequent(words, SENT)
     sent = spark.sparkContext.broadcast([(bytes(r["word"]), r["c"]) for r in top])
     own = sum(r["c"] for r in top[:OWN])
     n_all, v_words = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
