@@ -5,20 +5,49 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tilewright.llm import minhash
-from tilewright.llm.common import shared_dir, table
+from tilewright.llm import minhash, mixing, packing, quality, rules
+from tilewright.llm.common import n_words, shared_dir, table
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier predicts to be bad go."""
+    ranker = quality.train(docs, table(spark, sf_dir, "labels"))
+    return docs.where(quality.score_column(F.col("text"), ranker) >= quality.CUT)
+
+
+def check_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return rules.passing(docs, table(spark, sf_dir, "labels"))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: five-word shingles, similarity 0.8."""
-    found = minhash.near_duplicates(docs, k=5, percent=80).where("kept").select("doc_id")
-    return docs.join(found.distinct(), "doc_id", "left_semi")
+    gone = minhash.near_duplicates(docs, k=5, percent=80).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.mixed_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 2,048 words; the copies that the mix made of a document are in different ones."""
+    items = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    return packing.best_fit(items, "doc_id", "size", "source", "doc_id")
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("near_dedup", dedup)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", classify),
+    ("quality_rules", check_rules),
+    ("near_dedup", dedup),
+    ("mix_sources", mix_sources),
+    ("best_fit_packing", pack),
+]
 
-#: Trained models and the near-duplicate stage are beyond SQL.
+#: Trained models, near duplicates and packing are beyond SQL.
 ORACLE_SQL: str | None = None
 
 
