@@ -9,7 +9,7 @@ Equal sets are first merged into classes, so copies never meet in a bucket. In a
 compared with two pivots (its least id and one drawn by hash), which is linear in the bucket, however
 large. What these links leave in different components is then enumerated: rows outside a bucket's
 largest component against the others. Candidates pass a size test and a 128-bit sketch test (a pair of
-similarity 0.8 fails it with probability below 1e-10), and are confirmed on their full shingle sets.
+similarity 0.8 fails it with a probability of about 4e-6), and are confirmed on their full shingle sets.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from .components import components
 BANDS, ROWS = 32, 5
 PERMUTATIONS = BANDS * ROWS // 2
 SKETCH_BITS = 128
-MOST_BITS_APART = 36
+MOST_BITS_APART = 28
 SEGMENTS = 128
 #: What bounds from 32-bit hashes may miss, as two shingles of a document may share one.
 SLACK = 4
@@ -366,22 +366,29 @@ def _across(shared: DataFrame, marks: DataFrame, sets: DataFrame, comps: DataFra
         groups.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("n", "comp")).alias("top"))
         .where("c > 1").select("key", F.col("top.comp").alias("main"))
     )
+    def enough(both: Column) -> Column:
+        return both * 100 >= (F.col("na") + F.col("nb") - both) * percent
+
     open_keys = cut(named.join(mixed, "key").select("key", "_id", "comp", "main"))
     bounds = _bounds(sets, open_keys.select("_id").distinct())
-    of_doc = marks.select("_id", "n_shingles", "s0", "s1").join(bounds, "_id")
+    of_doc = marks.join(bounds, "_id")
     of_doc = cut(of_doc.where((F.col("most") + SLACK) * 100 >= F.col("n_shingles") * percent))
-    open_rows = cut(open_keys.join(of_doc, "_id"))
+    open_rows = cut(open_keys.join(of_doc.drop("seg"), "_id"))
     few = open_rows.where("comp != main").select(
         "key", F.col("_id").alias("a"), F.col("comp").alias("ca"), F.col("n_shingles").alias("na"),
-        F.col("seg").alias("sa"), F.col("s0").alias("s0a"), F.col("s1").alias("s1a"),
+        F.col("most").alias("ia"), F.col("keys").alias("ka"), F.col("s0").alias("s0a"), F.col("s1").alias("s1a"),
     )
     all_rows = open_rows.select(
         F.col("key").alias("key_b"), F.col("_id").alias("b"), F.col("comp").alias("cb"), F.col("main").alias("mb"),
-        F.col("n_shingles").alias("nb"), F.col("seg").alias("sb"), F.col("s0").alias("s0b"), F.col("s1").alias("s1b"),
+        F.col("n_shingles").alias("nb"), F.col("most").alias("ib"), F.col("keys").alias("kb"), F.col("s0").alias("s0b"), F.col("s1").alias("s1b"),
     )
     on = (F.col("key") == F.col("key_b")) & (F.col("ca") != F.col("cb")) & _may_link(percent)
-    both = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.least(x, y)), F.lit(SLACK), lambda x, y: x + y)
-    on = on & (both * 100 >= (F.col("na") + F.col("nb") - both) * percent)
+    on = on & enough(F.least("ia", "ib") + SLACK)
     on = on & ((F.col("cb") == F.col("mb")) | (F.col("a") < F.col("b")))
-    found = few.join(all_rows, on)
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    on = on & (F.array_min(F.array_intersect("ka", "kb")) == F.col("key"))  # once for each pair of documents
+    found = few.join(all_rows, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "na", "nb").distinct()
+    seg = of_doc.select("_id", "seg")
+    found = found.join(seg.select(F.col("_id").alias("a"), F.col("seg").alias("sa")), "a")
+    found = found.join(seg.select(F.col("_id").alias("b"), F.col("seg").alias("sb")), "b")
+    both = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.least(x, y)), F.lit(SLACK), lambda x, y: x + y)
+    return found.where(enough(both)).select("a", "b")
