@@ -373,22 +373,19 @@ def _across(shared: DataFrame, marks: DataFrame, sets: DataFrame, comps: DataFra
     bounds = _bounds(sets, open_keys.select("_id").distinct())
     of_doc = marks.join(bounds, "_id")
     of_doc = cut(of_doc.where((F.col("most") + SLACK) * 100 >= F.col("n_shingles") * percent))
-    open_rows = cut(open_keys.join(of_doc.drop("seg"), "_id"))
+    open_rows = cut(open_keys.join(of_doc, "_id"))
     few = open_rows.where("comp != main").select(
         "key", F.col("_id").alias("a"), F.col("comp").alias("ca"), F.col("n_shingles").alias("na"),
-        F.col("most").alias("ia"), F.col("keys").alias("ka"), F.col("s0").alias("s0a"), F.col("s1").alias("s1a"),
+        F.col("most").alias("ia"), F.col("keys").alias("ka"), F.col("seg").alias("sa"), F.col("s0").alias("s0a"), F.col("s1").alias("s1a"),
     )
     all_rows = open_rows.select(
         F.col("key").alias("key_b"), F.col("_id").alias("b"), F.col("comp").alias("cb"), F.col("main").alias("mb"),
-        F.col("n_shingles").alias("nb"), F.col("most").alias("ib"), F.col("keys").alias("kb"), F.col("s0").alias("s0b"), F.col("s1").alias("s1b"),
+        F.col("n_shingles").alias("nb"), F.col("most").alias("ib"), F.col("keys").alias("kb"), F.col("seg").alias("sb"), F.col("s0").alias("s0b"), F.col("s1").alias("s1b"),
     )
     on = (F.col("key") == F.col("key_b")) & (F.col("ca") != F.col("cb")) & _may_link(percent)
     on = on & enough(F.least("ia", "ib") + SLACK)
     on = on & ((F.col("cb") == F.col("mb")) | (F.col("a") < F.col("b")))
     on = on & (F.array_min(F.array_intersect("ka", "kb")) == F.col("key"))  # once for each pair of documents
-    found = few.join(all_rows, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "na", "nb").distinct()
-    seg = of_doc.select("_id", "seg")
-    found = found.join(seg.select(F.col("_id").alias("a"), F.col("seg").alias("sa")), "a")
-    found = found.join(seg.select(F.col("_id").alias("b"), F.col("seg").alias("sb")), "b")
     both = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.least(x, y)), F.lit(SLACK), lambda x, y: x + y)
-    return found.where(enough(both)).select("a", "b")
+    found = few.join(all_rows, on & enough(both))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
