@@ -1,6 +1,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from tilewright.plans import matching  # noqa: F401
 from tilewright.plans.queries import ORACLE_SQL, QUERIES
 
 

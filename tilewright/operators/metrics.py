@@ -34,3 +34,22 @@ def was_corrected(auto: Column, confirmed: Column) -> Column:
 def ships(candidate: Column, incumbent: Column, tolerance: float = 0.005) -> Column:
     """The gate: the candidate may be worse by the tolerance at most."""
     return candidate - incumbent >= -tolerance
+
+
+def worst_classes(incumbent: DataFrame, candidate: DataFrame, label: str, drop: float = 0.05) -> DataFrame:
+    """(label, was, now) of the classes whose accuracy falls by more than ``drop``, the largest fall first.
+
+    Both tables are those of ``per_class``; a class that one of them lacks counts as 0 there.
+    """
+    def share(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select(label, (F.col("correct") / F.col("total")).alias(name))
+
+    both = share(incumbent, "was").join(share(candidate, "now"), label, "full").na.fill(0.0, ["was", "now"])
+    return both.where(F.col("now") < F.col("was") - drop).orderBy(F.desc(F.col("was") - F.col("now")), label)
+
+
+def group_errors(rows: DataFrame, keys: list[str], truth: str, pred: str, lacking: int = 999) -> DataFrame:
+    """(keys, ok, bad, error): right and wrong rows, and the mean distance of the wrong ones; nothing read is ``lacking`` off."""
+    wrong = ~F.col(truth).eqNullSafe(F.col(pred))
+    off = F.when(wrong, F.coalesce(F.abs(F.col(truth) - F.col(pred)), F.lit(lacking)))
+    return rows.groupBy(*keys).agg(F.count_if(~wrong).alias("ok"), F.count_if(wrong).alias("bad"), F.avg(off).alias("error"))

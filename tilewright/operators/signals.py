@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,8 +17,7 @@ def dip(v: Column, keys: list[str], pos: str) -> Column:
     """Mean of the eight values two to five places off minus the value itself; 0 within five places of an end."""
     order = Window.partitionBy(*keys).orderBy(pos)
     before, after = order.rowsBetween(-5, -2), order.rowsBetween(2, 5)
-    from_end = F.count(v).over(order.rowsBetween(0, Window.unboundedFollowing))
-    inside = (F.row_number().over(order) > 5) & (from_end > 5)
+    inside = F.lag(F.lit(1), 5).over(order).isNotNull() & F.lead(F.lit(1), 5).over(order).isNotNull()
     return F.when(inside, (F.sum(v).over(before) + F.sum(v).over(after)) / 8.0 - v).otherwise(F.lit(0.0))
 
 
@@ -28,6 +27,21 @@ def is_peak(v: Column, keys: list[str], pos: str) -> Column:
     return F.coalesce((v > F.lag(v).over(order)) & (v > F.lead(v).over(order)), F.lit(False))
 
 
+def spaced_peaks(rows: DataFrame, keys: list[str], pos: str, score: str, apart: int, most: int = 3) -> DataFrame:
+    """The rows of the best scores that are at least ``apart`` from all better ones kept, ``most`` for each key.
+
+    Ties go to the lower position; positions must be distinct. One shuffle: each round is a maximum over the key.
+    """
+    whole = Window.partitionBy(*keys)
+    free, kept = F.col(score).isNotNull(), F.lit(False)
+    for i in range(most):
+        top = F.max(F.when(free, F.struct(F.col(score).alias("s"), (-F.col(pos)).alias("p")))).over(whole)
+        rows = rows.withColumn(f"_top{i}", -top["p"])
+        kept = kept | F.col(pos).eqNullSafe(F.col(f"_top{i}"))
+        free = free & (F.abs(F.col(pos) - F.col(f"_top{i}")) >= apart)
+    return rows.where(kept).drop(*[f"_top{i}" for i in range(most)])
+
+
 def softmax_top(scores: Column) -> Column:
     """The softmax value of an array's largest score."""
     top = F.array_max(scores)

@@ -221,9 +221,9 @@ def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.confusion(_predicted(spark, sf_dir), "truth", "pred")
 
 
-def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _predicted(spark: SparkSession, sf_dir: str, dims: int = 64) -> DataFrame:
     """Each vector's label and that of the nearest class centre (ten rows, one array, crossed in an expression)."""
-    rows = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("truth"), F.col("embedding").cast("array<double>").alias("v"))
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("truth"), F.slice(F.col("embedding"), 1, dims).cast("array<double>").alias("v"))
     parts = rows.select("truth", F.posexplode("v").alias("dim", "x")).groupBy("truth", "dim").agg(F.round(F.avg("x"), 6).alias("m"))
     center = parts.groupBy("truth").agg(F.array_sort(F.collect_list(F.struct("dim", "m"))).getField("m").alias("center"))
     centers = center.agg(F.collect_list(F.struct(F.col("truth").alias("pred"), "center")).alias("centers"))
@@ -394,9 +394,9 @@ def state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def waiting_room(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each joining event with the next reset that lets it in."""
-    after = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, -1)
     reset = F.when(F.col("event_type") == "signup", F.col("event_id"))
-    rows = _table(spark, sf_dir, "events").withColumn("admitted_by", F.first(reset, True).over(after))
+    rows = _table(spark, sf_dir, "events").withColumn("admitted_by", F.last(reset, True).over(after))
     return rows.where("event_type = 'view'").select("event_id", "admitted_by")
 
 

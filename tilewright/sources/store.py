@@ -42,6 +42,23 @@ def load_snapshot(spark: SparkSession, root: str) -> DataFrame:
     return rows.where(F.col("snapshot") == newest).drop("snapshot")
 
 
+def keep_last(spark: SparkSession, root: str, n: int = 20) -> int:
+    """Deletes all snapshots but the newest ``n``; returns how many went."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    held = sorted((x.getPath() for x in files.listStatus(path) if x.getPath().getName().startswith("snapshot=")), key=lambda p: p.getName())
+    gone = held[: max(0, len(held) - n)]
+    for folder in gone:
+        files.delete(folder, True)
+    return len(gone)
+
+
+def aged_out(rows: DataFrame, ts: str, now: Column, days: int) -> tuple[DataFrame, DataFrame]:
+    """The rows that stay, and those at least so many days old (0: all); writing only the second is a dry run."""
+    old = F.lit(True) if days <= 0 else F.coalesce(F.col(ts) <= now - F.make_interval(days=F.lit(days)), F.lit(False))
+    return rows.where(~old), rows.where(old)
+
+
 def restored(rows: DataFrame, blob: str, schema: StructType, defaults: dict[str, object]) -> tuple[DataFrame, DataFrame]:
     """Rows with the fields of a JSON column (defaults where missing), and the rows whose JSON is broken."""
     full = StructType([*schema.fields]).add("_corrupt_record", "string")
