@@ -309,3 +309,61 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         rows = stage(spark, rows, SF_DIR)
         assert rows.columns == docs.columns
+
+
+def _near_duplicates(rows):
+    """Ids and component of each, by all pairs of 5-word shingle sets."""
+    sets = {}
+    for r in rows:
+        w = (r["text"] or "").encode().lower().split()
+        sets[r["doc_id"]] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    comp, todo = {}, sorted(sets)
+    for i in todo:
+        if i in comp:
+            continue
+        comp[i], queue = i, [i]
+        while queue:
+            a = queue.pop()
+            for b in todo:
+                if b not in comp and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    comp[b] = i
+                    queue.append(b)
+    return comp
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    import duckdb
+
+    table = lambda t: spark.read.parquet(f"{SF_DIR}/{t}.parquet")
+    docs, labels, lot = table("documents"), table("labels"), {}
+    stages = dict(corpus_pipeline.STAGES)
+
+    def after(name, rows):
+        stages[name](spark, rows, SF_DIR).write.parquet(f"{tmp_path}/{name}")
+        lot[name] = spark.read.parquet(f"{tmp_path}/{name}")
+        return lot[name].collect()
+
+    ranker = quality.train(docs, labels)
+    told = {r["doc_id"] for r in docs.collect() if ranker.score(np.array([quality.features(r["text"])]))[0] >= quality.CUT}
+    rows = after("quality_classifier", docs)
+    assert {r["doc_id"] for r in rows} == told and len(rows) == len(told) < docs.count()
+
+    found = after("quality_rules", lot["quality_classifier"])
+    verdict = {r["doc_id"]: r["kept"] for r in rules.quality_rules(lot["quality_classifier"], labels).collect()}
+    assert {r["doc_id"] for r in found} == {i for i, kept in verdict.items() if kept}
+    for r in rows:
+        assert verdict[r["doc_id"]] <= (len(WORD.findall(r["text"] or "")) >= 10)
+
+    kept = after("near_dedup", lot["quality_rules"])
+    assert sorted(r["doc_id"] for r in kept) == sorted({*_near_duplicates(found).values()})
+
+    con = duckdb.connect()
+    con.register("documents", lot["near_dedup"].toArrow())
+    taken = {i: (n, size) for i, size, n in con.sql(f"select doc_id, size, taken from ({mixing.MIX_SQL})").fetchall()}
+    copies = Counter(r["doc_id"] for r in after("mix_sources", lot["near_dedup"]))
+    assert copies == Counter({i: n // size for i, (n, size) in taken.items() if n})
+
+    packed = Counter()
+    for r in corpus_pipeline.run(spark, SF_DIR).collect():
+        packed[r["doc_id"]] += r["piece_len"]
+    assert packed == Counter({i: n for i, (n, _) in taken.items() if n})
