@@ -24,9 +24,9 @@ def is_free(token: Column) -> Column:
 def number_of(token: Column) -> Column:
     """The value of digits or of a word of 0 to 19, commas around it left out; null for the free cell and anything else."""
     bare = _bare(token)
-    digits = F.when(bare.rlike("^[0-9]+$"), bare.try_cast("int"))
+    digits = F.when(bare.rlike("^[0-9]+$"), bare.try_cast("long"))
     place = F.array_position(F.array(*map(F.lit, WORDS)), F.lower(bare))
-    return F.coalesce(digits, F.when(place > 0, place.cast("int") - 1))
+    return F.coalesce(digits, F.when(place > 0, place - 1))
 
 
 def digit_pair(tens: Column, ones: Column) -> Column:

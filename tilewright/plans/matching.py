@@ -107,8 +107,8 @@ def pending_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(
     "with w as (select trim(unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), ',') as w from documents), "
-    f"v as (select coalesce(case when regexp_full_match(w, '[0-9]+') then try_cast(w as int) end, list_position({WORDS}, lower(w)) - 1) as value, upper(w) = 'FREE' as free from w) "
-    "select value::int as value, count(*)::bigint as n from v where value is not null or free group by value"
+    f"v as (select coalesce(case when regexp_full_match(w, '[0-9]+') then try_cast(w as bigint) end, list_position({WORDS}, lower(w)) - 1) as value, upper(w) = 'FREE' as free from w) "
+    "select value::bigint as value, count(*)::bigint as n from v where value is not null or free group by value"
 )
 def word_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each number is written, in digits or as a word of 0 to 19; the free cell is null."""
