@@ -3,9 +3,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from tilewright.functions import numbers
+from tilewright.functions import cards, numbers
 from tilewright.operators import metrics, nearest, signals
-from tilewright.sources import store, text
+from tilewright.sources import files, store, text
 from tilewright.streaming import pending
 
 TRUTH = """#blue_sheet_001:
@@ -123,3 +123,26 @@ def test_pending_scans_of_a_stream(spark, tmp_path):
     run.awaitTermination(120)
     found = {r["scan_id"]: r["outcome"] for r in spark.table("outcomes").collect()}
     assert found == {k: batch[k] for k in "abc"}  # z is still open
+
+
+def test_random_grids(spark):
+    rows = spark.range(200).select("id", cards.random_grid(F.col("id"), "s").alias("g"), cards.random_grid(F.col("id"), "s").alias("h"), cards.random_grid(F.col("id"), "t").alias("o"))
+    found = rows.select("g", cards.mismatches(F.col("g"), F.col("h")), cards.mismatches(F.col("g"), F.col("o"))).collect()
+    for g, same, other in found:
+        assert len(g) == 25 and g[12] == 0 and len({*g}) == 25 and same == 0 and other > 5
+        assert all(n == 0 or i % 5 * 15 < n <= i % 5 * 15 + 15 for i, n in enumerate(g))
+    called = spark.range(1).select(*cards.call_positions(F.array(*map(F.lit, found[0][0])), [found[0][0][3], 75, found[0][0][3]])).first()
+    assert called[3] == 1 and called[12] == 0 and called[0] > 1000
+
+
+def test_files(spark, tmp_path):
+    for name in ("17/170_ab12cd_c1_r2c3_x.jpg", "17/171_c2_r0c4.PNG", "17/.hid.jpg", "17/a.txt", "x/9.jpg", "b/5/abc_c1.jpeg"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"abc")
+    rows = files.labelled_files(spark, str(tmp_path))
+    parts = files.cell_name(F.col("name"))
+    found = {r["name"]: tuple(r)[1:] for r in rows.select("name", "label", "length", *[c.alias(k) for k, c in parts.items()]).collect()}
+    assert found == {
+        "170_ab12cd_c1_r2c3_x.jpg": (17, 3, 170, "ab12cd", 1, 2, 3, True), "171_c2_r0c4.PNG": (17, 3, 171, None, 2, 0, 4, False),
+        "abc_c1.jpeg": (5, 3, None, None, None, None, None, False),
+    }

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.cards import call_positions, random_grid
 from ..functions.numbers import WORDS, is_free, number_of
-from ..functions.patterns import FREE_BIT
+from ..functions.patterns import FREE_BIT, PATTERNS, first_win
 from ..operators import metrics, nearest, signals
 from ..streaming import pending
-from .queries import _DAYS_SQL, _TYPES, ORACLE_SQL, _days, _predicted, _table, registered
+from .queries import _DAYS_SQL, _TYPES, ORACLE_SQL, _days, _lines_sql, _predicted, _table, registered
 
 
 @registered(
@@ -192,3 +195,17 @@ def corner_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("p_brand").agg(
         at(total).alias("top_left"), at(slope).alias("top_right"), at(-total).alias("bottom_right"), at(-slope).alias("bottom_left")
     )
+
+
+@registered(
+    "with n as (select unnest(generate_series(1, 75)) as n), calls as (select n, row_number() over (order by md5('call-' || n)) as pos from n), "
+    "drawn as (select c_custkey, n, (n - 1) // 15 as c, row_number() over (partition by c_custkey, (n - 1) // 15 order by md5('card-' || c_custkey || '-' || n)) - 1 as r from customer, n), "
+    "cells as (select c_custkey, r * 5 + c as bit, case when r * 5 + c = 12 then 0 else pos end as pos from drawn join calls using (n) where r < 5), "
+    f"lines(line, bit) as (values {_lines_sql()}), "
+    "done as (select c_custkey, line, max(pos) as pos from cells join lines using (bit) group by 1, 2) select c_custkey, min(pos)::bigint as win_seq from done group by 1"
+)
+def load_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A random card for each customer and 75 calls: all first wins in one projection, without a shuffle."""
+    calls = sorted(range(1, 76), key=lambda n: hashlib.md5(f"call-{n}".encode()).hexdigest())
+    cards = _table(spark, sf_dir, "customer").select("c_custkey", random_grid(F.col("c_custkey"), "card").alias("grid"))
+    return cards.select("c_custkey", first_win(PATTERNS["standard"], call_positions(F.col("grid"), calls)).alias("win_seq"))
