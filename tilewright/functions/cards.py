@@ -14,11 +14,13 @@ def random_grid(card: Column, seed: str) -> Column:
 
     def column(c: int) -> Column:
         numbers = F.sequence(F.lit(c * WIDTH + 1), F.lit(c * WIDTH + WIDTH))
-        drawn = F.array_sort(F.transform(numbers, lambda n: F.struct(F.md5(F.concat_ws("-", F.lit(seed), card, n)).alias("h"), n.alias("n"))))
+        drawn = F.sort_array(F.transform(numbers, lambda n: F.struct(F.md5(F.concat_ws("-", F.lit(seed), card, n)).alias("h"), n.alias("n"))))
         return F.slice(drawn["n"], 1, SIDE)
 
     columns = F.array(*[column(c) for c in range(len(LETTERS))])
-    by_row = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(SIDE)), lambda r: F.transform(columns, lambda x: F.element_at(x, r))))
+    places = F.sequence(F.lit(1), F.lit(SIDE))
+    turn = lambda held: F.flatten(F.transform(places, lambda r: F.transform(held, lambda x: F.element_at(x, r))))
+    by_row = F.element_at(F.transform(F.array(columns), turn), 1)  # the columns are drawn once, outside the loop over rows
     return F.transform(by_row, lambda n, i: F.when(i == FREE_BIT, 0).otherwise(n))
 
 

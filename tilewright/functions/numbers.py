@@ -11,6 +11,8 @@ WORDS = (
     "eighteen nineteen"
 ).split()
 FREE = "FREE"
+#: A whole token, between ASCII white space, that ``number_of`` or ``is_free`` knows.
+TOKEN = rf"(?i)(?<![^\x20\x09-\x0D]),*(?:[0-9]+|{'|'.join(WORDS)}|{FREE}),*(?![^\x20\x09-\x0D])"
 
 
 def _bare(token: Column) -> Column:

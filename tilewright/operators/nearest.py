@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Vectors in a block; a pair of blocks of 64 dimensions takes 16 KB, and Spark sends at most 10,000 rows at once.
 BLOCK = 32
+#: Queries that are broadcast at most; more of them meet the rows as blocks of partitions.
+MOST_SENT = 20_000
 
 
 def snapped(targets: DataFrame, lines: DataFrame, keys: list[str], x: str, tolerance: float) -> DataFrame:
@@ -50,7 +52,8 @@ def _blocked(rows: DataFrame, id_col: str, vector_col: str, names: tuple[str, st
 def k_nearest(queries: DataFrame, rows: DataFrame, id_col: str, vector_col: str, k: int = 2) -> DataFrame:
     """(query, neighbour, distance, rank): each query's k nearest rows by L2 distance, itself left out.
 
-    Distances are rounded to four places and ties go to the lower id. Blocks of queries meet blocks of rows; each
+    Distances are rounded to four places and ties go to the lower id. Blocks of queries meet blocks of rows (which stay
+    where they are if the counted queries are few); each
     pair of blocks hands on k rows a query, and the rest is a ranking that Spark cuts before its shuffle. Rows
     without a vector have no neighbours and are none. All vectors must have the same length.
     """
@@ -74,7 +77,10 @@ def k_nearest(queries: DataFrame, rows: DataFrame, id_col: str, vector_col: str,
                 names=["query", "neighbour", "distance"],
             )
 
-    pairs = _blocked(queries, id_col, vector_col, ("q_ids", "q_flat")).crossJoin(_blocked(rows, id_col, vector_col, ("r_ids", "r_flat")))
+    asked = _blocked(queries, id_col, vector_col, ("q_ids", "q_flat"))
+    if queries.select(id_col).limit(MOST_SENT + 1).count() <= MOST_SENT:
+        asked = F.broadcast(asked)
+    pairs = _blocked(rows, id_col, vector_col, ("r_ids", "r_flat")).crossJoin(asked).select("q_ids", "q_flat", "r_ids", "r_flat")
     near = pairs.mapInArrow(compare, "query long, neighbour long, distance double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbour"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.cards import call_positions, random_grid
-from ..functions.numbers import WORDS, is_free, number_of
+from ..functions.numbers import TOKEN, WORDS, is_free, number_of
 from ..functions.patterns import FREE_BIT, PATTERNS, first_win
 from ..operators import metrics, nearest, signals
 from ..streaming import pending
@@ -115,7 +115,7 @@ def pending_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def word_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each number is written, in digits or as a word of 0 to 19; the free cell is null."""
-    words = _table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("w"))
+    words = _table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).alias("w"))
     named = words.select(number_of(F.col("w")).alias("value"), is_free(F.col("w")).alias("free")).where("value is not null or free")
     return named.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 
