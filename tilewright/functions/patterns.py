@@ -1,8 +1,8 @@
 """Win patterns over 5 x 5 grids: a small language of masks and rules, compiled to column expressions.
 
 A mask is an integer whose bit 5 * row + column stands for a cell. A pattern is a tree of masks,
-AtLeast / AtMost rules, AND and OR. It compiles to a boolean column over a bitmask of marked cells, or
-to the half-open intervals of call positions during which it holds, given each cell's position.
+AtLeast / AtMost rules, AND and OR. It compiles to a boolean column over a bitmask of marked cells, or,
+without AtMost, to the first call position at which it holds, given each cell's position.
 """
 
 from __future__ import annotations
