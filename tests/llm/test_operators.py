@@ -331,7 +331,7 @@ def _near_duplicates(rows):
     return comp
 
 
-def test_pipeline_equals_brute_force(spark, tmp_path):
+def test_pipeline_stages(spark, tmp_path):
     import duckdb
 
     table = lambda t: spark.read.parquet(f"{SF_DIR}/{t}.parquet")
