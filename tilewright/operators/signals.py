@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,3 +54,35 @@ def softmax_top(scores: Column) -> Column:
 def first_largest(values: Column) -> Column:
     """0-based place of the first largest value."""
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")
+
+
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _misfit(lines: Column) -> Column:
+    """(far, pitch) of sorted lines: the median of their gaps and how far any gap is from it; null for fewer than two lines."""
+    n = F.size(lines)
+    gaps = F.when(n > 1, F.zip_with(F.slice(lines, F.lit(2), n - 1), F.slice(lines, F.lit(1), n - 1), lambda b, a: b - a))
+    middle = lambda g: (F.get(g, F.floor((F.size(g) - 1) / 2).cast("int")) + F.get(g, F.floor(F.size(g) / 2).cast("int"))) / 2
+    far = lambda g, p: F.struct(F.array_max(F.transform(g, lambda v: F.abs(v - p))).alias("far"), p.alias("pitch"))
+    return _bound(gaps, lambda g: _bound(middle(F.array_sort(g)), lambda p: far(g, p)))
+
+
+def fitting_lines(lines: Column, within: float = 0.12) -> Column:
+    """The lines that fit one pitch: while a gap is off the median gap by more than ``within`` of it, one line goes.
+
+    It is the line whose loss leaves the gaps closest to their median, the first of several. Three lines
+    always stay. ``lines`` is an array of doubles in any order; its nulls are left out, a null array gives
+    null. The work grows with the cube of the array, which should hold the lines of one image or card.
+    """
+    without = lambda xs, j: F.filter(xs, lambda _, i: i != j)
+
+    def step(xs: Column) -> Column:
+        losses = F.transform(xs, lambda _, j: F.struct(_misfit(without(xs, j))["far"].alias("far"), j.alias("j")))
+        fits = _bound(_misfit(xs), lambda m: m["far"] <= m["pitch"] * within)
+        return F.when((F.size(xs) < 4) | fits, xs).otherwise(without(xs, F.array_min(losses)["j"]))
+
+    held = F.array_sort(F.filter(lines, lambda x: x.isNotNull()))
+    return _bound(held, lambda xs: F.aggregate(xs, xs, lambda kept, _: step(kept)))

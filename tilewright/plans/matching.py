@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.cards import call_positions, random_grid
+from ..functions.geometry import projected
 from ..functions.numbers import TOKEN, WORDS, is_free, number_of
 from ..functions.patterns import FREE_BIT, PATTERNS, first_win
 from ..operators import metrics, nearest, signals
@@ -209,3 +210,36 @@ def load_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = sorted(range(1, 76), key=lambda n: hashlib.md5(f"call-{n}".encode()).hexdigest())
     cards = _table(spark, sf_dir, "customer").select("c_custkey", random_grid(F.col("c_custkey"), "card").alias("grid"))
     return cards.select("c_custkey", first_win(PATTERNS["standard"], call_positions(F.col("grid"), calls)).alias("win_seq"))
+
+
+def _misfit_sql(rows: str, lines: str) -> str:
+    """Rows with the median of the gaps of sorted lines (pitch), and how far any gap is from it (far)."""
+    gaps = f"select *, list_transform(range(1, len({lines})), lambda i: {lines}[i + 1] - {lines}[i]) as g from {rows}"
+    pitch = f"select *, list_aggregate(g, 'median') as pitch from ({gaps})"
+    return f"select * exclude (g), list_max(list_transform(g, lambda v: abs(v - pitch))) as far from ({pitch})"
+
+
+@registered(
+    "with recursive s as (select vec_id, list_sort(list_transform(embedding[1:12], lambda x: floor(x::double * 100))) as xs from embeddings "
+    f"union all select vec_id, arg_min(ys, far * 100 + j) from ({_misfit_sql('(select vec_id, j, list_filter(xs, lambda x, i: i <> j) as ys from (select vec_id, xs, unnest(range(1, len(xs) + 1)) as j from (' + _misfit_sql('s', 'xs') + ') where len(xs) >= 4 and far > pitch * 0.12::double))', 'ys')}) group by vec_id) "
+    "select vec_id, len(xs)::int as n, xs[1] as first, xs[-1] as last from (select vec_id, arg_min(xs, len(xs)) as xs from s group by vec_id)"
+)
+def lattice_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve numbers of each vector as lines, those that fit no common pitch dropped one by one; nothing is shuffled."""
+    lines = F.transform(F.slice("embedding", 1, 12), lambda x: F.floor(x.cast("double") * 100).cast("double"))
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", signals.fitting_lines(lines).alias("xs"))
+    return rows.select("vec_id", F.size("xs").alias("n"), F.get("xs", F.lit(0)).alias("first"), F.element_at("xs", -1).alias("last"))
+
+
+_TILT = (1.5, 0.25, -40.0, -0.125, 2.0, 12.0, 0.001, -0.0005, 1.0)
+
+
+@registered(
+    "with p as (select p_partkey, p_size::double as x, p_retailprice as y from part), w as (select *, {6}::double * x + {7}::double * y + {8}::double as w from p) "
+    "select p_partkey, round(({0}::double * x + {1}::double * y + {2}::double) / w, 6) as x, round(({3}::double * x + {4}::double * y + {5}::double) / w, 6) as y from w".format(*_TILT)
+)
+def projected_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part's point (size, price) under a fixed homography."""
+    at = projected(F.array(*map(F.lit, _TILT)), F.col("p_size").cast("double"), F.col("p_retailprice"))
+    rows = _table(spark, sf_dir, "part").select("p_partkey", at.alias("at"))
+    return rows.select("p_partkey", F.round("at.x", 6).alias("x"), F.round("at.y", 6).alias("y"))
