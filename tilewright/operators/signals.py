@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Numbers that ``fitting_lines`` holds in one block.
+CELLS_AT_ONCE = 1_000_000
+
 
 def moving_average(v: Column, keys: list[str], pos: str, width: int) -> Column:
     """Mean over ``width`` places around each, places beyond the ends counting as 0."""
@@ -56,33 +59,49 @@ def first_largest(values: Column) -> Column:
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")
 
 
-def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _misfit(lines: Column) -> Column:
-    """(far, pitch) of sorted lines: the median of their gaps and how far any gap is from it; null for fewer than two lines."""
-    n = F.size(lines)
-    gaps = F.when(n > 1, F.zip_with(F.slice(lines, F.lit(2), n - 1), F.slice(lines, F.lit(1), n - 1), lambda b, a: b - a))
-    middle = lambda g: (F.get(g, F.floor((F.size(g) - 1) / 2).cast("int")) + F.get(g, F.floor(F.size(g) / 2).cast("int"))) / 2
-    far = lambda g, p: F.struct(F.array_max(F.transform(g, lambda v: F.abs(v - p))).alias("far"), p.alias("pitch"))
-    return _bound(gaps, lambda g: _bound(middle(F.array_sort(g)), lambda p: far(g, p)))
+def _misfits(lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Over the last axis of sorted lines: how far any gap is from the median gap, and that median."""
+    gaps = np.diff(lines)
+    pitch = np.median(gaps, axis=-1, keepdims=True)
+    return np.abs(gaps - pitch).max(axis=-1), pitch[..., 0]
+
+
+def _without_misfits(found: list[np.ndarray | None], within: float) -> None:
+    """Shortens arrays of sorted lines in place: the longest together, down to those of four lines."""
+    by_size: dict[int, list[int]] = {}
+    for i, lines in enumerate(found):
+        if lines is not None:
+            by_size.setdefault(len(lines), []).append(i)
+    for n in range(max(by_size, default=0), 3, -1):
+        at = by_size.get(n, [])
+        others = np.array([[i for i in range(n) if i != j] for j in range(n)])
+        each = max(1, CELLS_AT_ONCE // (n * n))
+        for some in (at[k : k + each] for k in range(0, len(at), each)):
+            rows = np.stack([found[i] for i in some])
+            far, pitch = _misfits(rows)
+            left = np.flatnonzero(~(far <= pitch * within))
+            shorter = rows[left][:, others]  # row, lost line, lines left
+            best = shorter[np.arange(len(left)), _misfits(shorter)[0].argmin(axis=1)]
+            for k, lines in zip(left, best, strict=True):
+                found[some[k]] = lines
+                by_size.setdefault(n - 1, []).append(some[k])
 
 
 def fitting_lines(lines: Column, within: float = 0.12) -> Column:
     """The lines that fit one pitch: while a gap is off the median gap by more than ``within`` of it, one line goes.
 
     It is the line whose loss leaves the gaps closest to their median, the first of several. Three lines
-    always stay. ``lines`` is an array of doubles in any order; its nulls are left out, a null array gives
-    null. The work grows with the cube of the array, which should hold the lines of one image or card.
+    always stay. ``lines`` is an array of doubles in any order; its nulls and NaNs are left out, a null
+    array gives null. The work grows with the cube of an array, which should hold one image's or card's
+    lines; arrays of a batch are worked on together.
     """
-    without = lambda xs, j: F.filter(xs, lambda _, i: i != j)
 
-    def step(xs: Column) -> Column:
-        losses = F.transform(xs, lambda _, j: F.struct(_misfit(without(xs, j))["far"].alias("far"), j.alias("j")))
-        fits = _bound(_misfit(xs), lambda m: m["far"] <= m["pitch"] * within)
-        return F.when((F.size(xs) < 4) | fits, xs).otherwise(without(xs, F.array_min(losses)["j"]))
+    def run(arrays: pd.Series) -> pd.Series:
+        found: list[np.ndarray | None] = []
+        for array in arrays:
+            held = None if array is None else np.array(array, float)
+            found.append(None if held is None else np.sort(held[~np.isnan(held)]))
+        _without_misfits(found, within)
+        return pd.Series(found, dtype=object)
 
-    held = F.array_sort(F.filter(lines, lambda x: x.isNotNull()))
-    return _bound(held, lambda xs: F.aggregate(xs, xs, lambda kept, _: step(kept)))
+    return F.pandas_udf(run, "array<double>")(lines)

@@ -225,7 +225,7 @@ def _misfit_sql(rows: str, lines: str) -> str:
     "select vec_id, len(xs)::int as n, xs[1] as first, xs[-1] as last from (select vec_id, arg_min(xs, len(xs)) as xs from s group by vec_id)"
 )
 def lattice_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twelve numbers of each vector as lines, those that fit no common pitch dropped one by one; nothing is shuffled."""
+    """Twelve numbers of each vector as lines, those that fit no common pitch dropped one by one, without a shuffle."""
     lines = F.transform(F.slice("embedding", 1, 12), lambda x: F.floor(x.cast("double") * 100).cast("double"))
     rows = _table(spark, sf_dir, "embeddings").select("vec_id", signals.fitting_lines(lines).alias("xs"))
     return rows.select("vec_id", F.size("xs").alias("n"), F.get("xs", F.lit(0)).alias("first"), F.element_at("xs", -1).alias("last"))
