@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.cards import call_positions, random_grid
-from ..functions.geometry import projected
+from ..functions.geometry import completed_lines, line_at, projected
 from ..functions.numbers import TOKEN, WORDS, is_free, number_of
 from ..functions.patterns import FREE_BIT, PATTERNS, first_win
 from ..operators import metrics, nearest, signals
@@ -243,3 +243,30 @@ def projected_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = projected(F.array(*map(F.lit, _TILT)), F.col("p_size").cast("double"), F.col("p_retailprice"))
     rows = _table(spark, sf_dir, "part").select("p_partkey", at.alias("at"))
     return rows.select("p_partkey", F.round("at.x", 6).alias("x"), F.round("at.y", 6).alias("y"))
+
+
+@registered(
+    "with v as (select vec_id, list_sort(list_transform(embedding[1:4], lambda x: floor(x::double * 100))) as xs from embeddings), "
+    "g as (select *, [xs[2] - xs[1], xs[3] - xs[2], xs[4] - xs[3]] as g from v), p as (select *, list_aggregate(g, 'median') as pitch from g), "
+    "k as (select *, case when g[1] < 0.7::double * pitch then xs[2:4] else xs end as kept from p where pitch > 0) "
+    "select vec_id, len(kept)::int as own, list_sum(kept) + (6 - len(kept)) * xs[4] + (case when len(kept) = 3 then 6 else 3 end) * round_even(pitch, 0) as total from k"
+)
+def lattice_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four numbers of each vector as lines of a lattice, completed to six: how many are its own, and the sum of all."""
+    lines = F.array_sort(F.transform(F.slice("embedding", 1, 4), lambda x: F.floor(x.cast("double") * 100).cast("double")))
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", lines.alias("xs"), completed_lines(lines).alias("all"))
+    own = F.size(F.filter("all", lambda x: x <= F.element_at("xs", -1)))  # the pitch of whole numbers is 1 at least
+    total = F.aggregate("all", F.lit(0.0), lambda s, x: s + x)
+    return rows.where("all is not null").select("vec_id", own.alias("own"), total.alias("total"))
+
+
+@registered(
+    "with v as (select vec_id, list_transform(embedding[1:4], lambda x: floor(x::double * 100)) as p from embeddings), "
+    "s as (select vec_id, p, case when p[4] = p[2] then 0 else (p[3] - p[1]) / (p[4] - p[2]) end as slope from v) "
+    "select vec_id, round(p[1] - slope * p[2], 6) as above, round(p[3] + slope * (1000 - p[4]), 6) as below from s"
+)
+def line_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines through two points of each vector, continued up to the ordinate 0 and down to 1,000."""
+    p = [F.floor(F.get("embedding", F.lit(i)).cast("double") * 100).cast("double") for i in range(4)]
+    above, below = line_at(*p, F.lit(0.0)), line_at(p[2], p[3], p[0], p[1], F.lit(1000.0))
+    return _table(spark, sf_dir, "embeddings").select("vec_id", F.round(above, 6).alias("above"), F.round(below, 6).alias("below"))
