@@ -1,17 +1,21 @@
 """Quality rules whose cutoffs control the risk of rejecting good documents.
 
 Each rule rejects a document when one share of it (symbols, repeated lines, ...) is above a cutoff.
-For a stratum of documents, a cutoff is allowed when the labelled good documents there show, by the
-exact binomial test, that it rejects more than ``risk / rules`` of good documents with a chance below
-``level / (strata * rules)``. Cutoffs of one rule are tried from the mildest on and the first that is
-not allowed ends the sequence (fixed-sequence testing, which needs no more correction); strata and
-rules are corrected for by Bonferroni's inequality. So with a probability of at least 1 - level all
-strata keep at least 1 - risk of their good documents that pass the base rules.
+``STEPS`` orders joint settings of all rules from mild to strict. For a stratum of documents, a step is
+allowed when the labelled good documents there show, by the exact binomial test, that its rules together
+reject more than ``risk`` of good documents with a chance below ``level / strata``. Steps are tried from
+the mildest on and the first that is not allowed ends the sequence (fixed-sequence testing, which needs
+no more correction); strata are corrected for by Bonferroni's inequality, and only those with enough
+labels to allow a step at all are tested. So with a probability of at least 1 - level all strata keep at
+least 1 - risk of their good documents that pass the base rules.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Sequence
+from itertools import accumulate
 from operator import eq
 
 import numpy as np
@@ -34,6 +38,27 @@ RULES = {
     "upper": ("n_upper", "word_chars"),
     "echo": ("n_echo", "n_words"),
 }
+#: Which rules go from which cutoff to which, one after the other: all of them down to shares that no clean
+#: prose has, then the ones of which clean prose has next to none, then those of which it has some.
+_ORDER = (
+    (tuple(RULES), 0.9, 0.3),
+    (("symbols", "bangs", "echo"), 0.25, 0.05),
+    (("symbols", "bangs"), 0.04, 0.02),
+    (("same_lines", "repeats", "upper", "echo"), 0.25, 0.02),
+)
+
+
+def _steps() -> list[dict[str, float]]:
+    out: list[dict[str, float]] = []
+    for names, first, last in _ORDER:
+        for cutoff in CUTOFFS[CUTOFFS.index(first) : CUTOFFS.index(last) + 1]:
+            held = out[-1] if out else {}
+            out.append(held | {rule: min(cutoff, held.get(rule, 1.0)) for rule in names})
+    return out
+
+
+#: Rule to cutoff, from mild to strict.
+STEPS = _steps()
 
 _SPACES = np.array([9, 10, 11, 12, 13, 32])
 _SYMBOLS = np.frombuffer(b"#*$%&|<>", np.uint8)
@@ -104,25 +129,46 @@ def at_most(k: int, n: int, p: float) -> float:
     return min(1.0, total)
 
 
-def allowed_cutoff(rejected: list[int], n: int, risk: float, level: float) -> float | None:
-    """The last cutoff of the sequence that the test allows; None if not even the mildest is."""
+def allowed_cutoff(rejected: list[int], n: int, risk: float, level: float, sequence: Sequence[float] = CUTOFFS) -> float | None:
+    """The last item of the sequence that the test allows; None if not even the mildest is."""
     found = None
-    for cutoff, k in zip(CUTOFFS, rejected, strict=True):
+    for item, k in zip(sequence, rejected, strict=True):
         if at_most(k, n, risk) > level:
             break
-        found = cutoff
+        found = item
     return found
 
 
-def _above(c: dict[str, Column], rule: str, cutoff: float) -> Column:
-    part, whole = RULES[rule]
-    return c[part] > c[whole] * F.lit(cutoff)
+def tested_strata(labelled: list[int], risk: float, level: float) -> int:
+    """How many strata to correct for: the most for which so many have labels enough to allow a step.
 
-
-def learn_cutoffs(
+    It depends on the numbers of labels only, not on what they show.
+    """
+    most = 0
+    for i, n in enumerate(sorted(labelled, reverse=True), 1):
+        if at_most(0, n, risk) <= level / i:
+            most = i
+    return most
+
+
+def first_step(c: dict[str, Column]) -> Column:
+    """The number of the mildest step that rejects the document; null if not even the strictest does."""
+    found = []
+    for rule, (part, whole) in RULES.items():
+        at, last = None, None
+        for i, step in enumerate(STEPS):
+            if step[rule] != last:
+                last = step[rule]
+                above = c[part] > c[whole] * F.lit(last)
+                at = F.when(above, i) if at is None else at.when(above, i)
+        found.append(at)
+    return F.least(*found)
+
+
+def learn_steps(
     counted: DataFrame, labels: DataFrame, id_col: str, stratum_col: str, risk: float = RISK, level: float = LEVEL
-) -> dict[str | None, dict[str, float | None]]:
-    """Stratum to rule to cutoff, from all labelled good documents that pass the base rules.
+) -> dict[str | None, int | None]:
+    """Stratum to the number of its last allowed step, from all labelled good documents that pass the base rules.
 
     The MOST_STRATA most labelled values are strata; all other values, and null, are one more (key None).
     A document with a bad label, or repeated labels that differ, is no good document.
@@ -130,41 +176,30 @@ def learn_cutoffs(
     good = labels.groupBy(F.col(id_col).alias("_good")).agg(F.min("quality").alias("q")).where("q = 1")
     c = {name: F.col(name) for name in COUNTS}
     rows = counted.where(~base_failed(c)).join(good, F.col(id_col) == F.col("_good"))
-    tests = [
-        F.count_if(_above(c, rule, cutoff)).alias(f"{rule}_{i}") for rule in RULES for i, cutoff in enumerate(CUTOFFS)
-    ]
-    by_value = cut(rows.groupBy(stratum_col).agg(F.count(F.lit(1)).alias("_n"), *tests))
-    top = by_value.where(F.col(stratum_col).isNotNull()).orderBy(F.desc("_n"), stratum_col).limit(MOST_STRATA)
-    names = [r[stratum_col] for r in top.select(stratum_col).collect()]
+    by_value = cut(rows.groupBy(stratum_col, first_step(c).alias("_step")).agg(F.count(F.lit(1)).alias("_n")))
+    top = by_value.where(F.col(stratum_col).isNotNull()).groupBy(stratum_col).agg(F.sum("_n").alias("_n"))
+    names = [r[stratum_col] for r in top.orderBy(F.desc("_n"), stratum_col).limit(MOST_STRATA).collect()]
     key = F.when(F.col(stratum_col).isin(names), F.col(stratum_col)) if names else F.lit(None).cast("string")
-    sums = [F.sum(x).alias(x) for x in by_value.columns if x != stratum_col]
-    found = by_value.groupBy(key.alias("_key")).agg(*sums).collect()
-    share = level / (len(RULES) * max(1, len(found)))
-    out: dict[str | None, dict[str, float | None]] = {None: dict.fromkeys(RULES)}
-    for r in found:
-        out[r["_key"]] = {
-            rule: allowed_cutoff([r[f"{rule}_{i}"] for i in range(len(CUTOFFS))], r["_n"], risk / len(RULES), share)
-            for rule in RULES
-        }
-    return out
+    found: dict[str | None, Counter] = {}
+    for r in by_value.groupBy(key.alias("_key"), "_step").agg(F.sum("_n").alias("_n")).collect():
+        found.setdefault(r["_key"], Counter())[r["_step"]] += r["_n"]
+    strata = tested_strata([x.total() for x in found.values()], risk, level)
+    return {None: None} | {name: allowed_step(x, risk, level / max(1, strata)) for name, x in found.items()}
 
 
-def kept_column(c: dict[str, Column], stratum: Column, cutoffs: dict[str | None, dict[str, float | None]]) -> Column:
-    """False if the base rules or an allowed cutoff of the document's stratum reject it."""
+def allowed_step(good: Counter, risk: float, level: float) -> int | None:
+    """The last allowed step, where ``good`` counts a stratum's good documents by ``first_step``."""
+    rejected = list(accumulate(good[i] for i in range(len(STEPS))))
+    return allowed_cutoff(rejected, good.total(), risk, level, range(len(STEPS)))
 
-    def rejected(of: dict[str, float | None]) -> Column:
-        out = F.lit(False)
-        for rule, cutoff in of.items():
-            if cutoff is not None:
-                out = out | _above(c, rule, cutoff)
-        return out
 
-    verdict = None
-    for name, of in cutoffs.items():
+def kept_column(c: dict[str, Column], stratum: Column, steps: dict[str | None, int | None]) -> Column:
+    """False if the base rules or the allowed step of the document's stratum reject it."""
+    allowed = F.lit(steps[None]).cast("int")
+    for name, step in steps.items():
         if name is not None:
-            verdict = F.when(stratum == name, rejected(of)) if verdict is None else verdict.when(stratum == name, rejected(of))
-    other = rejected(cutoffs[None])
-    return ~base_failed(c) & ~(other if verdict is None else verdict.otherwise(other))
+            allowed = F.when(stratum == name, F.lit(step).cast("int")).otherwise(allowed)
+    return ~base_failed(c) & ~F.coalesce(first_step(c) <= allowed, F.lit(False))
 
 
 def quality_rules(
@@ -173,15 +208,15 @@ def quality_rules(
     """One row per document: id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
     Repeated rows each get a row. Null and empty texts have no words and fail the base rules. Without
-    enough labels in a stratum no cutoff is allowed there and only the base rules reject.
+    enough labels in a stratum no step is allowed there and only the base rules reject.
     """
     counted = docs.select(F.col(id_col), F.col(stratum_col).alias("_stratum"), counts_of(F.col(text_col)).alias("_c"))
     counted = cut(counted.select(id_col, "_stratum", "_c.*"))
-    cutoffs = learn_cutoffs(counted, labels, id_col, "_stratum")
+    steps = learn_steps(counted, labels, id_col, "_stratum")
     c = {name: F.col(name) for name in COUNTS}
     return counted.select(
         id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base_failed(c).alias("base_failed"), kept_column(c, F.col("_stratum"), cutoffs).alias("kept"),
+        base_failed(c).alias("base_failed"), kept_column(c, F.col("_stratum"), steps).alias("kept"),
         "n_bangs", "n_upper", "n_echo",
     )
 
@@ -189,7 +224,7 @@ def quality_rules(
 def passing(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """The documents that the rules keep, with all their columns."""
     counted = docs.select(F.col(id_col), F.col(stratum_col).alias("_stratum"), counts_of(F.col(text_col)).alias("_c"))
-    cutoffs = learn_cutoffs(cut(counted.select(id_col, "_stratum", "_c.*")), labels, id_col, "_stratum")
+    steps = learn_steps(cut(counted.select(id_col, "_stratum", "_c.*")), labels, id_col, "_stratum")
     found = docs.withColumn("_c", counts_of(F.col(text_col)))
     c = {name: F.col("_c")[name] for name in COUNTS}
-    return found.where(kept_column(c, F.col(stratum_col), cutoffs)).drop("_c")
+    return found.where(kept_column(c, F.col(stratum_col), steps)).drop("_c")
