@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.llm import minhash, mixing, packing, quality, rules
-from tilewright.llm.common import n_words, shared_dir, table
+from tilewright.llm.common import cut, n_words, shared_dir, table
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,9 +23,16 @@ def check_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: five-word shingles, similarity 0.8."""
-    gone = minhash.near_duplicates(docs, k=5, percent=80).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each near-duplicate group stays: five-word shingles, similarity 0.8.
+
+    Rows are told apart by their number in a written copy, not by doc_id: repeated rows are copies, and a
+    repeated id with another text is another document. The row with the least id stays, a null id last.
+    """
+    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    groups = minhash.near_duplicates(rows, id_col="_row", k=5, percent=80).select("_row", "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")
+    first = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order).alias("first"))
+    return rows.join(first.select(F.col("first._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

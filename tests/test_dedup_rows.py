@@ -1,0 +1,23 @@
+"""The pipeline's near-duplicate stage on repeated rows, repeated ids and null ids."""
+
+import random
+from collections import Counter
+
+import corpus_pipeline
+
+
+def test_one_row_of_each_group_stays(spark):
+    r = random.Random(6)
+    text = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(40))
+    repeated, copied, other, nulls, late, lone = (text() for _ in range(6))
+    rows = [
+        (7, repeated), (7, repeated), (7, repeated),
+        (9, copied), (1, copied), (9, other),  # the other text of id 9 is no copy
+        (None, nulls), (None, nulls), (None, late), (30, late), (20, late),
+        (None, lone), (None, None), (None, None), (40, ""),
+    ]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n long").repartition(3)
+    found = corpus_pipeline.dedup(spark, docs, "")
+    assert found.columns == docs.columns
+    told = [(7, repeated), (1, copied), (9, other), (None, nulls), (20, late), (None, lone), (None, None), (None, None), (40, "")]
+    assert Counter((x["doc_id"], x["text"]) for x in found.collect()) == Counter(told)
