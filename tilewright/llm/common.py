@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from functools import reduce
@@ -23,13 +25,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWNED: set[tuple[str, str]] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared checkpoint folder; sets a default only where none is set."""
+    """A new folder under the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
+
+    It lies in a folder of this Spark application, which owns it: the driver's file system deletes that
+    folder when the driver ends. Only a session in local mode, where the driver's disk is everyone's, may
+    leave the setting out.
+    """
+    context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = held.get() if held.isDefined() else "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+        held = context._jsc.sc().getCheckpointDir()
+        if held.isDefined():
+            base = held.get()
+        elif re.match(r"local(\[|$)", context.master):
+            base = f"{tempfile.gettempdir()}/checkpoints"
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    owned = f"{base.rstrip('/')}/run-{context.applicationId}"
+    if (context.applicationId, owned) not in _OWNED:
+        p, fs = _path(spark, owned)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _OWNED.add((context.applicationId, owned))
+    return f"{owned}/{uuid.uuid4().hex}"
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -37,14 +64,16 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of ours by the file system it is on."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of ``cut`` that nothing reads any more: every later table was written, so no lineage leads back to them."""
+    for df in tables:
+        p, fs = _path(df.sparkSession, df._cut_path)
+        fs.delete(p.getParent(), True)
 
 
 def join_small(big: DataFrame, small: DataFrame, on: Column, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -7,13 +7,13 @@ reject more than ``risk`` of good documents with a chance below ``level / strata
 the mildest on and the first that is not allowed ends the sequence (fixed-sequence testing, which needs
 no more correction); strata are corrected for by Bonferroni's inequality, and only those with enough
 labels to allow a step at all are tested. So with a probability of at least 1 - level all strata keep at
-least 1 - risk of their good documents that pass the base rules.
+least 1 - risk of their good documents that pass the base rules. Every value is a stratum of its own,
+however many there are, and so is null; one without labels enough has the base rules only.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Sequence
 from itertools import accumulate
 from operator import eq
@@ -23,11 +23,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_small
 from .minhash import hashed_words, window_hashes
 
 RISK, LEVEL = 0.05, 0.05
-MOST_STRATA = 50
 CUTOFFS = (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02)
 #: Rule to the counts that it divides.
 RULES = {
@@ -139,15 +138,17 @@ def allowed_cutoff(rejected: list[int], n: int, risk: float, level: float, seque
     return found
 
 
-def tested_strata(labelled: list[int], risk: float, level: float) -> int:
+def tested_strata(labelled: dict[int, int], risk: float, level: float) -> int:
     """How many strata to correct for: the most for which so many have labels enough to allow a step.
 
-    It depends on the numbers of labels only, not on what they show.
+    ``labelled`` has the number of strata by their number of labels. The answer depends on these numbers
+    only, not on what the labels show. With a number of labels n, i strata can be tested together if
+    (1 - risk) ** n <= level / i; so at any count only the richest strata that it allows are taken.
     """
-    most = 0
-    for i, n in enumerate(sorted(labelled, reverse=True), 1):
-        if at_most(0, n, risk) <= level / i:
-            most = i
+    most = above = 0
+    for n in sorted(labelled, reverse=True):
+        above += labelled[n]
+        most = max(most, min(above, int(level / at_most(0, n, risk) * (1 + 1e-12))))
     return most
 
 
@@ -165,41 +166,46 @@ def first_step(c: dict[str, Column]) -> Column:
     return F.least(*found)
 
 
+#: Labels of a stratum beyond this number are told apart no more when strata are counted: so many would do for 10 ** 20 strata.
+_ENOUGH = 1_000
+
+
 def learn_steps(
     counted: DataFrame, labels: DataFrame, id_col: str, stratum_col: str, risk: float = RISK, level: float = LEVEL
-) -> dict[str | None, int | None]:
-    """Stratum to the number of its last allowed step, from all labelled good documents that pass the base rules.
+) -> DataFrame:
+    """(_of, _allowed): each stratum with labels and the number of its last allowed step, if any is.
 
-    The MOST_STRATA most labelled values are strata; all other values, and null, are one more (key None).
-    A document with a bad label, or repeated labels that differ, is no good document.
+    Learnt from all labelled good documents that pass the base rules. A document with a bad label, or
+    repeated labels that differ, is no good document. The driver gets at most _ENOUGH counts of strata.
     """
     good = labels.groupBy(F.col(id_col).alias("_good")).agg(F.min("quality").alias("q")).where("q = 1")
     c = {name: F.col(name) for name in COUNTS}
     rows = counted.where(~base_failed(c)).join(good, F.col(id_col) == F.col("_good"))
-    by_value = cut(rows.groupBy(stratum_col, first_step(c).alias("_step")).agg(F.count(F.lit(1)).alias("_n")))
-    top = by_value.where(F.col(stratum_col).isNotNull()).groupBy(stratum_col).agg(F.sum("_n").alias("_n"))
-    names = [r[stratum_col] for r in top.orderBy(F.desc("_n"), stratum_col).limit(MOST_STRATA).collect()]
-    key = F.when(F.col(stratum_col).isin(names), F.col(stratum_col)) if names else F.lit(None).cast("string")
-    found: dict[str | None, Counter] = {}
-    for r in by_value.groupBy(key.alias("_key"), "_step").agg(F.sum("_n").alias("_n")).collect():
-        found.setdefault(r["_key"], Counter())[r["_step"]] += r["_n"]
-    strata = tested_strata([x.total() for x in found.values()], risk, level)
-    return {None: None} | {name: allowed_step(x, risk, level / max(1, strata)) for name, x in found.items()}
+    by_step = [F.count(F.when(F.col("_step") == i, 1)) for i in range(len(STEPS))]
+    rows = rows.select(F.col(stratum_col).alias("_of"), first_step(c).alias("_step"))
+    strata = cut(rows.groupBy("_of").agg(F.count(F.lit(1)).alias("_n"), F.array(*by_step).alias("_by_step")))
+    sizes = strata.groupBy(F.least("_n", F.lit(_ENOUGH)).alias("n")).agg(F.count(F.lit(1)).alias("strata")).collect()
+    each = level / max(1, tested_strata({r["n"]: r["strata"] for r in sizes}, risk, level))
+
+    def allowed(totals: pd.Series, counts: pd.Series) -> pd.Series:
+        found = [allowed_step(dict(enumerate(x)), n, risk, each) for n, x in zip(totals, counts, strict=True)]
+        return pd.Series(found, dtype="Int32")
+
+    return strata.select("_of", F.pandas_udf(allowed, "int")("_n", "_by_step").alias("_allowed"))
 
 
-def allowed_step(good: Counter, risk: float, level: float) -> int | None:
-    """The last allowed step, where ``good`` counts a stratum's good documents by ``first_step``."""
-    rejected = list(accumulate(good[i] for i in range(len(STEPS))))
-    return allowed_cutoff(rejected, good.total(), risk, level, range(len(STEPS)))
+def allowed_step(by_step: dict[int, int], total: int, risk: float, level: float) -> int | None:
+    """The last allowed step of a stratum with ``total`` good documents, of which ``by_step`` are first rejected by each."""
+    rejected = list(accumulate(int(by_step.get(i, 0)) for i in range(len(STEPS))))
+    return allowed_cutoff(rejected, int(total), risk, level, range(len(STEPS)))
 
 
-def kept_column(c: dict[str, Column], stratum: Column, steps: dict[str | None, int | None]) -> Column:
-    """False if the base rules or the allowed step of the document's stratum reject it."""
-    allowed = F.lit(steps[None]).cast("int")
-    for name, step in steps.items():
-        if name is not None:
-            allowed = F.when(stratum == name, F.lit(step).cast("int")).otherwise(allowed)
-    return ~base_failed(c) & ~F.coalesce(first_step(c) <= allowed, F.lit(False))
+def _judged(counted: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
+    """Adds ``kept`` to rows with COUNTS and _stratum: false if the base rules or the stratum's allowed step reject them."""
+    steps = cut(learn_steps(counted, labels, id_col, "_stratum"))
+    c = {name: F.col(name) for name in COUNTS}
+    rows = join_small(counted, steps, F.col("_stratum").eqNullSafe(F.col("_of")), "left")
+    return rows.withColumn("kept", ~base_failed(c) & ~F.coalesce(first_step(c) <= F.col("_allowed"), F.lit(False)))
 
 
 def quality_rules(
@@ -207,24 +213,30 @@ def quality_rules(
 ) -> DataFrame:
     """One row per document: id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
-    Repeated rows each get a row. Null and empty texts have no words and fail the base rules. Without
-    enough labels in a stratum no step is allowed there and only the base rules reject.
+    Repeated rows each get a row. Null and empty texts have no words and fail the base rules; a null id
+    has no label. Without enough labels in a stratum no step is allowed there and only the base rules
+    reject; so it is with an empty table of labels. A share that equals a cutoff passes. A text is counted
+    whole in one task (about 20 bytes of memory for each of its own). Other columns are not looked at.
     """
-    counted = docs.select(F.col(id_col), F.col(stratum_col).alias("_stratum"), counts_of(F.col(text_col)).alias("_c"))
-    counted = cut(counted.select(id_col, "_stratum", "_c.*"))
-    steps = learn_steps(counted, labels, id_col, "_stratum")
+    counted = docs.select(
+        F.col(id_col).alias("_id"), F.col(stratum_col).alias("_stratum"), counts_of(F.col(text_col)).alias("_c")
+    )
+    counted = cut(counted.select("_id", "_stratum", "_c.*"))
     c = {name: F.col(name) for name in COUNTS}
-    return counted.select(
-        id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base_failed(c).alias("base_failed"), kept_column(c, F.col("_stratum"), steps).alias("kept"),
-        "n_bangs", "n_upper", "n_echo",
+    return _judged(counted, labels.select(F.col(id_col).alias("_id"), "quality"), "_id").select(
+        F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        base_failed(c).alias("base_failed"), "kept", "n_bangs", "n_upper", "n_echo",
     )
 
 
 def passing(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """The documents that the rules keep, with all their columns."""
-    counted = docs.select(F.col(id_col), F.col(stratum_col).alias("_stratum"), counts_of(F.col(text_col)).alias("_c"))
-    steps = learn_steps(cut(counted.select(id_col, "_stratum", "_c.*")), labels, id_col, "_stratum")
-    found = docs.withColumn("_c", counts_of(F.col(text_col)))
-    c = {name: F.col("_c")[name] for name in COUNTS}
-    return found.where(kept_column(c, F.col(stratum_col), steps)).drop("_c")
+    """The documents that the rules keep, with all their columns, whatever their names.
+
+    The rows are written once with their counts beside them, so that each text is counted once.
+    """
+    counted = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(id_col).alias("_id"),
+        F.col(stratum_col).alias("_stratum"), counts_of(F.col(text_col)).alias("_c"),
+    )
+    counted = cut(counted.select("_doc", "_id", "_stratum", "_c.*"))
+    return _judged(counted, labels.select(F.col(id_col).alias("_id"), "quality"), "_id").where("kept").select("_doc.*")
