@@ -6,7 +6,8 @@ sizes sum up to its target: complete epochs first, then the first part of one mo
 
 Keys never need a total sort. A key's bucket (some thousands for each source, in the order of keys)
 sums sizes by source and bucket; running sums of these name the one bucket in which a source's budget
-ends, and only that bucket's documents are sorted.
+ends. That bucket is cut into 4,096 finer ones in the same way until it holds few documents, and only
+these are sorted.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ from .common import cut, join_small, n_words
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
+#: Documents of one source that are sorted in one task at most, as far as their keys can be told apart.
+MOST_SORTED = 50_000
+_FINEST = 3
 
 
 def quality_weight(text: Column) -> Column:
@@ -34,23 +38,28 @@ def uniform(doc_id: Column) -> Column:
     return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(2.0**52)
 
 
-def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Adds _size (words) and _key."""
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight: Column | None = None, keep: bool = False) -> DataFrame:
+    """_id, _from (the source), _size (words) and _key; with ``keep`` also _doc, a struct of the row's own columns."""
     text = F.col(text_col)
-    key = -F.log(uniform(F.col(id_col))) / quality_weight(text)
-    return docs.withColumn("_size", n_words(text)).withColumn("_key", key)
+    given = quality_weight(text) if weight is None else F.greatest(F.lit(1e-6), F.coalesce(weight.cast("double"), F.lit(1.0)))
+    rows = [F.col(id_col).alias("_id"), F.col(source_col).alias("_from"), n_words(text).alias("_size")]
+    rows.append((-F.log(uniform(F.col(id_col))) / given).alias("_key"))
+    if keep:
+        rows.append(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    return docs.select(*rows)
 
 
-def _bucket(key: Column) -> Column:
-    """In the order of keys; a bucket spans about 0.3 % of a key, so none holds much of a source."""
-    return F.floor(F.log2(key * 16 + 1) * 256).cast("int")
+def _bucket(key: Column, level: int) -> Column:
+    """In the order of keys: at level 0 a bucket spans about 0.3 % of a key, at each further level 1/4096 of that."""
+    return F.floor(F.log2(key * 16 + 1) * float(1 << (8 + 12 * level))).cast("long")
 
 
 def _targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
     """Adds target: shares of the whole by weight, stopped at ``most`` times the size, the excess shared again.
 
     Sources are in the order of most * size / weight; those before the first whose share fits its stop
-    are stopped. The windows run over one row per source.
+    are stopped. The windows run over one row per source in one task, which bounds the sources to some
+    ten millions; documents are not in it.
     """
     by_name = Window.orderBy(F.col("_source").asc_nulls_last())
     given = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
@@ -67,80 +76,97 @@ def _targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame
     return rows.select("_source", "source_size", target.alias("target"))
 
 
-def mix_plan(
-    rows: DataFrame, source_col: str = "source", id_col: str = "doc_id",
-    weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS,
-) -> DataFrame:
+def _ends(cells: DataFrame, goals: DataFrame) -> DataFrame:
+    """(_s, _end, _base, _n): the bucket in which each source's last part ends, the sizes before it, and its rows.
+
+    ``cells`` sums sizes by _source and _bucket; ``goals`` has _source, _rest, and _base, the sizes before the cells.
+    """
+    running = Window.partitionBy("_source").orderBy("_bucket")
+    at = cells.withColumn("_upto", F.sum("cell").over(running))
+    at = join_small(at, goals.select(F.col("_source").alias("_s"), "_rest", "_base"), F.col("_source").eqNullSafe(F.col("_s")))
+    upto = F.col("_base") + F.col("_upto")
+    first = F.struct("_bucket", (upto - F.col("cell")).alias("base"), "n")
+    return (
+        at.where(upto >= F.col("_rest")).groupBy("_source").agg(F.min(first).alias("end"))
+        .select(F.col("_source").alias("_s"), F.col("end._bucket").alias("_end"), F.col("end.base").alias("_base"), F.col("end.n").alias("_n"))
+    )
+
+
+def mix_plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, most_sorted: int = MOST_SORTED) -> DataFrame:
     """One row per source: sizes, target, complete epochs, and where in the order of keys the last part ends.
 
-    ``rows`` needs source, id, _size and _key.
+    ``rows`` has _from, _id, _size and _key.
     """
-    keyed = rows.select(F.col(source_col).alias("_source"), F.col(id_col).alias("_id"), "_size", "_key")
-    keyed = keyed.withColumn("_bucket", _bucket(F.col("_key")))
-    cells = cut(keyed.groupBy("_source", "_bucket").agg(F.sum("_size").alias("cell")))
+    keyed = rows.select(F.col("_from").alias("_source"), "_id", "_size", "_key")
+    summed = (F.sum("_size").alias("cell"), F.count(F.lit(1)).alias("n"))
+    cells = cut(keyed.groupBy("_source", _bucket(F.col("_key"), 0).alias("_bucket")).agg(*summed))
     sizes = cells.groupBy("_source").agg(F.sum("cell").alias("source_size"))
     goals = _targets(sizes, weights, most)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    goals = goals.withColumn("epochs", epochs.cast("long"))
+    goals = goals.withColumn("epochs", epochs.cast("long")).withColumn("_base", F.lit(0).cast("long"))
     goals = cut(goals.withColumn("_rest", F.col("target") - F.col("epochs") * F.col("source_size")))
 
-    running = Window.partitionBy("_source").orderBy("_bucket")
-    at = cells.withColumn("_upto", F.sum("cell").over(running))
-    at = join_small(at, goals.select(F.col("_source").alias("_s"), "_rest"), F.col("_source").eqNullSafe(F.col("_s")))
-    ends = (
-        at.where("_upto >= _rest").groupBy("_source")
-        .agg(F.min(F.struct("_bucket", (F.col("_upto") - F.col("cell")).alias("base"))).alias("end"))
-        .select("_source", F.col("end._bucket").alias("_end"), F.col("end.base").alias("_base"))
-    )
-    plan = cut(
-        goals.join(ends.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    )
-    inside = join_small(
-        keyed,
-        plan.select(F.col("_source").alias("_s"), "_end", "_base", "_rest"),
-        F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_end")),
-    )
+    def inside(ends: DataFrame, level: int) -> DataFrame:
+        of = F.col("_source").eqNullSafe(F.col("_s")) & (_bucket(F.col("_key"), level) == F.col("_end"))
+        return join_small(keyed, ends, of)
+
+    level, ends = 0, cut(_ends(cells, goals))
+    while level < _FINEST and (ends.agg(F.max("_n")).first()[0] or 0) > most_sorted:
+        finer = inside(ends.select("_s", "_end"), level).groupBy("_source", _bucket(F.col("_key"), level + 1).alias("_bucket"))
+        bases = goals.drop("_base").join(ends, F.col("_source").eqNullSafe(F.col("_s"))).select("_source", "_rest", "_base")
+        level, ends = level + 1, cut(_ends(cut(finer.agg(*summed)), cut(bases)))
+    ends = ends.join(goals.select("_source", "_rest"), F.col("_source").eqNullSafe(F.col("_s"))).drop("_source")
+
+    # rows of one id have one key; they are one row here, so that even they fill no task
+    tied = inside(ends.select("_s", "_end", "_base", "_rest"), level).groupBy("_source", "_key", "_id", "_base", "_rest")
     order = Window.partitionBy("_source").orderBy("_key", "_id").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("_base") + F.coalesce(F.sum("_size").over(order), F.lit(0))
     last = (
-        inside.withColumn("_before", before).where(F.col("_before") * 2 + F.col("_size") <= F.col("_rest") * 2)
+        tied.agg(F.sum("_size").alias("_size")).withColumn("_before", before)
+        .where(F.col("_before") * 2 + F.col("_size") <= F.col("_rest") * 2)
         .groupBy("_source").agg(F.max(F.struct("_key", "_id")).alias("_last"))
     )
-    plan = plan.join(last.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    return cut(plan.select("_source", "source_size", "target", "epochs", "_end", "_last"))
+    first = F.shiftleft(F.col("_end"), 12 * (_FINEST - level)).alias("_first")
+    plan = goals.join(ends.select("_s", first), F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    plan = plan.join(last.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s")), "left")
+    return cut(plan.select("_source", "source_size", "target", "epochs", "_first", "_last"))
 
 
-def mixed(
-    rows: DataFrame, plan: DataFrame, source_col: str = "source", id_col: str = "doc_id"
-) -> DataFrame:
-    """Adds source_size, target and copies (how often the mix takes the document) to rows with _size and _key."""
-    out = join_small(rows, plan, rows[source_col].eqNullSafe(plan["_source"]))
-    bucket = _bucket(F.col("_key"))
-    mark = F.struct(F.col("_key"), F.col(id_col).alias("_id"))
-    more = (bucket < F.col("_end")) | ((bucket == F.col("_end")) & F.coalesce(mark <= F.col("_last"), F.lit(False)))
+def mixed(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Adds source_size, target and _copies (how often the mix takes the document) to rows of ``sized``."""
+    out = join_small(rows, plan, F.col("_from").eqNullSafe(F.col("_source")))
+    more = (_bucket(F.col("_key"), _FINEST) < F.col("_first")) | (F.struct("_key", "_id") <= F.col("_last"))
     copies = F.col("epochs") + F.when(F.coalesce(more, F.lit(False)), 1).otherwise(0)
-    return out.withColumn("copies", copies.cast("long")).drop("_source", "epochs", "_end", "_last")
+    return out.withColumn("_copies", copies.cast("long"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None,
+    most_sorted: int = MOST_SORTED,
+) -> DataFrame:
     """One row per document: id_col, size, source_size, target, taken.
 
     The whole mix is as large as all documents. A null source is one more source, the last. Null and
     empty texts have size 0, and nothing is taken from them. Rows of one id have one place in the order
-    and are taken or left together. Reruns agree, as keys depend on ids and texts alone.
+    and are taken or left together; all null ids are one id. Ties of keys go by id. Reruns agree, as keys
+    depend on ids and weights alone. ``weight`` (by default ``quality_weight``, a share of symbols; a null
+    is 1) is a document's quality. Very long texts are counted by one built-in function, in the row. An
+    empty table has no rows; other columns, whatever their names, are not looked at.
     """
-    rows = cut(sized(docs, id_col, text_col).select(id_col, F.col(source_col).alias("_from"), "_size", "_key"))
-    out = mixed(rows, mix_plan(rows, "_from", id_col), "_from", id_col)
-    return out.select(
-        id_col, F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("copies")).alias("taken")
-    )
+    rows = cut(sized(docs, id_col, text_col, source_col, weight))
+    return mixed(rows, mix_plan(rows, most_sorted=most_sorted)).select(
+        F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target",
+        (F.col("_size") * F.col("_copies")).alias("taken"),
+    )
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: each document as often as it is taken, with its own columns."""
-    rows = sized(docs, id_col, text_col)
-    out = mixed(rows, mix_plan(rows, source_col, id_col), source_col, id_col).where("copies > 0 and _size > 0")
-    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
+def mixed_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None
+) -> DataFrame:
+    """The mix itself: each document as often as ``mix`` takes it, with its own columns, whatever their names."""
+    rows = sized(docs, id_col, text_col, source_col, weight, keep=True)
+    out = mixed(rows, mix_plan(rows)).where("_copies > 0 and _size > 0")
+    return out.select("_doc", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_doc.*")
 
 
 #: The same rows in DuckDB, from one total sort of each source's keys.
