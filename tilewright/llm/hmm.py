@@ -271,6 +271,13 @@ def _most_frequent(words: DataFrame, most: int) -> list:
     return sorted(found, key=lambda r: (-r["c"], bytes(r["word"])))
 
 
+def _own_and_sent(words: DataFrame, own: int, most: int) -> list:
+    """The ``own`` commonest words (exact, ties by their bytes), then other frequent words, some ``most`` in all."""
+    first = words.orderBy(F.desc("c"), "word").limit(own).collect()
+    held = {bytes(r["word"]) for r in first}
+    return first + [r for r in _most_frequent(words, most) if bytes(r["word"]) not in held]
+
+
 def _first_model(table: np.ndarray, totals: np.ndarray, states: int) -> Model:
     """States from word clusters, each word's share of a state falling with its distance from the state's centre."""
     seen = np.maximum(np.diag(table), 1e-9)
@@ -319,26 +326,28 @@ def _word_class(word: Column) -> Column:
     return (F.crc32(tail) % SHARED + 1 + OWN).cast("int")
 
 
-def hmm_scores(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, rounds: int = ROUNDS
-) -> DataFrame:
-    """One row per document: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score.
-
-    Learns from documents whose crc32(id as text) mod 5 is not 1 (a null id counts as the empty text).
-    base_score is the smoothed unigram log10 probability; score is the model's log10 probability of the
-    whole text. A null or empty text is its end token alone. Repeated rows each count and get a row. With
-    no training rows all counts are 0 and the scores follow from the smoothing alone.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    rows = rows.withColumn("held_out", crc_mod(F.col("_id"), 5) == 1)
-
-    train = rows.where("not held_out")
-    ends = train.select("_id").count()
-    words = cut(train.select("_text").mapInArrow(_count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")))
-    top = _most_frequent(words, SENT)
+@dataclass
+class Trained:
+    """What training leaves: the model, the counts of words and of classes, and the coded documents."""
+
+    model: Model
+    coded: DataFrame
+    #: word, c: all words of the training documents
+    words: DataFrame
+    own: list[bytes]
+    train_tokens: int
+    class_n: np.ndarray
+    class_v: np.ndarray
+
+
+def train(rows: DataFrame, states: int, rounds: int) -> Trained:
+    """Learns from the rows (_id, _text, held_out) that are not held out; codes all of them."""
+    spark = rows.sparkSession
+    learnt = rows.where("not held_out")
+    ends = learnt.select("_id").count()
+    words = cut(learnt.select("_text").mapInArrow(_count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")))
+    top = _own_and_sent(words, OWN, SENT)
     sent = spark.sparkContext.broadcast([(bytes(r["word"]), r["c"]) for r in top])
-    own = sum(r["c"] for r in top[:OWN])
     n_all, v_words = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     train_tokens, v_all = n_all + ends, v_words + (ends > 0)
 
@@ -353,7 +362,6 @@ def hmm_scores(
     totals = class_n.copy()
     totals[0] = ends
     totals[1 : 1 + len(top[:OWN])] = [r["c"] for r in top[:OWN]]
-    assert abs(totals[1 : 1 + OWN].sum() - own) < 0.5
 
     numbered = rows.withColumn("_row", F.monotonically_increasing_id())
     coder = _encode(sent, ends, train_tokens, v_all, class_n, class_v)
@@ -367,11 +375,32 @@ def hmm_scores(
     for _ in range(rounds):
         found = learn.mapInArrow(_expect(spark.sparkContext.broadcast(model)), "kind int, i int, row array<double>")
         model = _next_model(_sums(found, ["kind", "i"], states), states, totals)
-    paths = coded.select("_row", "ids").mapInArrow(_score(spark.sparkContext.broadcast(model)), "_row long, path_score double")
+    return Trained(model, coded, words, [bytes(r["word"]) for r in top[:OWN]], train_tokens, class_n, class_v)
+
+
+def hmm_scores(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, rounds: int = ROUNDS
+) -> DataFrame:
+    """One row per document: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    Learns from documents whose crc32(id as text) mod 5 is not 1 (a null id counts as the empty text).
+    base_score is the smoothed unigram log10 probability; score is the model's log10 probability of the
+    whole text. A null or empty text is its end token alone. Repeated rows each count and get a row. With
+    no training rows all counts are 0 and the scores follow from the smoothing alone; an empty table gives
+    no rows. Equally frequent words are ordered by their bytes, so reruns agree but for the order of sums.
+    Other columns are not looked at. A text is scored whole in one task: about 100 bytes of memory for
+    each of its words while it trains (its states at every place), 16 while it is scored.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    rows = rows.withColumn("held_out", crc_mod(F.col("_id"), 5) == 1)
+
+    held = train(rows, states, rounds)
+    coded = held.coded
+    paths = coded.select("_row", "ids").mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(held.model)), "_row long, path_score double")
 
     spread = coded.select("_row", F.explode("rare").alias("r")).select("_row", F.col("r.word").alias("word"), F.col("r.n").alias("n"))
     rare = (
-        spread.join(words, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+        spread.join(held.words, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
         .groupBy("_row").agg(
             F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known"),
             F.sum(F.col("n") * F.log10(F.col("c") + 0.5)).alias("more_score"),
@@ -382,7 +411,7 @@ def hmm_scores(
     return out.select(
         F.col("_id").alias(id_col), "held_out", "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(train_tokens).cast("long").alias("train_tokens"),
+        F.lit(held.train_tokens).cast("long").alias("train_tokens"),
         (F.col("base_score") + more).alias("base_score"),
         (F.col("path_score") + F.col("word_score") + more).alias("score"),
     )
