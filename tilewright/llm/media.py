@@ -141,15 +141,26 @@ class Frame:
     thumb: np.ndarray | None = None
 
 
+def _next_marker(data: np.ndarray, at: int, step: int = 1 << 20) -> int:
+    """Where the first marker but restarts and stuffing is; the data's length without one. Looks no further than a step beyond it."""
+    while at + 1 < len(data):
+        part = data[at : at + step + 1]
+        ff = np.flatnonzero(part[:-1] == 0xFF)
+        after = part[ff + 1]
+        found = ff[(after != 0) & ((after & 0xF8) != 0xD0) & (after != 0xFF)]
+        if len(found):
+            return at + int(found[0])
+        at += step
+    return len(data)
+
+
 def _scan_end(data: np.ndarray, at: int) -> tuple[list[np.ndarray], int]:
     """The unstuffed segments of the entropy-coded data from ``at``, and where the next marker is."""
-    body = data[at:]
+    end = _next_marker(data, at) - at
+    body = data[at : at + end]
     ff = np.flatnonzero(body[:-1] == 0xFF)
     after = body[ff + 1]
     restart = (after & 0xF8) == 0xD0
-    other = np.flatnonzero((after != 0) & ~restart & (after != 0xFF))
-    end = int(ff[other[0]]) if len(other) else len(body)
-    ff, restart, after = ff[ff < end], restart[ff < end], after[ff < end]
     keep = np.ones(end, bool)
     keep[ff[after == 0] + 1] = False
     marks = ff[restart]
@@ -348,17 +359,38 @@ def decode_thumbnails(frames: list[Frame]) -> None:
             f.thumb = np.clip((grid[:high, :wide] * f.quantiser + 4) // 8 + 128, 0, 255).astype(np.uint8)
 
 
-def average_hash(thumb: np.ndarray) -> str:
-    """64 bits as hex: which of 8 x 8 areas of the thumbnail are lighter than their mean."""
+class _Areas:
+    """Sums of a grid's 8 x 8 areas, from blocks of its rows one after the other."""
 
-    def areas(a: np.ndarray, axis: int) -> np.ndarray:
-        n = a.shape[axis]
-        starts = np.arange(8) * n // 8
-        sizes = np.maximum(np.diff(np.append(starts, n)), 1)
-        return np.add.reduceat(a, starts, axis=axis) / (sizes[:, None] if axis == 0 else sizes)
+    def __init__(self, high: int, wide: int):
+        self.down, self.across = np.arange(8) * high // 8, np.arange(8) * wide // 8
+        self.sizes = np.outer(self._sizes(self.down, high), self._sizes(self.across, wide))
+        self.sums, self.at = np.zeros((8, 8), np.int64), 0
 
-    small = areas(areas(thumb.astype(np.float64), 0), 1)
-    return np.packbits(small > small.mean()).tobytes().hex()
+    @staticmethod
+    def _sizes(starts: np.ndarray, n: int) -> np.ndarray:
+        return np.maximum(np.diff(np.append(starts, n)), 1)
+
+    def add(self, rows: np.ndarray) -> None:
+        by_row = np.add.reduceat(rows.astype(np.int64), self.across, axis=1)
+        place = np.arange(self.at, self.at + len(rows))
+        first = np.maximum(np.diff(np.append(self.down, np.inf)), 1)  # an area of a low grid may be empty: it shares its first row
+        for k in range(8):
+            inside = (place >= self.down[k]) & (place < self.down[k] + first[k])
+            self.sums[k] += by_row[inside].sum(axis=0)
+        self.at += len(rows)
+
+    def hash(self) -> str:
+        """64 bits as hex: which areas are lighter than their mean."""
+        means = self.sums / self.sizes
+        return np.packbits(means > means.mean()).tobytes().hex()
+
+
+def average_hash(thumb: np.ndarray) -> str:
+    """64 bits as hex: which of 8 x 8 areas of the thumbnail are lighter than their mean."""
+    areas = _Areas(*thumb.shape)
+    areas.add(thumb)
+    return areas.hash()
 
 
 def payload_of(text: str | None) -> tuple[int, bytes]:
@@ -367,51 +399,75 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + b"\xff" * (max(UNIT, -(-len(raw) // UNIT) * UNIT) - len(raw))
 
 
+_FIELDS = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+def _fields(thumbs: list[np.ndarray], media: bytes) -> tuple:
+    """_FIELDS of one stored payload."""
+    thumb = np.concatenate(thumbs)
+    payload = thumb.tobytes()
+    return (
+        len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media),
+        hashlib.sha256(media).hexdigest(), f"{8 * ACROSS}x{8 * len(thumb)}x{len(thumbs)}-{average_hash(thumb)}",
+    )
+
+
+def _long_fields(payload: bytes, images: int = 3) -> tuple:
+    """As ``_fields``, stored and read back a few images at a time, so that memory does not grow with the payload."""
+    areas, whole, stored = _Areas(len(payload) // ACROSS, ACROSS), hashlib.sha256(), hashlib.sha256()
+    n = size = frames_in = 0
+    tail = b""
+    for at in range(0, len(payload), images * MOST_ROWS * ACROSS):
+        (media,) = encode_payloads([payload[at : at + images * MOST_ROWS * ACROSS]])
+        frames = parse_frames(media)
+        decode_thumbnails(frames)
+        thumb = np.concatenate([f.thumb for f in frames])
+        back = thumb.tobytes()
+        areas.add(thumb)
+        whole.update(back)
+        stored.update(media)
+        n, size, frames_in, tail = n + len(back), size + len(media), frames_in + len(frames), (tail + back)[-32:]
+    return n, whole.hexdigest(), zlib.crc32(tail), size, stored.hexdigest(), f"{8 * ACROSS}x{8 * (n // ACROSS)}x{frames_in}-{areas.hash()}"
+
+
+def _all_fields(payloads: list[bytes]) -> list[tuple]:
+    """_FIELDS of payloads that are stored and read back together."""
+    media = encode_payloads(payloads)
+    per = [parse_frames(m) for m in media]
+    decode_thumbnails([f for frames in per for f in frames])
+    return [_fields([f.thumb for f in frames], m) for m, frames in zip(media, per, strict=True)]
+
+
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "_text", _BLOCK):
-        made = [payload_of(t) for t in batch.column("_text").to_pylist()]
-        media: list[bytes] = []
-        at = 0
-        while at < len(made):  # short texts are padded, so blocks are cut again by payload
-            end, size = at, 0
-            while end < len(made) and (end == at or size + len(made[end][1]) <= _BLOCK):
-                size += len(made[end][1])
-                end += 1
-            media += encode_payloads([p for _, p in made[at:end]])
-            at = end
-        sizes = [n for n, _ in made]
-        del made
-        rows: dict[str, list] = {c: [] for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
-        at = 0
-        while at < len(media):
-            end, size = at, 0
-            while end < len(media) and (end == at or size + len(media[end]) <= _BLOCK):
-                size += len(media[end])
-                end += 1
-            per = [parse_frames(m) for m in media[at:end]]
-            decode_thumbnails([f for frames in per for f in frames])
-            for m, frames in zip(media[at:end], per, strict=True):
-                thumb = np.concatenate([f.thumb for f in frames])
-                payload = thumb.tobytes()
-                rows["payload_bytes"].append(len(payload))
-                rows["payload_sha256"].append(hashlib.sha256(payload).hexdigest())
-                rows["tail_crc32"].append(zlib.crc32(payload[-32:]))
-                rows["media_bytes"].append(len(m))
-                rows["media_sha256"].append(hashlib.sha256(m).hexdigest())
-                high = sum(f.height for f in frames)
-                rows["feature"].append(f"{frames[0].width}x{high}x{len(frames)}-{average_hash(thumb)}")
-            at = end
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("_id"), pa.array(sizes, pa.int64())]
-            + [pa.array(v, pa.string() if isinstance(v[0], str) else pa.int64()) for v in rows.values()],
-            names=["_id", "n_bytes", *rows],
-        )
+        sizes: list[int] = []
+        rows: list[tuple] = []
+        some: list[bytes] = []
+        held = 0
+        for text in batch.column("_text").to_pylist():
+            size, payload = payload_of(text)
+            sizes.append(size)
+            if some and held + len(payload) > _BLOCK:  # short texts are padded, so blocks are cut again by payload
+                rows += _all_fields(some)
+                some, held = [], 0
+            if len(payload) > _BLOCK:
+                rows.append(_long_fields(payload))
+            else:
+                some.append(payload)
+                held += len(payload)
+        if some:
+            rows += _all_fields(some)
+        columns = [pa.array(v, pa.string() if isinstance(v[0], str) else pa.int64()) for v in zip(*rows, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(sizes, pa.int64()), *columns], names=["_id", "n_bytes", *_FIELDS])
 
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Stores every text as JPEG, decodes the stored bytes, and gives digests of both and the thumbnail's feature.
 
-    A null text is an empty one, of 576 bytes 255. Equal texts have equal values. Repeated rows each get a row.
+    A null text is an empty one, of 576 bytes 255. Equal texts have equal values. Repeated rows each get a
+    row, a null id too; an empty table gives none. Other columns are not looked at. A text longer than
+    _BLOCK is stored and read back three images at a time: beside some 150 MB a task needs about six
+    bytes for each byte of its longest text.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     schema = (
