@@ -41,9 +41,8 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     folder = shared_dir(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = public_tokenizers.path("byte_bpe_50k.json")
-    manifest = tokens.write_tokens(table(spark, sf_dir, "documents"), folder, path, 0, parts)
+    manifest = tokens.write_tokens(table(spark, sf_dir, "documents"), folder, path, 0)
     return tokens.read_digests(spark, folder, manifest)
 
 

@@ -13,6 +13,7 @@ import gc
 import json
 import mmap
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -27,6 +28,8 @@ from .common import slices
 
 NULL_ID = -(2**63)
 _PART = "part int, stem string, docs long, tokens long"
+#: Text of one part of the files, and ids read at once from them.
+PART_BYTES, READ_IDS = 256 << 20, 4_000_000
 
 
 def _open_fs(path: str) -> tuple[pafs.FileSystem, str]:
@@ -40,13 +43,23 @@ def _local(path: str) -> str | None:
     return path if path.startswith("/") else None
 
 
+def _by_words(settings: dict) -> bool:
+    """Whether a tokenizer cuts before words as byte-level ones do, and changes nothing before or after that."""
+    cuts = settings.get("pre_tokenizer") or {}
+    plain = not any(settings.get(k) for k in ("normalizer", "post_processor", "truncation", "padding"))
+    level = cuts.get("type") == "ByteLevel" and not cuts.get("add_prefix_space") and cuts.get("use_regex", True)
+    added = settings.get("added_tokens") or []
+    return plain and level and not any(t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"]) for t in added)
+
+
 class _Encoder:
     """Encodes texts by the tokenizers library, each distinct word once.
 
     The byte-level pattern always cuts before a single space, and around a single line break, between two
     non-space characters. So a text is encoded word by word (its space with the word), and a worker
     remembers the ids of words it has met (emptied at two million). A text with other white space beside
-    a space or line break, or at its ends, is encoded whole.
+    a space or line break, or at its ends, is encoded whole, and so is every text where the tokenizer's
+    own settings (see ``_by_words``) don't promise those cuts.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -57,6 +70,7 @@ class _Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = np.array([end_id], self.dtype).tobytes()
         self.line = self._whole("\n")
+        self.by_words = _by_words(json.loads(self.tokenizer.to_str()))
         #: Word to ids as bytes, or None where the word shows that its text must be encoded whole.
         self.spaced: dict[str, bytes | None] = {}
         self.plain: dict[str, bytes | None] = {}
@@ -94,6 +108,8 @@ class _Encoder:
             gc.enable()
 
     def _encode(self, texts: list[str | None]) -> list[bytes]:
+        if not self.by_words:
+            return [self._whole(text or "") + self.end for text in texts]
         split = [[line.split(" ") for line in (text or "").split("\n")] for text in texts]
         self._learn(self.plain, {words[0] for lines in split for words in lines}, "")
         later: set[str] = set()
@@ -148,20 +164,32 @@ def _writer(folder: str, tokenizer: str, end_id: int) -> Callable:
     return run
 
 
+def parts_of(docs: DataFrame, text_col: str = "text") -> int:
+    """How many parts the files of these texts need: PART_BYTES of text in each, and no fewer than shuffle partitions."""
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+
+
 def write_tokens(
-    docs: DataFrame, folder: str, tokenizer: str, end_id: int, parts: int, id_col: str = "doc_id", text_col: str = "text"
-) -> dict:
+    docs: DataFrame, folder: str, tokenizer: str, end_id: int, parts: int | None = None, id_col: str = "doc_id",
+    text_col: str = "text",
+) -> dict:
     """Encodes every text and writes the files in ascending order of ids; returns the manifest.
 
-    ``folder`` must be one that driver and executors share. A null text is empty, a null id comes first,
-    rows of one id stay together in no fixed order. The driver gets one row per part.
+    ``folder`` must be one that driver and executors share. A null text is empty, a null id comes first;
+    rows of one id are in the order of their texts' hashes, so that they may lie in several parts and
+    reruns agree (repeated rows are alike). An empty table gives a manifest without parts. Other columns
+    are not looked at. The driver gets one row per part. A text is encoded as a whole or, if long, word by
+    word with its words in a list: about 100 bytes of memory for each word.
     """
     from tokenizers import Tokenizer
 
     files, at = _open_fs(folder)
     files.create_dir(at, recursive=True)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    rows = rows.repartitionByRange(parts, "_id").sortWithinPartitions("_id")
+    order = (F.col("_id").asc_nulls_first(), F.xxhash64("_text"))
+    parts = parts_of(docs, text_col) if parts is None else parts
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     found = sorted(rows.mapInArrow(_writer(folder, tokenizer, end_id), _PART).collect())
     bases = np.concatenate([[0], np.cumsum([r["tokens"] for r in found], dtype=np.uint64)]).astype(np.uint64)
     small = Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16
@@ -181,33 +209,46 @@ def read_manifest(folder: str) -> dict:
         return json.loads(f.read())
 
 
-def _array(folder: str, name: str, dtype: str) -> np.ndarray:
-    """A file as an array: memory-mapped where it is on a mounted file system, else read."""
-    path = _local(f"{folder}/{name}")
-    if path is not None:
-        if not os.path.getsize(path):
-            return np.empty(0, dtype)
-        with open(path, "rb") as f:
-            return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ), dtype)
-    files, at = _open_fs(folder)
-    with files.open_input_file(f"{at}/{name}") as f:
-        return np.frombuffer(f.read(), dtype)
+class _Flat:
+    """A file of numbers: memory-mapped where it is on a mounted file system, else read by ranges."""
+
+    def __init__(self, folder: str, name: str, dtype: str):
+        path, self.dtype = _local(f"{folder}/{name}"), np.dtype(dtype)
+        self.map = self.file = None
+        if path is None:
+            files, at = _open_fs(folder)
+            self.file = files.open_input_file(f"{at}/{name}")
+            self.size = self.file.size() // self.dtype.itemsize
+        else:
+            self.size = os.path.getsize(path) // self.dtype.itemsize
+            if self.size:
+                with open(path, "rb") as f:
+                    self.map = np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ), self.dtype)
+
+    def __getitem__(self, span: slice) -> np.ndarray:
+        a, b, _ = span.indices(self.size)
+        if b <= a:
+            return np.empty(0, self.dtype)
+        if self.map is not None:
+            return self.map[a:b]
+        return np.frombuffer(self.file.read_at((b - a) * self.dtype.itemsize, a * self.dtype.itemsize), self.dtype)
 
 
 def _reader(folder: str, dtype: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in batch.to_pylist():
-                ids = _array(folder, f"{part['stem']}.bin", dtype)
-                offsets = _array(folder, f"{part['stem']}.idx", "<u8").astype(np.int64)
-                names = _array(folder, f"{part['stem']}.doc", "<i8")
-                for a in range(0, len(names), 5000):
-                    some = names[a : a + 5000]
-                    bounds = offsets[a : a + len(some) + 1]
-                    crcs = [
-                        zlib.crc32(ids[x:y].astype("<u4").tobytes())
-                        for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)
-                    ]
+                ids, offsets, names = (
+                    _Flat(folder, f"{part['stem']}.{end}", kind) for end, kind in (("bin", dtype), ("idx", "<u8"), ("doc", "<i8"))
+                )
+                at = 0
+                while at < names.size:  # up to 5,000 documents of READ_IDS ids in all, or one longer document
+                    bounds = offsets[at : at + 5001].astype(np.int64)
+                    n = max(1, int(np.searchsorted(bounds, bounds[0] + READ_IDS, side="right")) - 1)
+                    some, bounds = names[at : at + n], bounds[: n + 1]
+                    held = ids[int(bounds[0]) : int(bounds[-1])]
+                    inside = (bounds - bounds[0]).tolist()
+                    crcs = [zlib.crc32(held[x:y].astype("<u4").tobytes()) for x, y in zip(inside[:-1], inside[1:], strict=True)]
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(some, pa.int64(), mask=some == NULL_ID),
@@ -217,6 +258,7 @@ def _reader(folder: str, dtype: str) -> Callable:
                         ],
                         names=["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
+                    at += n
 
     return run
 
@@ -237,8 +279,7 @@ def document_tokens(folder: str, doc: int, manifest: dict | None = None) -> np.n
     manifest = manifest or read_manifest(folder)
     for part in manifest["parts"]:
         if doc < part["docs"]:
-            offsets = _array(folder, f"{part['stem']}.idx", "<u8")
-            ids = _array(folder, f"{part['stem']}.bin", "<u2" if manifest["dtype"] == "uint16" else "<u4")
-            return ids[int(offsets[doc]) : int(offsets[doc + 1])]
+            first, end = _Flat(folder, f"{part['stem']}.idx", "<u8")[doc : doc + 2].tolist()
+            return _Flat(folder, f"{part['stem']}.bin", "<u2" if manifest["dtype"] == "uint16" else "<u4")[first:end]
         doc -= part["docs"]
     raise IndexError("no such document")
