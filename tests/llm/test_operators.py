@@ -275,14 +275,31 @@ def test_shards(spark, docs, tmp_path):
     root = f"file://{tmp_path}/s"
     for i in range(5):
         assert shards.append(docs.where(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(5)) == i).coalesce(1), root) == i + 1
-    assert shards.compact(spark, root) == 6 and shards.compact(spark, root) == 6
-    assert shards.manifest(spark, root).count() < shards.manifest(spark, root, 5).count()
+    assert shards.manifest(spark, root).agg(F.sum("files"), F.sum("rows"), F.count("path")).first()[:] == (5, docs.count(), 5)
+    version = shards.compact(spark, root)
+    assert version > 5 and shards.compact(spark, root) == version
+    assert shards.manifest(spark, root).agg(F.sum("files")).first()[0] < shards.LEAST_RUN
     assert shards.live(spark, root, docs.schema).exceptAll(docs).count() == 0
-    assert shards.live(spark, root, docs.schema, 5).count() == docs.count()
+    for v in (5, version):
+        assert shards.live(spark, root, docs.schema, v).count() == docs.count()
     with pytest.raises(Exception, match="exist"):
-        shards.commit(spark, root, shards.manifest(spark, root), 6)
-    gone = shards.manifest(spark, root, 5).join(shards.manifest(spark, root, 6), "path", "left_anti").count()
-    assert gone >= shards.LEAST_RUN and shards.expire(spark, root) == gone
+        shards.commit(spark, root, shards.manifest(spark, root), version)
+    gone = shards.manifest(spark, root, 5).join(shards.manifest(spark, root, version), "path", "left_anti").count()
+    assert gone >= shards.LEAST_RUN and shards.expire(spark, root) == gone + version - 6
+    assert shards.live(spark, root, docs.schema).count() == docs.count()
+
+
+def test_compaction_goes_on_beyond_one_step(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(shards, "STEP_RUNS", 3)
+    root = f"file://{tmp_path}/s"
+    shards.append(docs, root, F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(11)))
+    shards.append(docs.limit(0), root)
+    assert shards.manifest(spark, root).count() == 11
+    shards.compact(spark, root)
+    assert shards.manifest(spark, root).agg(F.sum("files"), F.sum("rows")).first()[1] == docs.count()
+    assert shards.manifest(spark, root).agg(F.sum("files")).first()[0] < shards.LEAST_RUN
+    shards.expire(spark, root)
+    assert shards.live(spark, root, docs.schema).exceptAll(docs).count() == 0 and docs.exceptAll(shards.live(spark, root, docs.schema)).count() == 0
 
 
 def test_ranker(spark, docs, labels):

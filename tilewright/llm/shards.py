@@ -1,10 +1,12 @@
 """Shards of a growing table: small immutable files, size-tiered compaction, versioned manifests.
 
-All work is by Spark's readers and writers. A manifest is a small Parquet table (path, bytes, rows,
-tier); a version is a file that names its manifest, put in place by a rename that fails if the version
-exists. Readers see one version whole; files that no version names are never read.
+All work is by Spark's readers and writers. Shards are written in runs: the files that one arrival, or
+one merge, has written to one folder. A manifest is a small Parquet table with a row for each run (path,
+files, bytes, rows, tier, packed); a version is a file that names its manifest, put in place by a rename
+that fails if the version exists. Readers see one version whole; runs that no version names are never
+read. So the driver knows runs, not files or rows, and Spark itself lists what is in them.
 
-Compaction merges the shards of one size tier with each other: Spark packs the tier's files into read
+Compaction merges the runs of one size tier with each other: Spark packs the tier's files into read
 partitions of the target size, and each partition is written as one file, so no row is shuffled.
 """
 
@@ -18,19 +20,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .common import _path
+
 TARGET_BYTES = 128 << 20
-#: A tier holds sizes up to this many times its least; a tier is merged when it has so many shards.
+#: A tier holds mean file sizes up to this many times its least; a tier is merged when it has so many files.
 TIER_RATIO, LEAST_RUN = 4, 4
-#: Shards that one compaction reads at most; the others stay as they are until the next.
-MOST_MERGED = 50_000
+#: Runs that one step of a compaction reads; steps go on until no tier can be merged.
+STEP_RUNS = 1_000
 ROW_GROUP_BYTES = 16 << 20
 
 
-def _path(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def _names(spark: SparkSession, folder: str) -> list[str]:
     p, fs = _path(spark, folder)
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
@@ -42,10 +41,10 @@ def latest(spark: SparkSession, root: str) -> int:
 
 
 def manifest(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
-    """path, bytes, rows, tier of a version's shards."""
+    """path, files, bytes, rows, tier, packed of a version's runs; no rows at version 0."""
     version = latest(spark, root) if version is None else version
     if not version:
-        return spark.createDataFrame([], "path string, bytes long, rows long, tier int")
+        return spark.createDataFrame([], "path string, files long, bytes long, rows long, tier int, packed boolean")
     name = spark.read.text(f"{root}/versions/{version:08d}").first()[0]
     return spark.read.parquet(f"{root}/manifests/{name}")
 
@@ -69,23 +68,33 @@ def tier_of(size: Column) -> Column:
     return F.greatest(F.lit(0), F.ceil(F.log(F.greatest(size, F.lit(1)) / 65536.0) / F.log(F.lit(float(TIER_RATIO))))).cast("int")
 
 
-def _files(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
-    """A manifest's rows for the files that were written to a folder; files without rows are left out."""
+def _runs(spark: SparkSession, folder: str, schema: StructType, packed: bool) -> DataFrame:
+    """A manifest's rows for the runs that were written to a folder; runs without rows are left out."""
     rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(folder)
-    found = rows.groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"))
-    return found.agg(F.count(F.lit(1)).alias("rows")).withColumn("tier", tier_of(F.col("bytes")))
+    files = rows.groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"))
+    files = files.agg(F.count(F.lit(1)).alias("rows"))
+    runs = files.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("path")).agg(
+        F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")
+    )
+    return runs.withColumn("tier", tier_of(F.col("bytes") / F.col("files"))).withColumn("packed", F.lit(packed))
 
 
 def append(df: DataFrame, root: str, arrival: Column | None = None) -> int:
-    """Writes the rows as new small shards (apart by arrival, if given) and commits them; returns the version."""
+    """Writes the rows as a new run of small shards (one for each arrival, if given) and commits; returns the version.
+
+    All appends have the same columns, of any names. Rows are stored as they are: nulls, empty and long
+    texts, ties and repeated rows. An empty table makes a version without new runs. A null arrival is one
+    more arrival. Two writers at once: one of them fails and its files are named by no version.
+    """
     spark = df.sparkSession
     version, folder = latest(spark, root) + 1, f"{root}/data/{uuid.uuid4().hex}"
     if arrival is None:
         df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(folder)
     else:
-        df.withColumn("_arrival", arrival).write.option("parquet.block.size", ROW_GROUP_BYTES).partitionBy("_arrival").parquet(folder)
+        lot = f"lot_{uuid.uuid4().hex}"
+        df.withColumn(lot, arrival).write.option("parquet.block.size", ROW_GROUP_BYTES).partitionBy(lot).parquet(folder)
     before = manifest(spark, root, version - 1)
-    commit(spark, root, before.union(_files(spark, folder, df.schema).select(*before.columns)), version)
+    commit(spark, root, before.union(_runs(spark, folder, df.schema, False).select(*before.columns)), version)
     return version
 
 
@@ -106,44 +115,60 @@ def _packed_reads(spark: SparkSession, target: int) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def _next_step(now: DataFrame, target: int) -> list[str]:
+    """The runs of the lowest tier that can be merged, STEP_RUNS at most; none if no tier can.
+
+    A tier of files below half the target size can if two of its runs, or one that no merge has packed,
+    have LEAST_RUN files in all. Each step leaves fewer runs, or fewer unpacked ones, so steps end.
+    """
+    small = now.where(F.col("bytes") < F.col("files") * (target // 2))
+    tiers = small.groupBy("tier").agg(
+        F.sum("files").alias("files"), F.count(F.lit(1)).alias("runs"), F.bool_or(~F.col("packed")).alias("loose")
+    )
+    lowest = tiers.where((F.col("files") >= LEAST_RUN) & ((F.col("runs") > 1) | F.col("loose"))).agg(F.min("tier")).first()[0]
+    if lowest is None:
+        return []
+    return [r["path"] for r in small.where(F.col("tier") == lowest).orderBy("packed", "path").limit(STEP_RUNS).collect()]
+
+
 def compact(spark: SparkSession, root: str, target: int = TARGET_BYTES) -> int:
-    """Merges each tier that has a run of LEAST_RUN shards below half the target size; returns the version.
+    """Merges tiers, from the lowest on, until none can be merged; returns the version.
 
-    The version stays the same if no tier has such a run.
+    Each step commits a version of its own, so that a compaction that is broken off loses one step; the
+    version stays the same if there is nothing to merge. No row is changed, dropped or shuffled. A table
+    without versions or rows stays as it is.
     """
     version = latest(spark, root)
-    now = manifest(spark, root, version)
-    small = now.where(F.col("bytes") < target // 2).orderBy("tier", "path").limit(MOST_MERGED).collect()
-    by_tier: dict[int, list[str]] = {}
-    for r in small:
-        by_tier.setdefault(r["tier"], []).append(r["path"])
-    runs = {tier: paths for tier, paths in by_tier.items() if len(paths) >= LEAST_RUN}
-    if not runs:
-        return version
-    folder, schema = f"{root}/data/{uuid.uuid4().hex}", spark.read.parquet(small[0]["path"]).schema
-    with _packed_reads(spark, target):
-        for tier, paths in runs.items():
-            merged = spark.read.schema(schema).parquet(*paths)
-            merged.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(f"{folder}/tier={tier}")
-    gone = spark.createDataFrame([(p,) for paths in runs.values() for p in paths], "path string")
-    stay = now.join(gone, "path", "left_anti")
-    commit(spark, root, stay.union(_files(spark, folder, schema).select(*stay.columns)), version + 1)
-    return version + 1
+    while paths := _next_step(now := manifest(spark, root, version), target):
+        folder, schema = f"{root}/data/{uuid.uuid4().hex}", spark.read.parquet(paths[0]).schema
+        with _packed_reads(spark, target):
+            _read(spark, schema, paths).write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(folder)
+        gone = spark.createDataFrame([(p,) for p in paths], "path string")
+        stay = now.join(gone, "path", "left_anti")
+        commit(spark, root, stay.union(_runs(spark, folder, schema, True).select(*stay.columns)), version + 1)
+        version += 1
+    return version
+
+
+def _read(spark: SparkSession, schema: StructType, paths: list[str]) -> DataFrame:
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*paths)
 
 
 def live(spark: SparkSession, root: str, schema: StructType, version: int | None = None) -> DataFrame:
-    """The rows of a version's shards; none if it has none."""
+    """The rows of a version's runs; none if it has none. The driver gets the runs' folders, and Spark lists their files."""
     paths = [r["path"] for r in manifest(spark, root, version).select("path").collect()]
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+    return _read(spark, schema, paths) if paths else spark.createDataFrame([], schema)
 
 
 def expire(spark: SparkSession, root: str) -> int:
-    """Deletes the files that the last version does not name; returns how many. Run it when no reader needs an older version."""
-    named = {r["path"].rpartition("/data/")[2] for r in manifest(spark, root).select("path").collect()}
-    top, fs = _path(spark, f"{root}/data")
-    found, gone = fs.listFiles(top, True), 0
-    while found.hasNext():
-        path = found.next().getPath()
-        if path.getName().startswith("part-") and path.toUri().getPath().rpartition("/data/")[2] not in named:
-            gone += bool(fs.delete(path, False))
+    """Deletes the runs that the last version does not name; returns how many. Run it when no reader needs an older version."""
+    within = lambda path: path.rpartition("/data/")[2].rstrip("/")
+    named = {within(r["path"]) for r in manifest(spark, root).select("path").collect()}
+    roots, gone = {x.partition("/")[0] for x in named}, 0
+    for name in _names(spark, f"{root}/data"):
+        inside = [f"{name}/{x}" for x in _names(spark, f"{root}/data/{name}") if "=" in x] if name in roots else [name]
+        for run in inside or [name]:
+            if run not in named:
+                p, fs = _path(spark, f"{root}/data/{run}")
+                gone += bool(fs.delete(p, True))
     return gone
