@@ -5,22 +5,22 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import cards, numbers
 from tilewright.operators import metrics, nearest, signals
-from tilewright.sources import files, store, text
+from tilewright.sources import files, manifests, store, text
 from tilewright.streaming import pending
 
-TRUTH = """#blue_sheet_001:
+TRUTH = """#blue_sheet_003:
 #card1
-[1, 19, 44, 58, 71]
-[13, FREE, 39]
+[8, 21, 33, 50, 66]
+[2, FREE, 40]
 
 #card2
-[11, 26]
-#blue_sheet_012:
-[9, 9]
+[14, 16]
+#blue_sheet_020:
+[4, 4]
 #card1
-[5]
+[7]
 """
-CARDS = "x/in_1.PNG:\nCard one:\nNine, 10, 11, two, 15,\n18, 22, 17, 24, 29, 45, 34, 42, 43, 47, 51, 58, 59, 53, 66, 61, 69, 73, nope\n"
+DICTATED = "y/shot_7.jpg:\nCard two:\nthree, 12, 6, fourteen, 8,\n16, 30, 21, 27, nineteen, 31, 44, 38, 36, 60, 46, 55, 49, 52, 62, 75, 70, 64, what\n"
 
 
 def test_truth_text(spark, tmp_path):
@@ -28,15 +28,15 @@ def test_truth_text(spark, tmp_path):
     rows = text.truth_cells(text.numbered_lines(spark, str(tmp_path))).collect()
     found = {(r["sheet"], r["card"], r["r"], r["c"]): r["value"] for r in rows}
     assert len(found) == len(rows) == 11  # numbers before a card are left out
-    assert found[1, 1, 0, 4] == 71 and found[1, 1, 1, 1] is None and found[1, 2, 0, 1] == 26 and found[12, 1, 0, 0] == 5
+    assert found[3, 1, 0, 4] == 66 and found[3, 1, 1, 1] is None and found[3, 2, 0, 1] == 16 and found[20, 1, 0, 0] == 7
 
 
 def test_dictated_cards(spark, tmp_path):
-    (tmp_path / "a.txt").write_text(CARDS)
+    (tmp_path / "a.txt").write_text(DICTATED)
     rows = text.dictated_cells(text.numbered_lines(spark, str(tmp_path))).collect()
     found = {(r["r"], r["c"]): r["value"] for r in rows}
-    assert len(rows) == 24 and (2, 2) not in found and {(r["image"], r["card"]) for r in rows} == {("x/in_1.PNG", 1)}
-    assert found[0, 0] == 9 and found[3, 0] == 2 and found[1, 2] == 34 and found[3, 2] == 42 and found[0, 3] == 47 and found[0, 4] == 66
+    assert len(rows) == 24 and (2, 2) not in found and {(r["image"], r["card"]) for r in rows} == {("y/shot_7.jpg", 2)}
+    assert found[0, 0] == 3 and found[3, 0] == 14 and found[4, 1] == 19 and found[1, 2] == 44 and found[3, 2] == 38 and found[0, 3] == 60 and found[0, 4] == 62
     assert [(r["r"], r["c"]) for r in rows if r["bad"]] == [(4, 4)]
 
 
@@ -146,3 +146,27 @@ def test_files(spark, tmp_path):
         "170_ab12cd_c1_r2c3_x.jpg": (17, 3, 170, "ab12cd", 1, 2, 3, True), "171_c2_r0c4.PNG": (17, 3, 171, None, 2, 0, 4, False),
         "abc_c1.jpeg": (5, 3, None, None, None, None, None, False),
     }
+    without = spark.createDataFrame([(171,)], "sheet long")
+    assert {r["name"] for r in files.labelled_files(spark, str(tmp_path), without=without).collect()} == {"170_ab12cd_c1_r2c3_x.jpg", "abc_c1.jpeg"}
+
+
+def test_names_and_writes(spark, tmp_path):
+    name = files.format_name(F.lit(170), F.lit("ab12cd"), F.lit(1), F.lit(2), F.lit(3), F.col("id") == 1)
+    found = spark.range(2).select(name.alias("n"), *[c.alias(k) for k, c in files.cell_name(name).items()]).collect()
+    assert [tuple(r) for r in found] == [("170_ab12cd_c1_r2c3.jpg", 170, "ab12cd", 1, 2, 3, False), ("170_ab12cd_c1_r2c3_x.jpg", 170, "ab12cd", 1, 2, 3, True)]
+    rows, root = spark.createDataFrame([(1, 5, "a"), (2, 6, "b"), (2, 7, "c")], "id long, label int, image string"), str(tmp_path / "l")
+    assert files.new_by_label(rows, None, ["id"], root, "label").count() == 2
+    files.new_by_label(rows.union(spark.createDataFrame([(3, 6, "d")], rows.schema)), spark.read.parquet(root), ["id"], root, "label")
+    assert sorted((r["id"], r["label"]) for r in spark.read.parquet(root).collect()) == [(1, 5), (2, 6), (3, 6)]
+    lines, text_root = spark.createDataFrame([("x",)], "value string"), str(tmp_path / "t")
+    assert files.append_text(lines, text_root, str(tmp_path / "b")) is None
+    copy = files.append_text(lines, text_root, str(tmp_path / "b"))
+    assert spark.read.text(copy).count() == 1 and spark.read.text(text_root).count() == 2
+    ids = spark.createDataFrame([(None, "a"), (1, "a")], "k long, t string").select(files.stable_id("k", "t"), files.digits_of(F.lit("a-1b2")), files.digits_of(F.lit("x"))).collect()
+    assert ids[0][0] != ids[1][0] and len(ids[0][0]) == 32 and ids[0][1:] == ("12", None)
+
+
+def test_manifest_file(spark, tmp_path):
+    (tmp_path / "m.json").write_text('{"10": {"cards": 3, "note": null}, "9": {"cards": 1, "note": "n"}, "b": {"cards": 2}}')
+    rows = manifests.read_cases(spark, str(tmp_path / "m.json"), "cards int, note string").orderBy("place").collect()
+    assert [(r["key"], r["case"]["cards"], r["place"]) for r in rows] == [("9", 1, 1), ("10", 3, 2), ("b", 2, 3)]

@@ -41,13 +41,16 @@ def test_parser():
     assert found["some"] == p.Any((p.AtLeast(31, 3), p.All((p.Mask(p.col_mask(0)), p.AtMost(31, 1)))))
 
 
+_MASK = "MASK {}\nXXXXX\n-----\n-----\n-----\n-----\n"
+
+
 @pytest.mark.parametrize(
     "text",
     [
-        "MASK a\nXXXX\n-----\n-----\n-----\n-----", "MASK a\nXXXXY\n-----\n-----\n-----\n-----", "MASK a\nXXXXX",
-        "PATTERN x\nnone", "PATTERN x", TEXT + "PATTERN both\ntop", TEXT + "MASK more\nXXXXX\n-----\n-----\n-----\n-----",
-        TEXT + "PATTERN q\nAtLeast(top, 26)", TEXT + "PATTERN q\nAtLeast(top)", TEXT + "PATTERN q\nAND\n    top\n      left",
-        TEXT + "PATTERN q\nAND",
+        "MASK a\nXXXX\n-----\n-----\n-----\n-----", "MASK a\nXXXXY\n-----\n-----\n-----\n-----", "MASK a\nXXXXX", _MASK.format("a") * 2,
+        "PATTERN x\nnone", "PATTERN x", "PATTERN x\nPATTERN y\nOR", TEXT + "PATTERN both\nOR\n top", TEXT + _MASK.format("more"),
+        TEXT + "PATTERN q\ntop", TEXT + "PATTERN q\nand\n  top", TEXT + "PATTERN q\nAND\n  top\n  nothing", TEXT + "PATTERN q\nOR\n  and",
+        *[TEXT + f"PATTERN q\nOR\n  {rule}" for rule in ("AtLeast(top, 26)", "AtLeast(top, -1)", "AtLeast(top)", "AtMost(no, 1)", "atleast(top, 1)", "AtLeast(top, 1) x")],
     ],
 )
 def test_parser_refuses(text):
@@ -55,6 +58,15 @@ def test_parser_refuses(text):
         p.parse(text)
 
 
+def test_parser_accepts():
+    """Parts indented as they like, operators without parts, lines that belong to nothing, names with odd characters."""
+    text = "title\n" + _MASK.format("a\\b c") + "# note\nPATTERN q\n  AND\n     a\\b c\n    OR\n          AND\n       AtMost(x-1, 0)\n   AtLeast(x-1,25)\nstray\n     more\n\nPATTERN r\nOR\nrest\nPATTERN s\nAND\n a\\b c"
+    found = p.parse(_MASK.format("x-1") + text)
+    m = p.Mask(31)
+    assert found == {"q": p.All((m, p.Any((p.All(()), p.AtMost(31, 0))), p.AtLeast(31, 25))), "r": p.Any(()), "s": p.All((m,))}
+    assert p.parse("") == {} and p.parse("MASK\nPATTERN\n MASK a\n") == {}
+
+
 def test_named_patterns():
     assert len(p.PATTERNS["six_pack"].parts) == 24
     assert p.row_mask(0) == 31 and p.col_mask(0) == 1082401 and p.DIAGONALS == (17043521, 1118480)
@@ -94,10 +106,11 @@ def test_holds_column(spark):
 
 
 def test_labels(spark):
-    rows = spark.createDataFrame([("52",), (" g52 ",), ("B52",), ("0",), ("76",), ("x",), (None,)], "t string")
+    rows = spark.createDataFrame([("52",), (" g52 ",), ("B52",), ("0",), ("76",), ("x",), (None,), ("99999999999999999999",), ("007",)], "t string")
     found = rows.select(labels.lenient_label(F.col("t")), labels.strict_label(F.col("t"))).collect()
     assert [tuple(r) for r in found] == [
-        ("G52", "G52"), ("G52", "G52"), ("B52", None), ("O0", None), ("O76", None), ("X", None), (None, None)
+        ("G52", "G52"), ("G52", "G52"), ("B52", None), ("O0", None), ("O76", None), ("X", None), (None, None),
+        ("O99999999999999999999", None), ("B7", "B7"),
     ]
 
 
@@ -111,10 +124,46 @@ def test_stream_equals_batch(spark, tmp_path):
     run = wins.writeStream.format("memory").queryName("wins").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     run.awaitTermination(120)
     found = {r["user_id"]: r["seq"] for r in spark.table("wins").collect()}
-    told = replay.win_sequence(rows, "user_id", F.col("bit"), F.col("seq"), p.PATTERNS["standard"]).collect()
+    told = replay.win_sequence(rows, "user_id", F.col("bit"), ["seq"], p.PATTERNS["standard"]).collect()
     assert found == {r["user_id"]: r["win_seq"] for r in told}
 
 
+def test_repeated_calls_announce_nothing(spark, tmp_path):
+    """A stream of calls, with repeats and calls off the card: the calls that mark a new cell and leave the pattern holding."""
+    r = random.Random(8)
+    rows = [(u, s, r.choice([None, *range(25)])) for u in range(4) for s in range(1, 120)]
+    told, pattern = [], p.PATTERNS["standard"]
+    for u in range(4):
+        marked = 1 << p.FREE_BIT
+        for _, s, bit in (x for x in rows if x[0] == u):
+            if bit is not None and not marked >> bit & 1:
+                marked |= 1 << bit
+                if p.holds_for(pattern, marked):
+                    told.append((u, s, marked))
+    table, path = spark.createDataFrame(rows, "user_id long, seq long, bit int"), str(tmp_path / "in")
+    for a, b in ((1, 40), (40, 41), (41, 200)):
+        table.where(f"seq >= {a} and seq < {b}").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 100).parquet(path)
+    wins = games.running_wins(stream, "user_id", pattern, once=False)
+    run = wins.writeStream.format("memory").queryName("again").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    assert sorted(tuple(x) for x in spark.table("again").collect()) == sorted(told)
+    first = {u: min(s for v, s, _ in told if v == u) for u, _, _ in told}
+    found = replay.win_sequence(table, "user_id", F.col("bit"), ["seq"], pattern).collect()
+    assert {x["user_id"]: x["win_seq"] for x in found} == first
+
+
+def test_unique_calls(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 5, f"2024-01-01 00:0{i}:00") for i in range(3)] + [(1, 6, "2024-01-01 00:05:00")], "game long, number int, ts string")
+    rows = rows.withColumn("ts", F.to_timestamp_ntz("ts"))
+    assert games.unique_calls(rows, ["game", "number"], "ts").count() == 2
+    rows.write.parquet(str(tmp_path / "u"))
+    stream = games.unique_calls(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "u")), ["game", "number"], "ts")
+    run = stream.writeStream.format("memory").queryName("unique").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    assert spark.table("unique").count() == 2
+
+
 def test_store(spark, tmp_path):
     root = str(tmp_path / "s")
     rows = spark.createDataFrame([(1, '{"a": 5}'), (2, "{not json"), (3, "{}"), (4, None)], "id long, blob string")

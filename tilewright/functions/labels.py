@@ -22,11 +22,12 @@ def label_of(n: Column) -> Column:
 
 
 def lenient_label(text: Column) -> Column:
-    """Upper-cased text; digits get the letter of their range, where 0 and all above 60 get the last letter."""
+    """Upper-cased text; digits (of any length) lose leading zeros and get the letter of their range, where 0 and all above 60 get the last."""
     t = F.upper(F.trim(text))
-    n = t.try_cast("int")
+    digits = F.regexp_replace(t, "^0+(?=[0-9])", "")
+    n = F.when(F.length(digits) <= 2, digits.try_cast("int"))
     letter = F.coalesce(F.when(n <= 60, letter_of(n)), F.lit(LETTERS[-1]))
-    return F.when(t.rlike("^[0-9]+$"), F.concat(letter, n.cast("string"))).otherwise(t)
+    return F.when(t.rlike("^[0-9]+$"), F.concat(letter, digits)).otherwise(t)
 
 
 def strict_label(text: Column) -> Column:

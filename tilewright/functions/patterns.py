@@ -125,102 +125,109 @@ def holds_for(pattern, marked: int) -> bool:
     return any(holds_for(p, marked) for p in pattern.parts)
 
 
-def first_win(pattern, positions: list[Column]) -> Column:
-    """The first position at which a pattern without AtMost holds; NEVER if it never does. Positions must not be null."""
+def first_win(pattern, positions: list[Column], start: Column | None = None, never: Column | None = None) -> Column:
+    """The first position at which a pattern without AtMost holds; ``never`` if it never does. Positions must not be null.
+
+    Positions are of any type with an order; ``start`` is before and ``never`` after all others (0 and NEVER by default).
+    """
+    start = F.lit(0).cast("long") if start is None else start
+    never = F.lit(NEVER) if never is None else never
     match pattern:
         case Mask(bits):
             cells = [positions[i] for i in cells_of(bits)]
-            return F.greatest(*cells) if len(cells) > 1 else cells[0] if cells else F.lit(0).cast("long")
+            return F.greatest(*cells) if len(cells) > 1 else cells[0] if cells else start
         case AtLeast(bits, n):
             cells = cells_of(bits)
             if n <= 0:
-                return F.lit(0).cast("long")
+                return start
             if n > len(cells):
-                return F.lit(NEVER)
+                return never
             return F.element_at(F.array_sort(F.array(*[positions[i] for i in cells])), n)
         case All(parts) | Any(parts):
-            found = [first_win(p, positions) for p in parts]
+            found = [first_win(p, positions, start, never) for p in parts]
             if not found:
-                return F.lit(0 if isinstance(pattern, All) else NEVER).cast("long")
+                return start if isinstance(pattern, All) else never
             return found[0] if len(found) == 1 else (F.greatest if isinstance(pattern, All) else F.least)(*found)
     raise PatternError("AtMost can stop holding: replay the calls instead")
 
 
-_CALL = re.compile(r"(AtLeast|AtMost)\(\s*([^,\s]+)\s*,\s*(\d+)\s*\)$", re.I)
+_RULE = re.compile(r"(AtLeast|AtMost)\(\s*([A-Za-z0-9_-]+)\s*,\s*(-?[0-9]+)\s*\)")
 
 
-def parse(text: str) -> dict[str, object]:
-    """Patterns by name from text: MASK blocks of five rows, then PATTERN blocks with indented rules.
+def _rule(word: str, masks: dict[str, int]):
+    """A line of a pattern's body that is neither AND nor OR: a count rule, or the name of a mask, which may hold any characters."""
+    name, n = word, None
+    if word.startswith(("AtLeast(", "AtMost(")):
+        found = _RULE.fullmatch(word)
+        if not found:
+            raise PatternError(f"bad rule: {word}")
+        name, n = found[2], int(found[3])
+    if name not in masks:
+        raise PatternError(f"unknown mask: {name}")
+    if n is None:
+        return Mask(masks[name])
+    if not 0 <= n <= CELLS:
+        raise PatternError(f"number outside 0..{CELLS}: {n}")
+    return (AtLeast if word.startswith("AtLeast") else AtMost)(masks[name], n)
+
+
+def _closed(node: tuple):
+    """An operator's list of parts, and those within it, as All and Any."""
+    word, parts = node
+    return (All if word == "AND" else Any)(tuple(_closed(x) if isinstance(x, tuple) else x for x in parts))
+
 
-    Blank lines and lines that begin with # are left out. Raises PatternError for a row that is not five
-    of X and -, a mask that ends early or comes twice or after a pattern, wrong indentation, an unknown
-    mask, a rule whose number is not in 0..25, and a pattern without body or twice.
+def parse(text: str) -> dict[str, object]:
+    """Patterns by name from text: MASK blocks of five rows, then PATTERN blocks.
+
+    A block begins at a line's start. The first line of a pattern's body is AND or OR, its parts are the
+    lines below that are indented more than it (by spaces, and among themselves as they like): rules, names
+    of masks, or AND and OR again; one without parts is allowed. Blank lines and lines that begin with # are left
+    out, and so are lines that belong to no block. Raises PatternError for a row that is not five of X, x and -,
+    a mask that ends early, a name that comes twice, a mask after the first pattern, a body that begins
+    otherwise or is missing, a malformed rule, an unknown mask, and a number that is not in 0..25.
     """
-    lines = [x.rstrip() for x in text.splitlines() if x.strip() and not x.lstrip().startswith("#")]
+    lines = [x for x in text.splitlines() if x.strip() and not x.lstrip().startswith("#")]
     masks: dict[str, int] = {}
     patterns: dict[str, object] = {}
     at = 0
-
-    def indent(line: str) -> int:
-        return len(line) - len(line.lstrip())
-
-    def leaf(word: str):
-        call = _CALL.match(word)
-        if not call:
-            if re.match(r"atleast|atmost|.*\(", word, re.I):
-                raise PatternError(f"bad rule: {word}")
-            if word not in masks:
-                raise PatternError(f"unknown mask: {word}")
-            return Mask(masks[word])
-        kind, name, n = call[1].lower(), call[2], int(call[3])
-        if name not in masks:
-            raise PatternError(f"unknown mask: {name}")
-        if n > CELLS:
-            raise PatternError(f"number outside 0..{CELLS}: {n}")
-        return (AtLeast if kind == "atleast" else AtMost)(masks[name], n)
-
-    def tree(least: int):
-        nonlocal at
-        line = lines[at]
-        depth, word = indent(line), line.strip()
-        at += 1
-        if word.upper() not in ("AND", "OR"):
-            return leaf(word)
-        parts, inner = [], None
-        while at < len(lines) and indent(lines[at]) > depth and not lines[at].strip().startswith(("PATTERN ", "MASK ")):
-            inner = indent(lines[at]) if inner is None else inner
-            if indent(lines[at]) != inner:
-                raise PatternError(f"wrong indentation: {lines[at]!r}")
-            parts.append(tree(inner))
-        if not parts:
-            raise PatternError(f"{word} without parts")
-        return (All if word.upper() == "AND" else Any)(tuple(parts))
-
     while at < len(lines):
-        kind, _, name = lines[at].strip().partition(" ")
-        name = name.strip()
-        if kind == "MASK":
+        kind, _, name = lines[at].partition(" ")
+        name, at = name.strip(), at + 1
+        if kind == "MASK" and " " in lines[at - 1]:
             if patterns:
                 raise PatternError("a mask after a pattern")
+            rows, at = [x.strip() for x in lines[at : at + SIDE]], at + SIDE
             if name in masks:
                 raise PatternError(f"mask twice: {name}")
-            rows = [x.strip() for x in lines[at + 1 : at + 1 + SIDE]]
             if len(rows) < SIDE:
                 raise PatternError(f"mask ends early: {name}")
             for row in rows:
                 if not re.fullmatch(r"[Xx-]{5}", row):
                     raise PatternError(f"not five of X and -: {row!r}")
-            masks[name] = sum(1 << i for i, x in enumerate("".join(rows)) if x in "Xx")
-            at += 1 + SIDE
-        elif kind == "PATTERN":
+            masks[name] = sum(1 << i for i, x in enumerate("".join(rows)) if x != "-")
+        elif kind == "PATTERN" and " " in lines[at - 1]:
+            if at >= len(lines) or lines[at].strip() not in ("AND", "OR"):
+                raise PatternError(f"a body begins with AND or OR: {name}")
             if name in patterns:
                 raise PatternError(f"pattern twice: {name}")
-            at += 1
-            if at >= len(lines) or lines[at].strip().startswith("PATTERN "):
-                raise PatternError(f"pattern without body: {name}")
-            patterns[name] = tree(0)
-        elif patterns:
-            raise PatternError(f"unexpected line: {lines[at]!r}")
-        else:
-            at += 1
+            root: tuple = (lines[at].strip(), [])
+            open_nodes = [(_indent(lines[at]), root)]
+            for line in lines[at + 1 :]:
+                while open_nodes and _indent(line) <= open_nodes[-1][0]:
+                    open_nodes.pop()
+                if not open_nodes:
+                    break
+                at, word = at + 1, line.strip()
+                parts = open_nodes[-1][1][1]
+                if word in ("AND", "OR"):
+                    parts.append((word, []))
+                    open_nodes.append((_indent(line), parts[-1]))
+                else:
+                    parts.append(_rule(word, masks))
+            patterns[name], at = _closed(root), at + 1
     return patterns
+
+
+def _indent(line: str) -> int:
+    return len(line) - len(line.lstrip(" "))

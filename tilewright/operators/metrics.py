@@ -22,6 +22,30 @@ def class_report(rows: DataFrame, truth: str, pred: str) -> DataFrame:
     return out.select("label", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("support", "predicted", "hits")])
 
 
+def label_report(rows: DataFrame, truth: str, pred: str) -> DataFrame:
+    """(label, precision, recall, f1, support): a row for each class, then accuracy, macro avg and weighted avg.
+
+    A ratio over nothing is 0. Rows without a prediction lower the recall of their class. The averages are over the
+    classes, so they read one row of each.
+    """
+    n = class_report(rows, truth, pred).where("label is not null")
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    each = n.select(
+        F.col("label").cast("string").alias("label"), ratio(F.col("hits"), F.col("predicted")).alias("precision"),
+        ratio(F.col("hits"), F.col("support")).alias("recall"), ratio(2 * F.col("hits"), F.col("predicted") + F.col("support")).alias("f1"),
+        "support", "hits",
+    )
+    figures = ("precision", "recall", "f1")
+    weighted = [ratio(F.sum(F.col(c) * F.col("support")), F.sum("support")).alias(c) for c in figures]
+    macro = each.agg(*[F.avg(c).alias(c) for c in figures], F.sum("support").alias("support")).select(F.lit("macro avg").alias("label"), "*")
+    by_size = each.agg(*weighted, F.sum("support").alias("support")).select(F.lit("weighted avg").alias("label"), "*")
+    right = ratio(F.sum("hits"), F.sum("support"))
+    accuracy = each.agg(right.alias("f1"), F.sum("support").alias("support")).select(
+        F.lit("accuracy").alias("label"), F.lit(None).cast("double").alias("precision"), F.lit(None).cast("double").alias("recall"), "f1", "support"
+    )
+    return each.drop("hits").union(accuracy).union(macro).union(by_size)
+
+
 def confusion(rows: DataFrame, truth: str, pred: str) -> DataFrame:
     return rows.groupBy(truth, pred).agg(F.count(F.lit(1)).alias("n"))
 
@@ -53,3 +77,31 @@ def group_errors(rows: DataFrame, keys: list[str], truth: str, pred: str, lackin
     wrong = ~F.col(truth).eqNullSafe(F.col(pred))
     off = F.when(wrong, F.coalesce(F.abs(F.col(truth) - F.col(pred)), F.lit(lacking)))
     return rows.groupBy(*keys).agg(F.count_if(~wrong).alias("ok"), F.count_if(wrong).alias("bad"), F.avg(off).alias("error"))
+
+
+def proven(rows: DataFrame, epoch: str, least: int) -> DataFrame:
+    """The rows whose origin is known and not older than ``least``."""
+    return rows.where(F.col(epoch) >= least)
+
+
+def split_of(sheet: Column, first: int = 1, last: int = 65) -> Column:
+    """``train`` for the sheets of a range, ``valid`` for all others and where the sheet is unknown."""
+    return F.when(sheet.between(first, last), "train").otherwise("valid")
+
+
+def class_of(number: Column, most: int = 75) -> Column:
+    """A number's place among 1 to ``most`` sorted as texts; null for another number."""
+    order = sorted(map(str, range(1, most + 1)))
+    return F.try_element_at(F.create_map(*[F.lit(x) for i, n in enumerate(order) for x in (int(n), i)]), number.cast("int"))
+
+
+def digit_reading(left: Column, right: Column, conf_left: Column, conf_right: Column) -> Column:
+    """(value, conf) of two digits read apart: the number they make, and the mean of their confidences."""
+    return F.struct((left * 10 + right).alias("value"), ((conf_left + conf_right) / 2).alias("conf"))
+
+
+def mean_confidence(confs: Column, words: Column) -> Column:
+    """The mean of the confidences of words that are not blank, negative ones left out; 0 if there are none."""
+    both = F.filter(F.arrays_zip(confs.alias("c"), words.alias("w")), lambda x: (F.trim(x["w"]) != "") & (x["c"] >= 0))
+    total = F.aggregate(both, F.lit(0.0), lambda s, x: s + x["c"].cast("double"))
+    return F.coalesce(F.try_divide(total, F.size(both)), F.lit(0.0))

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Vectors in a block; a pair of blocks of 64 dimensions takes 16 KB, and Spark sends at most 10,000 rows at once.
@@ -33,6 +33,23 @@ def snapped(targets: DataFrame, lines: DataFrame, keys: list[str], x: str, toler
     return rows.where("_target").select(*targets.columns, found.alias("snapped_to"))
 
 
+def inherited(rows: DataFrame, keys: list[str], x: str, tie: str, values: list[str], lacking: Column, far: float = float("inf")) -> DataFrame:
+    """The rows that lack values, with those of the nearest row of their keys that has them, and with _shift.
+
+    Of rows as near the lower one counts, of those at one place the one with the least ``tie``. _shift is
+    how far the row is from that one, 0 if that is more than ``far``. Without any such row values are null.
+    """
+    own = rows.where(~lacking).groupBy(*keys, x).agg(F.min(F.struct(tie, *values)).alias("_from"))
+    kept = [c for c in rows.columns if c not in values]
+    found = snapped(rows.where(lacking).select(*kept), own.select(*keys, x), keys, x, float("inf"))
+    at = own.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(x).alias("_x"), "_from")
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    both = found.join(at, [*on, F.col("snapped_to") == F.col("_x")], "left")
+    step = F.col(x) - F.col("snapped_to")
+    shift = F.when(F.abs(step) > far, F.lit(0)).otherwise(step)
+    return both.select(*kept, *[F.col(f"_from.{v}").alias(v) for v in values], shift.alias("_shift"))
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, BLOCK):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.patterns import CELLS, FREE_BIT, NEVER, first_win, holds
+from ..functions.patterns import CELLS, FREE_BIT, first_win, holds
 
 
 def grid_marks(cells: DataFrame, key: str, bit: Column) -> DataFrame:
@@ -14,23 +14,58 @@ def grid_marks(cells: DataFrame, key: str, bit: Column) -> DataFrame:
     return cells.groupBy(key).agg(F.bit_or(one).bitwiseOR(F.lit(1 << FREE_BIT)).alias("marked"))
 
 
-def win_sequence(calls: DataFrame, key: str, bit: Column, seq: Column, pattern) -> DataFrame:
-    """(key, win_seq): the first position at which a pattern holds, for keys that win; no window, one aggregation."""
-    firsts = [
-        F.coalesce(F.min(F.when(bit == i, seq)), F.lit(0 if i == FREE_BIT else NEVER)).alias(f"c{i}") for i in range(CELLS)
-    ]
-    firsts[FREE_BIT] = F.lit(0).cast("long").alias(f"c{FREE_BIT}")
-    at = calls.groupBy(key).agg(*firsts)
-    won = first_win(pattern, [F.col(f"c{i}") for i in range(CELLS)])
-    return at.select(key, won.cast("long").alias("win_seq")).where((F.col("win_seq") >= 1) & (F.col("win_seq") < NEVER))
+def win_sequence(calls: DataFrame, key: str, bit: Column, order: list[str], pattern) -> DataFrame:
+    """(key, win_seq): the number of the call, in the given order, at which a pattern first holds, for keys that win.
+
+    No window: each cell's first call is a minimum, the pattern's is one of these, and its number a count of
+    the calls up to it. Both aggregations combine before they shuffle; the join's hot keys can be split.
+    """
+    at = F.struct(*order)
+    rows = calls.select(key, bit.alias("_bit"), F.struct(F.lit(1).alias("_k"), at.alias("_at")).alias("_p"))
+    kind = rows.schema["_p"].dataType
+    start, never = (F.struct(F.lit(k).alias("_k"), F.lit(None).cast(kind["_at"].dataType).alias("_at")) for k in (0, 2))
+    firsts = [F.coalesce(F.min(F.when(F.col("_bit") == i, F.col("_p"))), never).alias(f"c{i}") for i in range(CELLS)]
+    firsts[FREE_BIT] = start.alias(f"c{FREE_BIT}")
+    held = rows.groupBy(key).agg(*firsts)
+    won = held.select(key, first_win(pattern, [F.col(f"c{i}") for i in range(CELLS)], start, never).alias("_won")).where("_won._k = 1")
+    upto = rows.join(won, key).where(F.col("_p") <= F.col("_won"))
+    return upto.groupBy(key).agg(F.count(F.lit(1)).alias("win_seq"))
 
 
 def replayed(calls: DataFrame, key: str, bit: Column, seq: Column, pattern) -> DataFrame:
-    """Each call with the marks after it and whether the pattern holds: for patterns that can stop holding."""
-    running = Window.partitionBy(key).orderBy("_seq").rowsBetween(Window.unboundedPreceding, 0)
+    """Each call with the marks after it, whether its cell is a new one, and whether the pattern holds: for patterns that can stop holding."""
+    order = Window.partitionBy(key).orderBy("_seq")
+    running = order.rowsBetween(Window.unboundedPreceding, 0)
     rows = calls.withColumn("_seq", seq)
-    marked = F.bit_or(F.call_function("shiftleft", F.lit(1), bit.cast("int"))).over(running).bitwiseOR(F.lit(1 << FREE_BIT))
-    return rows.withColumn("marked", marked).withColumn("won", holds(pattern, F.col("marked")))
+    one = F.call_function("shiftleft", F.lit(1), bit.cast("int"))
+    rows = rows.withColumn("marked", F.bit_or(one).over(running).bitwiseOR(F.lit(1 << FREE_BIT)))
+    before = F.coalesce(F.lag("marked").over(order), F.lit(1 << FREE_BIT))
+    return rows.withColumn("fresh", before.bitwiseAND(one) == 0).withColumn("won", holds(pattern, F.col("marked")))
+
+
+def winner_lists(cards: DataFrame, calls: list[int]) -> DataFrame:
+    """(game, call, number, fresh, winners) at each call of a number not called before, if any card then holds the pattern.
+
+    ``cards`` has game, card and won, the 1-based call at which the card's pattern first holds (0: before
+    any call). fresh are the cards that win by this call, in order; winners how many hold the pattern after it,
+    those of earlier calls included. A repeated call announces nothing. Cards are counted by game and call
+    first; a call's list is as long as what is announced.
+    """
+    first: dict[int, int] = {}
+    for at, number in enumerate(calls, 1):
+        first.setdefault(number, at)
+    told = F.array(*[F.struct(F.lit(at).alias("call"), F.lit(number).alias("number")) for number, at in first.items()])
+    by_call = cards.where((F.col("won") >= 0) & (F.col("won") <= len(calls))).groupBy("game", F.col("won").cast("int").alias("call")).agg(
+        F.array_sort(F.collect_list("card")).alias("fresh")
+    )
+    spread = by_call.groupBy("game").agg(F.min("call").alias("_first")).select("game", "_first", F.explode(told).alias("t"))
+    spread = spread.where(F.col("t.call") >= F.col("_first")).select("game", "t.call", "t.number")
+    early = by_call.where("call = 0").select("game", F.size("fresh").alias("_early"))
+    upto = Window.partitionBy("game").orderBy("call").rowsBetween(Window.unboundedPreceding, 0)
+    both = spread.join(by_call, ["game", "call"], "left").join(early, "game", "left")
+    winners = F.sum(F.when(F.col("fresh").isNull(), 0).otherwise(F.size("fresh"))).over(upto) + F.coalesce("_early", F.lit(0))
+    fresh = F.coalesce("fresh", F.array().cast(by_call.schema["fresh"].dataType))
+    return both.select("game", "call", "number", fresh.alias("fresh"), winners.cast("int").alias("winners"))
 
 
 def first_calls(calls: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -47,6 +47,47 @@ def spaced_peaks(rows: DataFrame, keys: list[str], pos: str, score: str, apart:
     return rows.where(kept).drop(*[f"_top{i}" for i in range(most)])
 
 
+def strongest_near(rows: DataFrame, bounds: DataFrame, keys: list[str], pos: str, score: str, radius: int) -> DataFrame:
+    """``bounds`` (keys, bound, lo, hi) with snapped: the place of the best score within the radius, at least two off lo and hi.
+
+    Ties go to the lower place; a bound without any place in reach stays. Each bound looks for the 2 *
+    radius + 1 places around it, so the join is by equal places, not by ranges.
+    """
+    reach = bounds.select(*keys, "bound", "lo", "hi", F.explode(F.sequence(F.col("bound") - radius, F.col("bound") + radius)).alias("_at"))
+    reach = reach.where((F.col("_at") >= F.col("lo") + 2) & (F.col("_at") <= F.col("hi") - 2))
+    held = rows.select(*keys, F.col(pos).alias("_at"), F.col(score).alias("_score"))
+    best = reach.join(held, [*keys, "_at"]).groupBy(*keys, "bound").agg(F.max(F.struct("_score", (-F.col("_at")).alias("p"))).alias("x"))
+    found = bounds.join(best, [*keys, "bound"], "left")
+    return found.withColumn("snapped", F.coalesce(-F.col("x.p"), F.col("bound"))).drop("x")
+
+
+def stopped_early(rows: DataFrame, keys: list[str], pos: str, score: str, patience: int, start: float = 0.0) -> DataFrame:
+    """The rows of each series up to the one at which the score has not improved ``patience`` times, with improved and stale.
+
+    A score improves if it is above all before it and above ``start``; stale counts the rows since the last
+    that did. The last row of a stopped series is the one that used up the patience.
+    """
+    order = Window.partitionBy(*keys).orderBy(pos)
+    before = F.greatest(F.max(score).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(start))
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn("improved", F.coalesce(F.col(score) > before, F.lit(False))).withColumn("_n", F.row_number().over(order))
+    last = F.coalesce(F.max(F.when(F.col("improved"), F.col("_n"))).over(upto), F.lit(0))
+    found = found.withColumn("stale", (F.col("_n") - last).cast("int"))
+    over = F.coalesce(F.max("stale").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) >= patience
+    return found.withColumn("_over", over).where(~F.col("_over")).drop("_n", "_over")
+
+
+def distinct_lattices(candidates: Column, within: float = 3.0) -> Column:
+    """An array of lattices (arrays of lines) without those all of whose lines lie within ``within`` of one kept before."""
+
+    def known(kept: Column, lines: Column) -> Column:
+        apart = lambda other: F.array_max(F.zip_with(lines, other, lambda a, b: F.abs(a - b)))
+        return F.exists(kept, lambda other: F.coalesce(apart(other) <= within, F.lit(False)))
+
+    first = F.slice(candidates, 1, 0)
+    return F.aggregate(candidates, first, lambda kept, x: F.when(known(kept, x), kept).otherwise(F.concat(kept, F.array(x))))
+
+
 def softmax_top(scores: Column) -> Column:
     """The softmax value of an array's largest score."""
     top = F.array_max(scores)

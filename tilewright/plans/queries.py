@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.labels import lenient_label, strict_label
-from ..functions.patterns import FREE_BIT, FULL, PATTERNS, All, Any, AtLeast, AtMost, Mask, cells_of, col_mask, holds, row_mask
-from ..operators import decode, islands, metrics, replay, signals
+from ..functions.patterns import FREE_BIT, PATTERNS, All, Any, AtLeast, AtMost, Mask, cells_of, col_mask, holds, row_mask
+from ..operators import islands, metrics, quantiles, replay, signals
 from ..sources import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,7 +117,7 @@ select user_id, min(pos)::bigint as win_seq from done group by user_id"""
 @registered(_WIN_SQL)
 def win_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The call at which each card first completes a line."""
-    return replay.win_sequence(_numbered(_calls(spark, sf_dir)), "user_id", F.col("bit"), F.col("seq"), PATTERNS["standard"])
+    return replay.win_sequence(_calls(spark, sf_dir), "user_id", F.col("bit"), ["ts", "event_id"], PATTERNS["standard"])
 
 
 @registered(_WIN_SQL)
@@ -129,12 +129,13 @@ def win_sequence_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(
     _WIN_SQL.replace("select user_id, min(pos)::bigint as win_seq from done group by user_id", "")
     + ", w as (select user_id, min(pos) as win_seq from done group by user_id) "
-    "select seq::bigint as seq, count(*)::bigint as winners from calls join w using (user_id) where seq >= win_seq group by seq"
+    f", n as (select *, row_number() over (partition by user_id, bit order by seq) as again from calls where bit <> {FREE_BIT}) "
+    "select seq::bigint as seq, count(*)::bigint as winners from n join w using (user_id) where seq >= win_seq and again = 1 group by seq"
 )
 def winners_per_call(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cards that hold the pattern after their n-th call; a winner counts again at each later call."""
+    """Cards that hold the pattern after their n-th call, if it marks a new cell; a winner counts again at each later one."""
     rows = replay.replayed(_numbered(_calls(spark, sf_dir)), "user_id", F.col("bit"), F.col("seq"), PATTERNS["standard"])
-    return rows.where("won").groupBy(F.col("_seq").alias("seq")).agg(F.count(F.lit(1)).alias("winners"))
+    return rows.where("won and fresh").groupBy(F.col("_seq").alias("seq")).agg(F.count(F.lit(1)).alias("winners"))
 
 
 @registered(
@@ -339,8 +340,9 @@ def local_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def percentile_stretch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_extendedprice").alias("x"))
-    q = rows.groupBy("l_returnflag").agg(F.percentile("x", F.array(F.lit(0.02), F.lit(0.98))).alias("q"))
-    q = q.select("l_returnflag", F.round(F.col("q")[0], 2).alias("lo"), F.round(F.col("q")[1], 2).alias("hi"))
+    q = quantiles.exact(rows, ["l_returnflag"], "x", [0.02, 0.98])
+    at = lambda i: F.round(F.max(F.when(F.col("i") == i, F.col("value"))), 2)
+    q = q.groupBy("l_returnflag").agg(at(0).alias("lo"), at(1).alias("hi"))
     clipped = F.least(F.greatest("x", "lo"), F.col("hi")).cast("decimal(18,2)")
     return rows.join(q, "l_returnflag").groupBy("l_returnflag").agg(
         F.sum(clipped).cast("double").alias("total"), F.count_if(F.col("x") < F.col("lo")).alias("low")
@@ -426,29 +428,6 @@ def json_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select("event_id", "k", "status")
 
 
-def _score_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("dim", "x")).where("dim < 60")
-    return rows.select(
-        F.expr("vec_id div 5").alias("g"), F.expr("cast(dim div 15 as int)").alias("block"), F.expr("cast(vec_id % 5 as int)").alias("r"),
-        (F.col("dim") % 15).alias("choice"), F.col("x").cast("decimal(12,6)").alias("score"),
-    )
-
-
-@registered(
-    "with s as (select vec_id // 5 as g, ((d - 1) // 15)::int as block, (vec_id % 5)::int as r, ((d - 1) % 15)::int as choice, x::decimal(12,6) as score "
-    "from (select vec_id, unnest(embedding) as x, generate_subscripts(embedding, 1) as d from embeddings) where d <= 60), "
-    + ", ".join(
-        f"d{r} as (select g, block, used, max(t) as t from (select a.g, a.block, a.used | (1 << s.choice) as used, a.t + s.score as t from d{r - 1} a join s on a.g = s.g and a.block = s.block and s.r = {r} where a.used & (1 << s.choice) = 0) group by 1, 2, 3)"
-        if r else "d0 as (select g, block, 1 << choice as used, score as t from s where r = 0)"
-        for r in range(5)
-    )
-    + " select g::bigint as g, block, max(t)::double as total from d4 group by 1, 2"
-)
-def assign_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = decode.best_assignment(_score_rows(spark, sf_dir), ["g", "block"], "r", "choice", "score", 5)
-    return best.withColumn("total", F.col("total").cast("double"))
-
-
 @registered(
     "select vec_id, list_position(v, list_max(v))::int - 1 as at, round(1.0 / list_sum(list_transform(v, lambda x: exp(x - list_max(v)))), 6) as conf from (select vec_id, embedding::double[] as v from embeddings)"
 )

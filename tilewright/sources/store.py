@@ -71,6 +71,24 @@ def restored(rows: DataFrame, blob: str, schema: StructType, defaults: dict[str,
     return read.where(~broken).select(*rows.columns, *fields), read.where(broken).select(*rows.columns)
 
 
+# The states that a stored game may be in; any other is the first.
+STATES = ("setup", "in_progress", "game_over")
+_GAME = StructType().add("game_id", "string").add("status", "string").add("winning_pattern_name", "string").add("last_activity", "string")
+
+
+def restored_games(rows: DataFrame, blob: str, patterns: list[str], now: Column) -> tuple[DataFrame, DataFrame]:
+    """Games from JSON (game_id, status, winning_pattern_name, last_activity, wins), and the rows whose JSON is broken.
+
+    A missing or unknown status is the first of STATES, a missing or unreadable last activity is ``now``, a
+    missing game_id is empty. A pattern that is not among ``patterns`` keeps its name, but wins is false.
+    """
+    good, broken = restored(rows, blob, _GAME, {"game_id": ""})
+    status = F.when(F.col("status").isin(*STATES), F.col("status")).otherwise(STATES[0])
+    wins = F.coalesce(F.col("winning_pattern_name").isin(*patterns), F.lit(False))
+    seen = F.coalesce(F.col("last_activity").try_cast("timestamp_ntz"), now)
+    return good.withColumns({"status": status, "last_activity": seen, "wins": wins}), broken
+
+
 def filled_down(rows: DataFrame, keys: list[str], order: str, header: Column, name: str) -> DataFrame:
     """Adds the last header at or above each line."""
     upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -19,19 +19,27 @@ def unique_calls(calls: DataFrame, keys: list[str], ts: str, delay: str = "1 hou
 
 
 def running_wins(calls: DataFrame, key: str, pattern, once: bool = True) -> DataFrame:
-    """(key, seq, marked) for each call after which the pattern holds; only the first with ``once``.
+    """(key, seq, marked) for each new call after which the pattern holds; only the first with ``once``.
 
-    ``calls`` needs key (long), seq (long, ascending per key) and bit (int). The state per key is its
-    marks, the number of calls and whether it has won, so it does not grow with the stream.
+    ``calls`` needs key (long), seq (long, ascending per key) and bit (int; null: not on the card). A call
+    of a cell that is marked already announces nothing. The state per key is its marks and whether it has
+    won, and of a micro-batch's rows only the first call of each cell is held, so that neither the stream
+    nor a hot key fills a task.
     """
 
     def fold(of: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         marked, won = state.get if state.exists else (1 << FREE_BIT, False)
+        first: dict[int, int] = {}
+        for rows in batches:
+            for bit, seq in rows.dropna(subset=["bit"]).groupby("bit")["seq"].min().items():
+                first[int(bit)] = min(int(seq), first.get(int(bit), int(seq)))
         out = []
-        for seq, bit in pd.concat(list(batches)).sort_values("seq")[["seq", "bit"]].itertuples(index=False):
-            marked |= 1 << int(bit)
+        for bit, seq in sorted(first.items(), key=lambda x: x[1]):
+            if marked >> bit & 1:
+                continue
+            marked |= 1 << bit
             if holds_for(pattern, marked) and not (won and once):
-                out.append((of[0], int(seq), marked))
+                out.append((of[0], seq, marked))
                 won = True
         state.update((marked, won))
         yield pd.DataFrame(out, columns=[key, "seq", "marked"])
