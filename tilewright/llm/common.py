@@ -87,6 +87,24 @@ def join_small(big: DataFrame, small: DataFrame, on: Column, how: str = "inner",
     return big.join(small, on, how)
 
 
+#: A key is hot if it holds more than one in so many of all rows; so there are fewer hot keys than this.
+HOT_PART = 1_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Joins rows with ``groups``, which has one row for each key and in ``n`` the key's number of rows.
+
+    Hot keys are fewer than HOT_PART by arithmetic, so they are broadcast, and their rows are shuffled
+    nowhere; what is shuffled has no key with more than 1 / HOT_PART of all rows. ``groups`` is read several
+    times and should be a ``cut`` table.
+    """
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    is_hot = F.col("n") * HOT_PART > total
+    hot = F.broadcast(groups.where(is_hot).drop("n"))
+    cold = rows.join(hot.select(key), key, "left_anti").join(groups.where(~is_hot).drop("n"), key, how)
+    return rows.join(hot, key).unionByName(cold)
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
