@@ -69,11 +69,16 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of ours on the file system that it is on."""
+    p, fs = _path(spark, path)
+    fs.delete(p, True)
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes tables of ``cut`` that nothing reads any more: every later table was written, so no lineage leads back to them."""
     for df in tables:
-        p, fs = _path(df.sparkSession, df._cut_path)
-        fs.delete(p.getParent(), True)
+        remove(df.sparkSession, df._cut_path.rpartition("/")[0])
 
 
 def join_small(big: DataFrame, small: DataFrame, on: Column, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
