@@ -37,13 +37,16 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are told apart by their number in a written copy, not by doc_id: repeated rows are copies, and a
     repeated id with another text is another document. The row with the least id stays, a null id last; of
     rows with one id, any one. Null and empty texts have no copies and stay. A very long text's shingles are
-    held whole in a task. An empty table gives one; columns of any name but ``_row`` are kept.
+    held whole in a task. An empty table gives one; columns of any name are kept.
     """
-    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
-    groups = minhash.near_duplicates(rows, id_col="_row", k=5, percent=80).select("_row", "component_id")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    rows = cut(docs.select(whole, F.monotonically_increasing_id().alias("_row")))
+    texts = rows.select("_row", F.col("_doc.text").alias("text"))
+    groups = minhash.near_duplicates(texts, id_col="_row", k=5, percent=80).select("_row", "component_id")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")
-    first = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order).alias("first"))
-    return rows.join(first.select(F.col("first._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    ids = rows.select("_row", F.col("_doc.doc_id").alias("doc_id"))
+    first = groups.join(ids, "_row").groupBy("component_id").agg(F.min(order).alias("first"))
+    return rows.join(first.select(F.col("first._row").alias("_row")), "_row", "left_semi").select("_doc.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
