@@ -8,7 +8,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tilewright.functions import grids
-from tilewright.operators import decode, islands, metrics, nearest, quantiles, signals
+from tilewright.operators import decode, islands, metrics, nearest, quantiles, readers, signals
+from tilewright.sources import store
 
 
 def _best(table):
@@ -119,3 +120,15 @@ def test_reports(spark):
         metrics.digit_reading(F.lit(4), F.lit(2), F.lit(0.5), F.lit(0.7)), metrics.class_of(F.lit(10)), metrics.class_of(F.lit(76)), metrics.split_of(F.lit(None).cast("int")),
     ).first()
     assert row[:2] == (50.0, 0.0) and tuple(row[2]) == (42, 0.6) and row[3:] == (1, None, "valid")
+
+
+def test_supplied_readers_and_figures(spark):
+    rows = spark.createDataFrame([("words", "a b"), ("digits", "a1 22"), ("none", "x"), (None, "x"), ("words", None)], "reader string, text string")
+    more = readers.READERS | {"none": lambda text: F.lit(7).cast("long")}
+    assert [r["value"] for r in readers.read_by(rows, "reader", "text", readers.READERS).collect()] == [2, 3, None, None, 0]
+    seen_rows, seen = readers.watched(readers.read_by(rows, "reader", "text", more), "figures", n=F.count(F.lit(1)), unread=F.count_if(F.col("value").isNull()))
+    assert [r["value"] for r in seen_rows.collect()] == [2, 3, 7, None, 0] and seen.get == {"n": 5, "unread": 1}
+    found = spark.range(6).select(readers.predicate(lambda x: x % 2 == 0, "id")).collect()
+    assert [r[0] for r in found] == [True, False] * 3
+    kept, gone = store.without_keys(spark.range(5), spark.createDataFrame([(3,), (9,)], "id long"), ["id"])
+    assert {r["id"] for r in kept.collect()} == {0, 1, 2, 4} and [r["id"] for r in gone.collect()] == [3]

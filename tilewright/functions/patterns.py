@@ -90,6 +90,7 @@ PATTERNS = {
     "top_or_bottom": _any([row_mask(0), row_mask(4)]),
     "six_pack": _any(window_masks(2, 3) + window_masks(3, 2)),
     "diagonals": _any([*DIAGONALS]),
+    "both_diagonals": All(tuple(map(Mask, DIAGONALS))),
     "top3_and_bottom3": All((AtLeast(row_mask(0), 3), AtLeast(row_mask(4), 3))),
     "blackout": Mask(FULL),
 }

@@ -105,3 +105,18 @@ def mean_confidence(confs: Column, words: Column) -> Column:
     both = F.filter(F.arrays_zip(confs.alias("c"), words.alias("w")), lambda x: (F.trim(x["w"]) != "") & (x["c"] >= 0))
     total = F.aggregate(both, F.lit(0.0), lambda s, x: s + x["c"].cast("double"))
     return F.coalesce(F.try_divide(total, F.size(both)), F.lit(0.0))
+
+
+def merged(held: DataFrame, fresh: DataFrame, keys: list[str], corrected: Column, copies: int = 4) -> DataFrame:
+    """Held rows and fresh ones, with copy: fresh rows replace held ones of their keys, and corrected ones count ``copies`` times."""
+    stay = held.join(fresh.select(*keys), keys, "left_anti").select(*held.columns, F.lit(1).alias("copy"))
+    return stay.unionByName(fresh.withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(corrected, copies).otherwise(1)))))
+
+
+def sliced_errors(rows: DataFrame, keys: list[str], truth: str, pred: str, apart: Column) -> DataFrame:
+    """(keys, ok, bad, cut_ok, cut_bad): right and wrong rows, those for which ``apart`` holds counted on their own."""
+    wrong, cut = ~F.col(truth).eqNullSafe(F.col(pred)), F.coalesce(apart, F.lit(False))
+    count = lambda c: F.count_if(c)
+    return rows.groupBy(*keys).agg(
+        count(~cut & ~wrong).alias("ok"), count(~cut & wrong).alias("bad"), count(cut & ~wrong).alias("cut_ok"), count(cut & wrong).alias("cut_bad")
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grids
 from ..functions.patterns import FREE_BIT
-from ..operators import decode
+from ..operators import decode, metrics, signals
 from .queries import _table, registered
 
 #: Where each column's fifteen scores begin in a vector of 64; the last two overlap.
@@ -185,3 +185,30 @@ def scaled_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "p_partkey", *[F.col("b")[i].alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))],
         text(grids.cuts(size)).alias("rounded"), text(grids.cuts(size, floor=True)).alias("floored"),
     )
+
+
+@registered(
+    "with v as (select vec_id, vec_id % 5 as c, embedding[1:64]::double[] as x from embeddings), a as (select vec_id, c, (list_position(x, list_max(x)) * 75) // 64 as n from v) "
+    "select vec_id, n::int as number, n between c * 15 + 1 and c * 15 + 15 as valid from a"
+)
+def argmax_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of each vector's largest score (its place, spread over 1 to 75), and whether its column may hold it."""
+    v = F.col("embedding").cast("array<double>")
+    number = F.expr("cast((at + 1) * 75 div 64 as int)")
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", signals.first_largest(v).alias("at"))
+    return rows.select("vec_id", number.alias("number")).withColumn("valid", F.expr("number between vec_id % 5 * 15 + 1 and vec_id % 5 * 15 + 15"))
+
+
+@registered(
+    "select vec_id, (abs(floor(embedding[1]::double * 10)) % 10 * 10 + abs(floor(embedding[2]::double * 10)) % 10)::int as value, round((abs(embedding[3]::double) + abs(embedding[4]::double)) / 2, 6) as conf, "
+    "round(coalesce((select avg(c) from (select unnest(list_transform(embedding[1:8], lambda x: x::double)) as c, unnest(['a', '', 'b', ' ', 'c', 'd', '', 'e']) as w) where trim(w) <> '' and c >= 0), 0), 6) as mean from embeddings"
+)
+def digit_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers read as two digits with their mean confidence, and the mean confidence of words that are not blank."""
+    x = lambda i: F.col("embedding")[i].cast("double")
+    digit = lambda i: F.abs(F.floor(x(i) * 10)) % 10
+    pair = metrics.digit_reading(digit(0), digit(1), F.abs(x(2)), F.abs(x(3)))
+    words = F.array(*map(F.lit, ("a", "", "b", " ", "c", "d", "", "e")))
+    mean = metrics.mean_confidence(F.slice(F.col("embedding").cast("array<double>"), 1, 8), words)
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", pair.alias("p"), F.round(mean, 6).alias("mean"))
+    return rows.select("vec_id", F.col("p.value").cast("int").alias("value"), F.round("p.conf", 6).alias("conf"), "mean")

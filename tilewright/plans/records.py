@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import metrics
+from ..operators import metrics, readers
 from ..sources import files, manifests
 from .queries import _table, registered
 
@@ -130,3 +130,63 @@ def cell_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     maps = cells.groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("l_linenumber", "q"))).alias("m"))
     at = lambda n: F.try_element_at("m", F.lit(n))
     return maps.select("l_orderkey", at(2).alias("second"), at(3).alias("third"), F.size("m").alias("cells"))
+
+
+@registered(
+    "with n as (select doc_id, quality, 2 as copy_of from labels where doc_id % 3 = 0), b as (select doc_id, toxic as quality from labels where doc_id not in (select doc_id from n)), "
+    "c as (select doc_id, quality, case when quality = 0 then 4 else 1 end as k from n) "
+    "select doc_id, quality, 1 as copy from b union all select doc_id, quality, r::int from c, range(1, 5) t(r) where r <= k"
+)
+def merged_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held rows, those that were confirmed again replaced, and corrected ones four times."""
+    labels = _table(spark, sf_dir, "labels")
+    fresh = labels.where("doc_id % 3 = 0").select("doc_id", "quality")
+    return metrics.merged(labels.select("doc_id", F.col("toxic").alias("quality")), fresh, ["doc_id"], F.col("quality") == 0)
+
+
+@registered(
+    "with k as (select o_custkey, o_orderkey, o_totalprice as y, row_number() over (partition by o_custkey order by o_totalprice, o_orderkey) as i, count(*) over (partition by o_custkey) as n from orders) "
+    "select o_custkey, max(o_orderkey) filter (where i = 1) as top, max(o_orderkey) filter (where i = n) as bottom, max(n)::int as n from k group by o_custkey"
+)
+def cards_by_height(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sheet's cards from top to bottom: structs in the order of y, of which the first and last are shown."""
+    held = F.array_sort(F.collect_list(F.struct(F.col("o_totalprice").alias("y"), "o_orderkey")))  # one customer's orders
+    rows = _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(held.alias("cards"))
+    return rows.select("o_custkey", F.col("cards")[0]["o_orderkey"].alias("top"), F.element_at("cards", -1)["o_orderkey"].alias("bottom"), F.size("cards").alias("n"))
+
+
+@registered(
+    "with g as (select d.lang, d.doc_id % 4 = 0 as cut, l.quality, case when n_chars > 100 then (n_chars > 400)::int end as guess from documents d join labels l on d.doc_id = l.doc_id) "
+    "select lang, count(*) filter (where not cut and guess = quality)::bigint as ok, count(*) filter (where not cut and guess is distinct from quality)::bigint as bad, "
+    "count(*) filter (where cut and guess = quality)::bigint as cut_ok, count(*) filter (where cut and guess is distinct from quality)::bigint as cut_bad from g group by lang"
+)
+def sliced_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Right and wrong readings by sheet, those of truncated images counted apart."""
+    guess = F.when(F.col("n_chars") > 100, (F.col("n_chars") > 400).cast("int"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", guess.alias("guess"))
+    both = docs.join(_table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    return metrics.sliced_errors(both, ["lang"], "quality", "guess", F.col("doc_id") % 4 == 0)
+
+
+@registered(
+    "with c as (select user_id, count(distinct (day(ts) % 5) * 5 + list_position(['click','error','purchase','signup','view'], event_type)) as n, count(*) as calls from events group by 1) "
+    "select user_id, n % 2 = 1 and calls > 50 as holds from c"
+)
+def own_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A predicate written in Python over the counts of a card, in batches: an odd number of cells after more than fifty calls."""
+    place = (F.dayofmonth("ts") % 5) * 5
+    kind = F.array_position(F.array(*map(F.lit, ("click", "error", "purchase", "signup", "view"))), F.col("event_type"))
+    counts = _table(spark, sf_dir, "events").groupBy("user_id").agg(F.countDistinct(place + kind).alias("n"), F.count(F.lit(1)).alias("calls"))
+    return counts.select("user_id", readers.predicate(lambda n, calls: (n % 2 == 1) & (calls > 50), "n", "calls").alias("holds"))
+
+
+@registered(
+    "with d as (select doc_id, case doc_id % 3 when 0 then 'digits' when 1 then 'words' else 'nobody' end as reader, coalesce(text, '') as t from documents) "
+    r"select doc_id, reader, case reader when 'digits' then len(regexp_replace(t, '[^0-9]', '', 'g')) when 'words' then len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) end::bigint as value from d"
+)
+def chosen_readers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document read by the reader that its row names; a reader that nobody registered reads nothing."""
+    named = {0: "digits", 1: "words", 2: "nobody"}
+    reader = F.element_at(F.array(*map(F.lit, named.values())), (F.col("doc_id") % 3 + 1).cast("int"))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", reader.alias("reader"), "text")
+    return readers.read_by(rows, "reader", "text", readers.READERS).select("doc_id", "reader", "value")

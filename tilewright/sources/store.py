@@ -59,6 +59,11 @@ def aged_out(rows: DataFrame, ts: str, now: Column, days: int) -> tuple[DataFram
     return rows.where(~old), rows.where(old)
 
 
+def without_keys(rows: DataFrame, gone: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows that stay, and those whose keys are among ``gone``; writing only the second is a dry run."""
+    return rows.join(gone, keys, "left_anti"), rows.join(gone, keys, "left_semi")
+
+
 def restored(rows: DataFrame, blob: str, schema: StructType, defaults: dict[str, object]) -> tuple[DataFrame, DataFrame]:
     """Rows with the fields of a JSON column (defaults where missing), and the rows whose JSON is broken."""
     full = StructType([*schema.fields]).add("_corrupt_record", "string")
