@@ -99,40 +99,43 @@ def card_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cards(spark, sf_dir).select("g", missing.alias("missing"), mean.alias("mean"), review.alias("needs_review"))
 
 
-def _grid_of_vector() -> tuple:
-    """Grids from the first 25 numbers of vectors: some cells null, some out of range, some grids a row short."""
+def _grids_of_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, grid): each vector's numbers in parts of 25 as grids: some cells null, some out of range, the last grid and some others short."""
     cell = lambda x, i: F.when(x > -0.25, F.floor(F.abs(x) * 60).cast("int") + 1 + 15 * (i % 5))
-    values = F.transform(F.slice(F.col("embedding").cast("array<double>"), 1, 25), cell)
-    rows = F.transform(F.sequence(F.lit(0), F.when(F.col("vec_id") % 7 == 0, 3).otherwise(4)), lambda r: F.slice(values, r * 5 + 1, 5))
-    return rows
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
+    values = F.transform(F.slice("v", F.col("k") * 25 + 1, F.when(F.col("vec_id") % 7 == 0, 20).otherwise(25)), cell)
+    high = F.ceil(F.size("values") / 5).cast("int")
+    rows = rows.select((F.col("vec_id") * 3 + F.col("k")).alias("id"), values.alias("values"))
+    return rows.select("id", F.transform(F.sequence(F.lit(0), high - 1), lambda r: F.slice("values", r * 5 + 1, F.lit(5))).alias("grid"))
 
 
 _GRID_SQL = (
-    "with v as (select vec_id, list_transform(embedding[1:25]::double[], lambda x, i: case when x > -0.25 then floor(abs(x) * 60)::int + 1 + 15 * ((i - 1) % 5) end) as xs from embeddings), "
-    "c as (select vec_id, unnest(range(case when vec_id % 7 = 0 then 20 else 25 end)) as place, unnest(xs[1 : case when vec_id % 7 = 0 then 20 else 25 end]) as x from v), "
+    "with p as (select vec_id * 3 + k as id, embedding[k * 25 + 1 : k * 25 + case when vec_id % 7 = 0 then 20 else 25 end]::double[] as xs from (select *, unnest(range(3)) as k from embeddings)), "
+    "v as (select id, list_transform(xs, lambda x, i: case when x > -0.25 then floor(abs(x) * 60)::int + 1 + 15 * ((i - 1) % 5) end) as xs from p), "
+    "c as (select id, unnest(range(len(xs))) as place, unnest(xs) as x from v), "
     "k as (select *, case when place = 12 then null when x is null then 'missing' when x not between place % 5 * 15 + 1 and place % 5 * 15 + 15 then 'out of range' end as kind from c)"
 )
 
 
 @registered(
-    _GRID_SQL + " select vec_id, count(*) = 25 as square, count(*) filter (where kind = 'missing')::int as missing, count(*) filter (where kind = 'out of range')::int as outside, "
-    "case when count(*) = 25 and count(kind) = 0 then string_agg(case when place = 12 then 'FREE' else substr('BINGO', (place % 5)::int + 1, 1) || x end, ' ' order by place) end as labels from k group by vec_id"
+    _GRID_SQL + " select id, count(*) = 25 as square, count(*) filter (where kind = 'missing')::int as missing, count(*) filter (where kind = 'out of range')::int as outside, "
+    "case when count(*) = 25 and count(kind) = 0 then string_agg(case when place = 12 then 'FREE' else substr('BINGO', (place % 5)::int + 1, 1) || x end, ' ' order by place) end as labels from k group by id"
 )
 def grid_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which grids are playable: their labels, or how many cells are missing or out of range."""
-    rows = _table(spark, sf_dir, "embeddings").select("vec_id", _grid_of_vector().alias("grid"))
+    rows = _grids_of_vectors(spark, sf_dir)
     of = lambda kind: F.size(F.filter(grids.violations(F.col("grid")), lambda x: x["kind"] == kind))
     return rows.select(
-        "vec_id", grids.is_square(F.col("grid")).alias("square"), of("missing").alias("missing"), of("out of range").alias("outside"),
+        "id", grids.is_square(F.col("grid")).alias("square"), of("missing").alias("missing"), of("out of range").alias("outside"),
         F.array_join(grids.labelled(F.col("grid")), " ").alias("labels"),
     )
 
 
-@registered(_GRID_SQL + " select vec_id, place::int // 5 as r, place::int % 5 as c, x as value, kind from k where kind is not null")
+@registered(_GRID_SQL + " select id, place::int // 5 as r, place::int % 5 as c, x as value, kind from k where kind is not null")
 def grid_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cells that keep grids from play."""
-    rows = _table(spark, sf_dir, "embeddings").select("vec_id", F.explode(grids.violations(_grid_of_vector())).alias("x"))
-    return rows.select("vec_id", "x.*")
+    rows = _grids_of_vectors(spark, sf_dir).select("id", F.explode(grids.violations(F.col("grid"))).alias("x"))
+    return rows.select("id", "x.*")
 
 
 @registered(
@@ -149,16 +152,16 @@ def checked_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(
-    "with a as (select p_brand, list(p_size order by p_partkey)[1:24] as xs from part group by 1), "
-    "s as (select p_brand, unnest(xs) as value, unnest(range(24)) as i from a where len(xs) = 24), p as (select p_brand, value, case when i >= 12 then i + 1 else i end as place from s) "
-    "select p_brand, (place % 5)::int as r, (place // 5)::int as c, value from p"
+    "with a as (select p_partkey // 24 as card, list(p_size order by p_partkey) as xs from part group by 1), "
+    "s as (select card, unnest(xs) as value, unnest(range(24)) as i from a where len(xs) = 24), p as (select card, value, case when i >= 12 then i + 1 else i end as place from s) "
+    "select card::bigint as card, (place % 5)::int as r, (place // 5)::int as c, value from p"
 )
 def dictated_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 24 parts of each brand, read column by column with the free cell left out."""
-    firsts = F.slice(F.array_sort(F.collect_list(F.struct("p_partkey", "p_size"))), 1, 24)["p_size"]
-    rows = _table(spark, sf_dir, "part").groupBy("p_brand").agg(grids.by_columns(firsts).alias("grid")).where("grid is not null")
-    cells = rows.select("p_brand", F.posexplode("grid").alias("at", "value")).where(F.col("at") != FREE_BIT)
-    return cells.select("p_brand", F.expr("cast(at div 5 as int)").alias("r"), (F.col("at") % 5).alias("c"), "value")
+    """Parts by twenty-four, read column by column with the free cell left out; a lot of fewer is no card."""
+    items = F.array_sort(F.collect_list(F.struct("p_partkey", "p_size")))["p_size"]
+    rows = _table(spark, sf_dir, "part").groupBy(F.expr("p_partkey div 24").alias("card")).agg(grids.by_columns(items).alias("grid")).where("grid is not null")
+    cells = rows.select("card", F.posexplode("grid").alias("at", "value")).where(F.col("at") != FREE_BIT)
+    return cells.select("card", F.expr("cast(at div 5 as int)").alias("r"), (F.col("at") % 5).alias("c"), "value")
 
 
 @registered(

@@ -220,15 +220,17 @@ def _misfit_sql(rows: str, lines: str) -> str:
 
 
 @registered(
-    "with recursive s as (select vec_id, list_sort(list_transform(embedding[1:12], lambda x: floor(x::double * 100))) as xs from embeddings "
-    f"union all select vec_id, arg_min(ys, far * 100 + j) from ({_misfit_sql('(select vec_id, j, list_filter(xs, lambda x, i: i <> j) as ys from (select vec_id, xs, unnest(range(1, len(xs) + 1)) as j from (' + _misfit_sql('s', 'xs') + ') where len(xs) >= 4 and far > pitch * 0.12::double))', 'ys')}) group by vec_id) "
-    "select vec_id, len(xs)::int as n, xs[1] as first, xs[-1] as last from (select vec_id, arg_min(xs, len(xs)) as xs from s group by vec_id)"
+    "with recursive v as (select vec_id * 6 + k as lattice, list_sort(list_transform(embedding[k * 12 + 1 : k * 12 + 12], lambda x: floor(x::double * 100))) as xs from (select *, unnest(range(6)) as k from embeddings)), "
+    "s as (select lattice, xs from v "
+    f"union all select lattice, arg_min(ys, far * 100 + j) from ({_misfit_sql('(select lattice, j, list_filter(xs, lambda x, i: i <> j) as ys from (select lattice, xs, unnest(range(1, len(xs) + 1)) as j from (' + _misfit_sql('s', 'xs') + ') where len(xs) >= 4 and far > pitch * 0.12::double))', 'ys')}) group by lattice) "
+    "select lattice, len(xs)::int as n, xs[1] as first, xs[-1] as last from (select lattice, arg_min(xs, len(xs)) as xs from s group by lattice)"
 )
 def lattice_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twelve numbers of each vector as lines, those that fit no common pitch dropped one by one, without a shuffle."""
-    lines = F.transform(F.slice("embedding", 1, 12), lambda x: F.floor(x.cast("double") * 100).cast("double"))
-    rows = _table(spark, sf_dir, "embeddings").select("vec_id", signals.fitting_lines(lines).alias("xs"))
-    return rows.select("vec_id", F.size("xs").alias("n"), F.get("xs", F.lit(0)).alias("first"), F.element_at("xs", -1).alias("last"))
+    """Each vector's numbers in parts of twelve as lines, those that fit no common pitch dropped one by one, without a shuffle."""
+    lines = F.transform(F.slice("embedding", F.col("k") * 12 + 1, F.lit(12)), lambda x: F.floor(x.cast("double") * 100).cast("double"))
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k"))
+    rows = rows.select((F.col("vec_id") * 6 + F.col("k")).alias("lattice"), signals.fitting_lines(lines).alias("xs"))
+    return rows.select("lattice", F.size("xs").alias("n"), F.get("xs", F.lit(0)).alias("first"), F.element_at("xs", -1).alias("last"))
 
 
 _TILT = (1.5, 0.25, -40.0, -0.125, 2.0, 12.0, 0.001, -0.0005, 1.0)
@@ -245,28 +247,37 @@ def projected_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", F.round("at.x", 6).alias("x"), F.round("at.y", 6).alias("y"))
 
 
+def _fours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(lattice, p): all numbers of each vector in parts of four, as whole numbers."""
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("k"))
+    part = F.transform(F.slice("embedding", F.col("k") * 4 + 1, F.lit(4)), lambda x: F.floor(x.cast("double") * 100).cast("double"))
+    return rows.select((F.col("vec_id") * 16 + F.col("k")).alias("lattice"), part.alias("p"))
+
+
+_FOURS_SQL = "with f as (select vec_id * 16 + k as lattice, list_transform(embedding[k * 4 + 1 : k * 4 + 4], lambda x: floor(x::double * 100)) as p from (select *, unnest(range(16)) as k from embeddings)), "
+
+
 @registered(
-    "with v as (select vec_id, list_sort(list_transform(embedding[1:4], lambda x: floor(x::double * 100))) as xs from embeddings), "
+    _FOURS_SQL + "v as (select lattice, list_sort(p) as xs from f), "
     "g as (select *, [xs[2] - xs[1], xs[3] - xs[2], xs[4] - xs[3]] as g from v), p as (select *, list_aggregate(g, 'median') as pitch from g), "
     "k as (select *, case when g[1] < 0.7::double * pitch then xs[2:4] else xs end as kept from p where pitch > 0) "
-    "select vec_id, len(kept)::int as own, list_sum(kept) + (6 - len(kept)) * xs[4] + (case when len(kept) = 3 then 6 else 3 end) * round_even(pitch, 0) as total from k"
+    "select lattice, len(kept)::int as own, list_sum(kept) + (6 - len(kept)) * xs[4] + (case when len(kept) = 3 then 6 else 3 end) * round_even(pitch, 0) as total from k"
 )
 def lattice_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four numbers of each vector as lines of a lattice, completed to six: how many are its own, and the sum of all."""
-    lines = F.array_sort(F.transform(F.slice("embedding", 1, 4), lambda x: F.floor(x.cast("double") * 100).cast("double")))
-    rows = _table(spark, sf_dir, "embeddings").select("vec_id", lines.alias("xs"), completed_lines(lines).alias("all"))
+    """Four numbers each as lines of a lattice, completed to six: how many are its own, and the sum of all."""
+    rows = _fours(spark, sf_dir).select("lattice", F.array_sort("p").alias("xs"))
+    rows = rows.withColumn("all", completed_lines(F.col("xs")))
     own = F.size(F.filter("all", lambda x: x <= F.element_at("xs", -1)))  # the pitch of whole numbers is 1 at least
     total = F.aggregate("all", F.lit(0.0), lambda s, x: s + x)
-    return rows.where("all is not null").select("vec_id", own.alias("own"), total.alias("total"))
+    return rows.where("all is not null").select("lattice", own.alias("own"), total.alias("total"))
 
 
 @registered(
-    "with v as (select vec_id, list_transform(embedding[1:4], lambda x: floor(x::double * 100)) as p from embeddings), "
-    "s as (select vec_id, p, case when p[4] = p[2] then 0 else (p[3] - p[1]) / (p[4] - p[2]) end as slope from v) "
-    "select vec_id, round(p[1] - slope * p[2], 6) as above, round(p[3] + slope * (1000 - p[4]), 6) as below from s"
+    _FOURS_SQL + "s as (select lattice, p, case when p[4] = p[2] then 0 else (p[3] - p[1]) / (p[4] - p[2]) end as slope from f) "
+    "select lattice, round(p[1] - slope * p[2], 6) as above, round(p[3] + slope * (1000 - p[4]), 6) as below from s"
 )
 def line_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines through two points of each vector, continued up to the ordinate 0 and down to 1,000."""
-    p = [F.floor(F.get("embedding", F.lit(i)).cast("double") * 100).cast("double") for i in range(4)]
+    """Lines through two points of four numbers each, continued up to the ordinate 0 and down to 1,000."""
+    p = [F.get("p", F.lit(i)) for i in range(4)]
     above, below = line_at(*p, F.lit(0.0)), line_at(p[2], p[3], p[0], p[1], F.lit(1000.0))
-    return _table(spark, sf_dir, "embeddings").select("vec_id", F.round(above, 6).alias("above"), F.round(below, 6).alias("below"))
+    return _fours(spark, sf_dir).select("lattice", F.round(above, 6).alias("above"), F.round(below, 6).alias("below"))

@@ -33,24 +33,27 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
+#: A user has a new card every so many days: with one for all thirty, every card would win.
+CARD_DAYS = 8
+
+
 def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as calls of a card's cells: the card is the user, the column the type, the row the day modulo 5."""
+    """All events as calls of cards' cells: a card is a user's for CARD_DAYS days, the column the type, the row the day modulo 5."""
     kind = F.array_position(F.array(*map(F.lit, _TYPES)), F.col("event_type")).cast("int") - 1
     day = F.dayofmonth("ts")
-    return _table(spark, sf_dir, "events").where(day <= 8).select(
-        "user_id", "ts", "event_id", ((day % 5) * 5 + kind).alias("bit")
-    )
+    card = F.col("user_id") * 10 + F.floor((day - 1) / CARD_DAYS)
+    return _table(spark, sf_dir, "events").select(card.alias("card"), "ts", "event_id", ((day % 5) * 5 + kind).alias("bit"))
 
 
 def _numbered(calls: DataFrame) -> DataFrame:
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    order = Window.partitionBy("card").orderBy("ts", "event_id")
     return calls.withColumn("seq", F.row_number().over(order).cast("long"))
 
 
 _CALLS_SQL = """calls as (
-  select user_id, ts, event_id, ((day(ts) % 5) * 5 + list_position(['click','error','purchase','signup','view'], event_type) - 1)::int as bit,
-    row_number() over (partition by user_id order by ts, event_id) as seq
-  from events where day(ts) <= 8
+  select card, ts, event_id, bit, row_number() over (partition by card order by ts, event_id) as seq from (
+    select user_id * 10 + (day(ts) - 1) // 8 as card, ts, event_id, ((day(ts) % 5) * 5 + list_position(['click','error','purchase','signup','view'], event_type) - 1)::int as bit from events
+  )
 )"""
 
 
@@ -71,12 +74,12 @@ _AT_MOST = All((AtMost(row_mask(1), 3), AtLeast(col_mask(0), 3)))
 
 def _pattern_query(name: str, pattern) -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        marks = replay.grid_marks(_calls(spark, sf_dir), "user_id", F.col("bit"))
-        return marks.where(holds(pattern, F.col("marked"))).select("user_id")
+        marks = replay.grid_marks(_calls(spark, sf_dir), "card", F.col("bit"))
+        return marks.where(holds(pattern, F.col("marked"))).select("card")
 
     query.__name__ = name
-    cells = f"with {_CALLS_SQL}, cells as (select distinct user_id, bit from calls union select user_id, {FREE_BIT} from calls)"
-    registered(f"{cells} select user_id from cells group by user_id having {_tree_sql(pattern)}")(query)
+    cells = f"with {_CALLS_SQL}, cells as (select distinct card, bit from calls union select card, {FREE_BIT} from calls)"
+    registered(f"{cells} select card from cells group by card having {_tree_sql(pattern)}")(query)
 
 
 for _name, _pattern in PATTERNS.items():
@@ -85,20 +88,20 @@ _pattern_query("pattern_at_most", _AT_MOST)
 
 
 @registered(
-    f"with {_CALLS_SQL}, cells as (select distinct user_id, bit from calls union select user_id, {FREE_BIT} from calls) "
-    "select user_id, (25 - count(*))::int as remaining from cells group by user_id"
+    f"with {_CALLS_SQL}, cells as (select distinct card, bit from calls union select card, {FREE_BIT} from calls) "
+    "select card, (25 - count(*))::int as remaining from cells group by card"
 )
 def cards_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marks = replay.grid_marks(_calls(spark, sf_dir), "user_id", F.col("bit"))
-    return marks.select("user_id", (F.lit(25) - F.bit_count("marked")).cast("int").alias("remaining"))
+    marks = replay.grid_marks(_calls(spark, sf_dir), "card", F.col("bit"))
+    return marks.select("card", (F.lit(25) - F.bit_count("marked")).cast("int").alias("remaining"))
 
 
 @registered(
-    f"with {_CALLS_SQL}, cells as (select distinct user_id, bit from calls union select user_id, {FREE_BIT} from calls) "
-    "select user_id, sum(1 << bit)::int as marked from cells group by user_id"
+    f"with {_CALLS_SQL}, cells as (select distinct card, bit from calls union select card, {FREE_BIT} from calls) "
+    "select card, sum(1 << bit)::int as marked from cells group by card"
 )
 def mask_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay.grid_marks(_calls(spark, sf_dir), "user_id", F.col("bit"))
+    return replay.grid_marks(_calls(spark, sf_dir), "card", F.col("bit"))
 
 
 def _lines_sql() -> str:
@@ -107,34 +110,34 @@ def _lines_sql() -> str:
 
 
 _WIN_SQL = f"""with {_CALLS_SQL}, firsts as (
-  select user_id, bit, min(seq) as pos from calls where bit <> {FREE_BIT} group by user_id, bit
-  union all select distinct user_id, {FREE_BIT}, 0 from calls
+  select card, bit, min(seq) as pos from calls where bit <> {FREE_BIT} group by card, bit
+  union all select distinct card, {FREE_BIT}, 0 from calls
 ), lines(line, bit) as (values {_lines_sql()}),
-done as (select user_id, line, max(pos) as pos from firsts join lines using (bit) group by user_id, line having count(*) = 5)
-select user_id, min(pos)::bigint as win_seq from done group by user_id"""
+done as (select card, line, max(pos) as pos from firsts join lines using (bit) group by card, line having count(*) = 5)
+select card, min(pos)::bigint as win_seq from done group by card"""
 
 
 @registered(_WIN_SQL)
 def win_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The call at which each card first completes a line."""
-    return replay.win_sequence(_calls(spark, sf_dir), "user_id", F.col("bit"), ["ts", "event_id"], PATTERNS["standard"])
+    return replay.win_sequence(_calls(spark, sf_dir), "card", F.col("bit"), ["ts", "event_id"], PATTERNS["standard"])
 
 
 @registered(_WIN_SQL)
 def win_sequence_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = replay.replayed(_numbered(_calls(spark, sf_dir)), "user_id", F.col("bit"), F.col("seq"), PATTERNS["standard"])
-    return rows.where("won").groupBy("user_id").agg(F.min("_seq").alias("win_seq"))
+    rows = replay.replayed(_numbered(_calls(spark, sf_dir)), "card", F.col("bit"), F.col("seq"), PATTERNS["standard"])
+    return rows.where("won").groupBy("card").agg(F.min("_seq").alias("win_seq"))
 
 
 @registered(
-    _WIN_SQL.replace("select user_id, min(pos)::bigint as win_seq from done group by user_id", "")
-    + ", w as (select user_id, min(pos) as win_seq from done group by user_id) "
-    f", n as (select *, row_number() over (partition by user_id, bit order by seq) as again from calls where bit <> {FREE_BIT}) "
-    "select seq::bigint as seq, count(*)::bigint as winners from n join w using (user_id) where seq >= win_seq and again = 1 group by seq"
+    _WIN_SQL.replace("select card, min(pos)::bigint as win_seq from done group by card", "")
+    + ", w as (select card, min(pos) as win_seq from done group by card) "
+    f", n as (select *, row_number() over (partition by card, bit order by seq) as again from calls where bit <> {FREE_BIT}) "
+    "select seq::bigint as seq, count(*)::bigint as winners from n join w using (card) where seq >= win_seq and again = 1 group by seq"
 )
 def winners_per_call(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cards that hold the pattern after their n-th call, if it marks a new cell; a winner counts again at each later one."""
-    rows = replay.replayed(_numbered(_calls(spark, sf_dir)), "user_id", F.col("bit"), F.col("seq"), PATTERNS["standard"])
+    rows = replay.replayed(_numbered(_calls(spark, sf_dir)), "card", F.col("bit"), F.col("seq"), PATTERNS["standard"])
     return rows.where("won and fresh").groupBy(F.col("_seq").alias("seq")).agg(F.count(F.lit(1)).alias("winners"))
 
 

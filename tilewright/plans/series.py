@@ -120,14 +120,15 @@ def card_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(
-    "with l as (select vec_id // 8 as g, list(list_transform(embedding[1:4], lambda x: floor(x::double * 10)) order by vec_id) as cs from embeddings group by 1), "
+    "with l as (select vec_id // 8 * 16 + p as g, list(list_transform(embedding[p * 4 + 1 : p * 4 + 4], lambda x: floor(x::double * 10)) order by vec_id) as cs from (select *, unnest(range(16)) as p from embeddings) group by 1), "
     "k as (select g, list_reduce(list_transform(cs, lambda c: [c]), lambda a, x: case when len(list_filter(a, lambda o: list_max(list_transform(list_zip(o, x[1]), lambda z: abs(z[1] - z[2]))) <= 1.0::double)) > 0 then a else list_concat(a, x) end) as kept, len(cs) as n from l) "
     "select g::bigint as g, n::int as n, len(kept)::int as distinct_n, list_sum(list_transform(kept, lambda c: c[1]))::double as firsts from k"
 )
 def near_lattices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of eight lattices each, in order, those that are not within one of a kept one in all their lines."""
-    lines = F.transform(F.slice("embedding", 1, 4), lambda x: F.floor(x.cast("double") * 10).cast("double"))
-    held = _table(spark, sf_dir, "embeddings").groupBy(F.expr("vec_id div 8").alias("g")).agg(
+    """All numbers of eight vectors in parts of four: of eight lattices each, in order, those that are not within one of a kept one in all their lines."""
+    lines = F.transform(F.slice("embedding", F.col("p") * 4 + 1, F.lit(4)), lambda x: F.floor(x.cast("double") * 10).cast("double"))
+    parts = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("p"))
+    held = parts.groupBy(F.expr("vec_id div 8 * 16 + p").alias("g")).agg(
         F.array_sort(F.collect_list(F.struct("vec_id", lines.alias("c"))))["c"].alias("cs")  # eight
     )
     rows = held.select("g", F.size("cs").alias("n"), signals.distinct_lattices(F.col("cs"), 1.0).alias("kept"))
@@ -135,22 +136,22 @@ def near_lattices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(
-    "with o as (select *, row_number() over (partition by o_custkey order by o_orderkey) as i from orders), "
-    "b as (select o_custkey, list((o_orderkey % 1000)::double order by i) as tops, list(((o_orderkey % 1000) + 20 + o_custkey % 30 + floor(o_totalprice / 20000))::double order by i) as ends from o where i <= 1 + o_custkey % 4 group by 1), "
+    "with b as (select o_custkey * 10000 + year(o_orderdate) as sheet, list((o_orderkey % 1000)::double order by o_orderkey) as tops, "
+    "list(((o_orderkey % 1000) + 20 + o_custkey % 30 + floor(o_totalprice / 20000))::double order by o_orderkey) as ends from orders group by 1), "
     "h as (select *, list_transform(list_zip(tops, ends), lambda z: z[2] - z[1]) as hs, list_sort(ends) as es from b), "
     "p as (select *, es[2] - es[1] as a, es[3] - es[2] as c, list_min(hs) as lo, list_max(hs) as hi from h), "
-    "f as (select *, len(hs) = 1 and hi <= 0.5::double * 100 as single, len(hs) = 3 and a > 0 and abs(a - c) <= 0.28::double * greatest(a, c) and lo >= 0.45::double * hi as sheet from p) "
-    "select o_custkey, coalesce(single or sheet, false) as ok, round(case when single then 10 when sheet then 1000 + lo / hi when len(hs) = 1 then 0 else len(hs) end, 6)::double as score from f"
+    "f as (select *, len(hs) = 1 and hi <= 0.5::double * 100 as single, len(hs) = 3 and a > 0 and abs(a - c) <= 0.28::double * greatest(a, c) and lo >= 0.45::double * hi as whole from p) "
+    "select sheet, coalesce(single or whole, false) as ok, round(case when single then 10 when whole then 1000 + lo / hi when len(hs) = 1 then 0 else len(hs) end, 6)::double as score from f"
 )
 def sheet_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a customer's first orders, as bands, look like a sheet of three cards or a single one."""
+    """Whether a customer's orders of a year, as bands, look like a sheet of three cards or a single one."""
     top = (F.col("o_orderkey") % 1000).cast("double")
     end = top + 20 + F.col("o_custkey") % 30 + F.floor(F.col("o_totalprice") / 20000)
-    orders = _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
-        F.array_sort(F.collect_list(F.struct("o_orderkey", top.alias("top"), end.alias("bottom")))).alias("all")
+    sheets = _table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") * 10000 + F.year("o_orderdate")).alias("sheet")).agg(
+        F.collect_list(F.struct(top.alias("top"), end.alias("bottom"))).alias("bands")  # one customer's year
     )
-    found = islands.sheet_structure(F.slice("all", F.lit(1), (1 + F.col("o_custkey") % 4).cast("int")), F.lit(100))
-    return orders.select("o_custkey", found.alias("x")).select("o_custkey", "x.ok", F.round("x.score", 6).alias("score"))
+    found = islands.sheet_structure(F.col("bands"), F.lit(100))
+    return sheets.select("sheet", found.alias("x")).select("sheet", "x.ok", F.round("x.score", 6).alias("score"))
 
 
 @registered(
