@@ -71,6 +71,22 @@ def test_nearest_vectors(spark):
     assert len(found) == 45 and nearest.k_nearest(rows.limit(0), rows, "id", "v").isEmpty()
 
 
+def test_indexed_neighbours(spark):
+    """Recall against brute force on the table, exactness with all cells probed, a common vector, nulls and empty tables."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    asked = rows.where("vec_id % 100 = 0")
+    pairs = lambda df: {(r["query"], r["rank"]): r["neighbour"] for r in df.collect()}
+    told, found = pairs(nearest.k_nearest(asked, rows, "vec_id", "embedding")), pairs(nearest.indexed_nearest(asked, rows, "vec_id", "embedding"))
+    recall = sum((q, n) in {(a, m) for (a, _), m in told.items()} for (q, _), n in found.items()) / len(told)
+    assert recall >= 0.9
+    r = random.Random(6)
+    held = [(i, [float(r.randint(0, 9)) for _ in range(3)]) for i in range(200)] + [(200 + i, [1.0, 2.0, 3.0]) for i in range(150)] + [(999, None)]
+    small = spark.createDataFrame(held, "id long, v array<float>").repartition(4)
+    exact = nearest.indexed_nearest(small, small, "id", "v", 3, share=1.0)
+    assert pairs(exact) == pairs(nearest.k_nearest(small, small, "id", "v", 3))
+    assert nearest.indexed_nearest(small.limit(0), small.limit(0), "id", "v").isEmpty()
+
+
 def test_spaced_peaks(spark):
     r = random.Random(4)
     series = [(k, p, r.randint(0, 9)) for k in range(5) for p in range(20 * k)]
