@@ -3,8 +3,10 @@
 import itertools
 import math
 import random
+import re
 import resource
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -92,6 +94,61 @@ def test_most_frequent_words_are_exact(spark):
     assert found[:100] == [w for w, _ in sorted(rows, key=lambda x: (-x[1], x[0]))[:100]] and len(found) == len(set(found))
 
 
+def _plain_features(text):
+    """The classifier's features, by plain string work."""
+    text = text or ""
+    words, n_spaces = re.findall(r"[^\x20\x09-\x0D]+", text), len(re.findall(r"[\x20\x09-\x0D]", text))
+    n, chars = len(words), max(1, len(text) - n_spaces)
+    per, letters = max(1, n), max(1, len(re.findall("[A-Za-z]", text)))
+    lengths = [len(w.encode()) for w in words] or [0]
+    mean = sum(lengths) / len(lengths)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    counts = Counter(words)
+    return [
+        min(math.log1p(n), 12), min(sum(c in "#*$%&|<>@^~=_{}[]\\/" for c in text) / chars, 1), min(text.count("|") / per, 1), len(re.findall("[A-Z]", text)) / letters,
+        min(text.count("!") / per, 2), len(re.findall("[0-9]", text)) / chars, min(mean, 30), min(math.sqrt(sum((x - mean) ** 2 for x in lengths) / len(lengths)), 30),
+        math.sqrt(len(counts) / per), math.sqrt(max(counts.values(), default=0) / per), math.sqrt(sum(a == b for a, b in zip(words, words[1:], strict=False)) / per),
+        1 - len(set(lines)) / max(1, len(lines)), min(len(re.findall("[.?]", text)) / per, 1), sum(bool(re.search("[^A-Za-z]", w)) for w in words if w.isascii()) / per,
+        min(math.log1p(n / max(1, len(lines))), 8),
+    ]
+
+
+def plain_scores(rows, labels):
+    """Id to score, by plain features and gradient ascent on the same drawn pairs."""
+    texts = {r["doc_id"]: r["text"] for r in rows}
+    known = {r["doc_id"]: r["quality"] for r in labels if r["quality"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 and r["doc_id"] in texts}
+    ids = sorted(known)
+    x, good = np.array([_plain_features(texts[i]) for i in ids]), np.array([known[i] == 1 for i in ids])
+    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
+    z, draw, most = np.clip((x - mean) / scale, -8, 8), np.random.RandomState(7), max(good.sum(), (~good).sum())
+    rounds = max(1, 24 * min(good.sum(), (~good).sum()) // most)
+    a = np.concatenate([draw.permutation(most) for _ in range(rounds)]) % good.sum()
+    b = np.concatenate([draw.permutation(most) for _ in range(rounds)]) % (~good).sum()
+    d, w = z[good][a] - z[~good][b], np.zeros(x.shape[1])
+    step = 1 / (np.linalg.norm(d, 2) ** 2 / 4 + 2)
+    before = w
+    for i in range(50_000):  # with momentum
+        ahead = w + i / (i + 3) * (w - before)
+        before, w = w, ahead + step * (d.T @ (1 / (1 + np.exp(d @ ahead))) - 2 * ahead)
+        if i > 100 and np.abs(w - before).max() < 1e-12:
+            break
+    ranked, bad = np.sort((x - mean) / scale @ w), int((~good).sum())
+    cut = (ranked[bad - 1] + ranked[bad]) / 2
+    return {i: 1 / (1 + np.exp(-((np.array(_plain_features(t)) - mean) / scale @ w - cut + np.log(0.3 / 0.7)))) for i, t in texts.items()}
+
+
+def test_scores_equal_plain_ones(spark):
+    table = lambda t: spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet")
+    told = plain_scores(table("documents").collect(), table("labels").collect())
+    for r in quality.quality_scores(table("documents"), table("labels")).collect():
+        assert abs(r["score"] - told[r["doc_id"]]) < 1e-4 and r["predicted"] == (told[r["doc_id"]] >= 0.3)
+
+
+def test_features_equal_plain_ones():
+    for text in (None, "", " \n\t", "é ü! 12 a|b", "A a A\nA a A\n\n#!", "x" * 99 + " [y] <z> \\ / ~", "One. Two? three 4\x0bfive\x85six"):
+        assert np.allclose(quality.features(text), _plain_features(text)), text
+
+
 def test_ranker_equals_gradient_descent():
     r = np.random.RandomState(4)
     x = np.concatenate([r.randn(60, 4) + [1, 0, -0.5, 0], r.randn(40, 4)])

@@ -85,8 +85,12 @@ def best_fit(
     """One row per piece: id_col, piece, piece_start, piece_len, bin_id.
 
     An item of size 0 (or null) takes no room: it has one piece of length 0 and a null bin. Repeated rows
-    are items of their own; if they share a cluster they never share a bin. Rows are dealt by a hash of
-    the id and the row's place in the input, so that neither a hot source nor a repeated id fills one shard.
+    are items of their own; if they share a cluster they never share a bin. Null ids, sources and clusters
+    are allowed and conflict with nothing. Of equally long items the one of the lower id is packed first, of
+    equally tight bins the one opened first is taken. An item longer than the capacity, however long, fills
+    whole bins and leaves a rest. An empty table gives no rows; other columns are not looked at. Rows are
+    dealt by a hash of the id and the row's place in the input, so that neither a hot source nor a repeated
+    id fills one shard; a shard of some ``shard_rows`` items is packed in one task.
     """
     rows = items.select(
         F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(size_col), F.lit(0)).cast("long").alias("_size"),
