@@ -86,3 +86,28 @@ def test_restored_games(spark):
     day = "2024-01-01 00:00:00"
     assert found == {0: ("a", "game_over", "x", True, day), 1: ("", "setup", "no", False, day), 2: ("", "setup", None, False, day)}
     assert {r["i"] for r in broken.collect()} == {3, 4}
+
+
+def test_idle_keys_of_a_stream(spark, tmp_path):
+    """Each time a key is idle for half an hour, as a stream and as a table."""
+    at = lambda m: f"2024-01-01 {10 + m // 60:02d}:{m % 60:02d}:00"
+    rows = spark.createDataFrame([(1, at(0)), (1, at(29)), (1, at(59)), (2, at(5)), (2, at(34)), (3, at(50)), (4, at(0)), (4, at(95)), (5, at(100))], "game long, t string")
+    rows = rows.withColumn("ts", F.to_timestamp("t"))
+    pairs = lambda found: sorted((r["game"], r["last"].strftime("%H:%M")) for r in found)
+    told = [(1, "10:29"), (1, "10:59"), (2, "10:34"), (3, "10:50"), (4, "10:00")]
+    assert pairs(messages.evicted(rows, "game", "ts").collect()) == told
+    path = str(tmp_path / "in")
+    for a, b in ((0, 40), (40, 60), (60, 200)):
+        part = rows.where((F.col("ts") >= F.lit(at(a)).cast("timestamp")) & (F.col("ts") < F.lit(at(b)).cast("timestamp")))
+        part.select("game", "ts").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema("game long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(path)
+    assert pairs(_drained(messages.evicted(stream, "game", "ts"), "idle", tmp_path / "c")) == told
+
+
+def test_autosave(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id long, blob string")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    run = store.autosave(stream, str(tmp_path / "s"), str(tmp_path / "c")).trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    assert store.load_snapshot(spark, str(tmp_path / "s")).count() == 2

@@ -190,3 +190,21 @@ def chosen_readers(spark: SparkSession, sf_dir: str) -> DataFrame:
     reader = F.element_at(F.array(*map(F.lit, named.values())), (F.col("doc_id") % 3 + 1).cast("int"))
     rows = _table(spark, sf_dir, "documents").select("doc_id", reader.alias("reader"), "text")
     return readers.read_by(rows, "reader", "text", readers.READERS).select("doc_id", "reader", "value")
+
+
+_NAME_SQL = "printf('%d_%s_c%d_r%dc%d%s.jpg', epoch_us(ts)::bigint // 1000000, substr(sha256(event_id::varchar), 1, 8), user_id % 3 + 1, event_id % 5, event_id % 7 % 5, case when event_id % 4 = 0 then '_x' else '' end)"
+
+
+@registered(
+    f"with n as (select event_id, case when event_id % 6 = 0 then event_id || '_c2_r0c1.png' when event_id % 10 = 0 then 'odd.jpg' else {_NAME_SQL} end as name from events) "
+    r"select event_id, try_cast(nullif(regexp_extract(name, '^([0-9]+)_', 1), '') as bigint) as epoch, nullif(regexp_extract(name, '^[0-9]+_([0-9a-f]+)_c[0-9]', 1), '') as sha, "
+    r"try_cast(nullif(regexp_extract(name, '_c([0-9]+)_r', 1), '') as int) as card, try_cast(nullif(regexp_extract(name, '_r([0-9]+)c', 1), '') as int) as row, "
+    r"try_cast(nullif(regexp_extract(name, '_r[0-9]+c([0-9]+)[_.]', 1), '') as int) as col, name like '%\_x.%' escape '\' as corrected from n"
+)
+def cell_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What file names of cells say, old ones without a hash and names of another kind among them."""
+    key = F.col("event_id")
+    name = files.format_name(F.unix_seconds(F.col("ts").cast("timestamp")), F.substring(F.sha2(key.cast("string"), 256), 1, 8), F.col("user_id") % 3 + 1, key % 5, key % 7 % 5, key % 4 == 0)
+    name = F.when(key % 6 == 0, F.concat(key, F.lit("_c2_r0c1.png"))).when(key % 10 == 0, "odd.jpg").otherwise(name)
+    rows = _table(spark, sf_dir, "events").select("event_id", name.alias("name"))
+    return rows.select("event_id", *[c.alias(k) for k, c in files.cell_name(F.col("name")).items()])

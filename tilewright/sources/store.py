@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.readwriter import DataStreamWriter
 from pyspark.sql.types import StructType
 
 
@@ -28,6 +29,15 @@ def save_snapshot(df: DataFrame, root: str) -> bool:
     return True
 
 
+def autosave(stream: DataFrame, root: str, checkpoint: str, every: str = "5 seconds") -> DataStreamWriter:
+    """A writer that saves a snapshot of each micro-batch's rows every so often; start it, or give it another trigger.
+
+    A batch that a restart repeats is saved again as a newer snapshot, so readers, who take the newest, see it once.
+    """
+    writer = stream.writeStream.foreachBatch(lambda batch, _: save_snapshot(batch, root) and None)
+    return writer.option("checkpointLocation", checkpoint).trigger(processingTime=every)
+
+
 def _stamp() -> str:
     """A name that sorts after earlier ones."""
     import time

@@ -104,6 +104,42 @@ def waiting(joins: DataFrame, key: str) -> DataFrame:
     )
 
 
+def evicted(events: DataFrame, key: str, ts: str, minutes: int = 30, delay: str = "0 seconds") -> DataFrame:
+    """(key, last): each time that a key has had no event for so many minutes, with its last event before.
+
+    On a stream a key goes once the watermark has passed its last event by the minutes (or a later event
+    shows it), and the state is one time for each key that is there. On a table a key's last event counts as
+    idle if the table's last event is so much later.
+    """
+    gap = minutes * 60_000
+    rows = events.select(F.col(key).cast("long").alias(key), F.col(ts).cast("timestamp").alias("_ts"))
+    if not events.isStreaming:
+        order = Window.partitionBy(key).orderBy("_ts")
+        now = rows.agg(F.max("_ts").alias("_now"))
+        spaced = rows.withColumn("_next", F.lead("_ts").over(order)).join(F.broadcast(now))  # one row
+        later = F.unix_micros(F.coalesce("_next", "_now")) - F.unix_micros("_ts")
+        return spaced.where(later >= gap * 1000).select(key, F.col("_ts").alias("last"))
+
+    def fold(of: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = [state.get[0]] if state.exists else []
+        for frame in batches:
+            held += (frame["_ms"]).tolist()
+        held.sort()
+        out = [a for a, b in zip(held, held[1:], strict=False) if b - a >= gap]
+        last = held[-1]
+        if state.hasTimedOut or last + gap <= state.getCurrentWatermarkMs():
+            out.append(last)
+            if state.exists:
+                state.remove()
+        else:
+            state.update((last,))
+            state.setTimeoutTimestamp(last + gap)
+        yield pd.DataFrame({key: [of[0]] * len(out), "last": pd.to_datetime(out, unit="ms")})
+
+    rows = rows.withWatermark("_ts", delay).withColumn("_ms", F.unix_millis("_ts"))
+    return rows.groupBy(key).applyInPandasWithState(fold, f"{key} long, last timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def _waited(rows: DataFrame, key: str) -> DataFrame:
     """``waiting`` for tables: each wait since the waiter last left, with the reset that ends its round."""
     before = Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
