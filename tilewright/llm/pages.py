@@ -17,6 +17,7 @@ _TOP = ["header", "masthead", "banner-top", "site-header", "logo"]
 _END = ["footer", "foot", "site-footer", "copyright", "legal"]
 _ADS = ["ad", "ads", "advert", "sponsored", "promo", "ad-slot", "banner"]
 _NOTE = ["cookie", "notice", "consent", "popup", "alert", "gdpr", "newsletter", "subscribe"]
+_SHARE = ["share", "sharing", "share-buttons", "social", "social-links", "tags", "pagination", "pager", "toolbar", "meta-links"]
 _BOX = ["note", "info", "tip", "remark", "callout", "box", "summary", "abstract", "lead", "highlight", "important"]
 _SAID = ["comments", "comment", "discussion", "replies", "responses", "reader-comments"]
 MARK = "data-main"
@@ -52,7 +53,7 @@ class PageMaker:
 
     def boilerplate(self, inside: bool = False) -> str:
         r = self.r
-        kind = r.choice(["nav", "top", "end", "side", "ad", "ad", "note", "said", "form"] if not inside else ["ad", "side", "said", "note", "form", "nav"])
+        kind = r.choice(["nav", "top", "end", "side", "ad", "ad", "note", "said", "form", "share"] if not inside else ["ad", "side", "said", "note", "form", "nav", "share"])
         text = f"<p>{self.words(3, 40)}</p>" if r.random() < 0.5 else self.words(2, 30)
         if kind == "nav":
             tag = r.choice(["nav", "nav", "div", "ul"])
@@ -69,6 +70,11 @@ class PageMaker:
         if kind == "ad":
             tag = r.choice(["div", "div", "section", "aside", "p"])
             return f"<{tag}{self.attr(_ADS, 1.0)}>{text if tag != 'p' else self.words(2, 30)}</{tag}>"
+        if kind == "share":
+            tag = r.choice(["ul", "ul", "div", "p"])
+            each = "li" if tag == "ul" else "span"
+            word = lambda: self.words(1, 2) if r.random() < 0.5 else f'<a href="/{self.word()}">{self.words(1, 2)}</a>'
+            return f"<{tag}{self.attr(_SHARE, 1.0)}>" + "".join(f"<{each}>{word()}</{each}> " for _ in range(r.randint(1, 6))) + f"</{tag}>"
         if kind == "note" and r.random() < 0.15:
             return f"<noscript>{text}</noscript>"
         if kind == "note":
