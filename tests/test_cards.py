@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tilewright.functions import grids
-from tilewright.operators import decode, islands, metrics, nearest, quantiles, readers, signals
+from tilewright.operators import decode, islands, metrics, nearest, quantiles, readers, replay, signals
 from tilewright.sources import store
 
 
@@ -132,3 +132,12 @@ def test_supplied_readers_and_figures(spark):
     assert [r[0] for r in found] == [True, False] * 3
     kept, gone = store.without_keys(spark.range(5), spark.createDataFrame([(3,), (9,)], "id long"), ["id"])
     assert {r["id"] for r in kept.collect()} == {0, 1, 2, 4} and [r["id"] for r in gone.collect()] == [3]
+
+
+def test_winners_of_a_game_with_early_and_no_winners(spark):
+    """Winners before any call count on, cards that never win are in no list, repeated calls announce nothing."""
+    cards = spark.createDataFrame([(1, 10, 0), (1, 11, 2), (1, 12, 1 << 40), (1, 9, 4), (1, 13, 4), (2, 20, 1 << 40), (3, 30, 5)], "game long, card long, won long")
+    found = {(r["game"], r["call"]): (r["number"], r["fresh"], r["winners"]) for r in replay.winner_lists(cards, [7, 8, 7, 9, 1]).collect()}
+    assert found == {
+        (1, 1): (7, [], 1), (1, 2): (8, [11], 2), (1, 4): (9, [9, 13], 4), (1, 5): (1, [], 4), (3, 5): (1, [30], 1),
+    }

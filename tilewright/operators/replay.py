@@ -55,17 +55,18 @@ def winner_lists(cards: DataFrame, calls: list[int]) -> DataFrame:
     for at, number in enumerate(calls, 1):
         first.setdefault(number, at)
     told = F.array(*[F.struct(F.lit(at).alias("call"), F.lit(number).alias("number")) for number, at in first.items()])
-    by_call = cards.where((F.col("won") >= 0) & (F.col("won") <= len(calls))).groupBy("game", F.col("won").cast("int").alias("call")).agg(
+    # exploding what the filter leaves of one value keeps a costly ``won`` from being computed again for the filter
+    inside = F.transform(F.filter(F.array("won"), lambda w: (w >= 0) & (w <= len(calls))), lambda w: w.cast("int"))
+    by_call = cards.select("game", "card", F.explode(inside).alias("call")).groupBy("game", "call").agg(
         F.array_sort(F.collect_list("card")).alias("fresh")
     )
-    spread = by_call.groupBy("game").agg(F.min("call").alias("_first")).select("game", "_first", F.explode(told).alias("t"))
-    spread = spread.where(F.col("t.call") >= F.col("_first")).select("game", "t.call", "t.number")
-    early = by_call.where("call = 0").select("game", F.size("fresh").alias("_early"))
-    upto = Window.partitionBy("game").orderBy("call").rowsBetween(Window.unboundedPreceding, 0)
-    both = spread.join(by_call, ["game", "call"], "left").join(early, "game", "left")
-    winners = F.sum(F.when(F.col("fresh").isNull(), 0).otherwise(F.size("fresh"))).over(upto) + F.coalesce("_early", F.lit(0))
-    fresh = F.coalesce("fresh", F.array().cast(by_call.schema["fresh"].dataType))
-    return both.select("game", "call", "number", fresh.alias("fresh"), winners.cast("int").alias("winners"))
+    order = Window.partitionBy("game").orderBy("call")
+    total = F.sum(F.size("fresh")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = by_call.select("game", F.col("call").alias("_own"), "fresh", total.cast("int").alias("winners"), F.lead("call").over(order).alias("_next"))
+    until = F.coalesce("_next", F.lit(len(calls) + 1))
+    spread = rows.select("*", F.explode(F.filter(told, lambda t: (t["call"] >= F.col("_own")) & (t["call"] < until))).alias("t"))
+    none = F.array().cast(by_call.schema["fresh"].dataType)
+    return spread.select("game", "t.call", "t.number", F.when(F.col("t.call") == F.col("_own"), F.col("fresh")).otherwise(none).alias("fresh"), "winners")
 
 
 def first_calls(calls: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
