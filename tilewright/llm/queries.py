@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hmm, html, media, minhash, mixing, packing, quality, rules, shards, tokens
+from . import hmm, html, media, minhash, mixing, packing, quality, repeats, rules, shards, tokens
 from .common import crc_mod, n_words, shared_dir, table
 
 ARRIVALS = 4
@@ -75,6 +75,12 @@ def op10_pair_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of at least 24 words and three periods in all texts, one in ten of them with a planted loop."""
+    docs = table(spark, sf_dir, "documents")
+    return repeats.periodic_runs(docs, repeats.looped(F.col("doc_id"), F.col("text")))
+
+
 QUERIES = {
     "op1_jpeg_media": op1_jpeg_media,
     "op2_risk_rules": op2_risk_rules,
@@ -86,6 +92,7 @@ QUERIES = {
     "op8_main_text": op8_main_text,
     "op9_tiered_shards": op9_tiered_shards,
     "op10_pair_ranker": op10_pair_ranker,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
