@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hmm, html, media, minhash, mixing, packing, quality, repeats, rules, shards, tokens
-from .common import crc_mod, n_words, shared_dir, table
+from . import hmm, html, media, minhash, mixing, packing, quality, repeats, rules, shards, tokens, trie
+from .common import crc_mod, cut, n_words, shared_dir, table
 
 ARRIVALS = 4
 
@@ -81,6 +81,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.periodic_runs(docs, repeats.looped(F.col("doc_id"), F.col("text")))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, each rebuilt with the first turns of its group's first one."""
+    turns = cut(trie.keyed_turns(table(spark, sf_dir, "conversations")))
+    return trie.prefix_trie(*trie.rebuilt(turns))
+
+
 QUERIES = {
     "op1_jpeg_media": op1_jpeg_media,
     "op2_risk_rules": op2_risk_rules,
@@ -93,6 +99,7 @@ QUERIES = {
     "op9_tiered_shards": op9_tiered_shards,
     "op10_pair_ranker": op10_pair_ranker,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
