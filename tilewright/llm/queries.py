@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hmm, html, media, minhash, mixing, packing, quality, repeats, rules, shards, tokens, trie
+from . import counting, hmm, html, media, minhash, mixing, packing, quality, repeats, rules, shards, tokens, trie
 from .common import crc_mod, cut, n_words, shared_dir, table
 
 ARRIVALS = 4
@@ -81,6 +81,14 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.periodic_runs(docs, repeats.looped(F.col("doc_id"), F.col("text")))
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents, and whether they are more than 512."""
+    import public_tokenizers
+
+    counts = counting.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prefix trie of all conversations, each rebuilt with the first turns of its group's first one."""
     turns = cut(trie.keyed_turns(table(spark, sf_dir, "conversations")))
@@ -99,6 +107,7 @@ QUERIES = {
     "op9_tiered_shards": op9_tiered_shards,
     "op10_pair_ranker": op10_pair_ranker,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_token_counts": op12_token_counts,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
