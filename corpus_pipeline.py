@@ -16,7 +16,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows are judged one by one: repeated rows share their fate, a null id has no label to learn from, null
     and empty texts are scored by the features of no words, a text is looked at whole however long. A score
-    that equals the cutoff stays. Without labels of both kinds all scores are 0.5 and every row stays.
+    that equals the cutoff stays. Without labels of both kinds all scores are 0.5 and every row
+    stays. An empty table gives an empty one.
     """
     ranker = quality.train(docs, table(spark, sf_dir, "labels"))
     return docs.where(quality.score_column(F.col("text"), ranker) >= quality.CUT)
@@ -26,7 +27,8 @@ def check_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go.
 
     Null and empty texts fail the base rules and go. Repeated rows share their fate; a null id has no label;
-    a null language is a stratum of its own. A share that equals its cutoff stays. Columns of any name are kept.
+    a null language is a stratum of its own. A share that equals its cutoff stays. A text is
+    counted as a whole, however long. An empty table gives an empty one. Columns of any name are kept.
     """
     return rules.passing(docs, table(spark, sf_dir, "labels"))
 
@@ -53,7 +55,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it.
 
     Rows of one id are taken or left together, null and empty texts are left out, a null source is one more
-    source. Columns of any name are kept.
+    source. A very long text counts with all its words; equal sampling keys are taken in the order of ids. An empty
+    table gives an empty one. Columns of any name are kept.
     """
     return mixing.mixed_documents(docs)
 
@@ -62,7 +65,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 2,048 words; no two documents of one source share one, nor do the copies that the mix made of a document.
 
     A longer text is cut into pieces of full sequences and a rest; a text without words has a piece of length
-    0 and no sequence. Null ids and sources conflict with nothing. Other columns are not looked at.
+    0 and no sequence. Null ids and sources conflict with nothing. Repeated rows are items of their own that share no
+    sequence, as they share an id; of equally long texts the one of the lower id is packed first. An empty table gives
+    no rows. Other columns are not looked at.
     """
     items = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
     return packing.best_fit(items, "doc_id", "size", "source", "doc_id")

@@ -115,6 +115,13 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def crc_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of an expression's ASCII text, bit by bit."""
+    steps = f"flatten(list_transform(regexp_extract_all({text}, '.'), lambda c: [-1 - ascii(c)::bigint, 1, 1, 1, 1, 1, 1, 1, 1]))"
+    step = "case when x < 0 then xor(crc, -1 - x) else xor(crc >> 1, 3988292384 * (crc & 1)) end"
+    return f"(4294967295 - list_reduce(list_prepend(4294967295::bigint, {steps}), lambda crc, x: {step}))"
+
+
 def words_of(text: str | None) -> list[bytes]:
     """The words of a text as UTF-8; null has none."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,15 +65,16 @@ def pack(sizes: list[int], sources: list, clusters: list, capacity: int, apart:
 
 
 def _pack_shard(capacity: int, apart: bool):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["_id", "_size"], kind="stable")
-        none = lambda x: x.astype(object).where(x.notna(), None).tolist()
-        ids, shard = none(rows["_id"]), int(rows["_shard"].iloc[0])
-        found = pack(rows["_size"].tolist(), none(rows["_from"]), none(rows["_cluster"]), capacity, apart)
-        return pd.DataFrame(
-            [(i, k, a, n, (shard << 32) + b) for i, pieces in zip(ids, found, strict=True) for k, (a, n, b) in enumerate(pieces)],
-            columns=["_id", "piece", "piece_start", "piece_len", "bin_id"],
-        ).astype({"_id": "Int64"})
+    """Packs one shard as an Arrow table, in which ids and clusters beside a null stay whole numbers."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.select(["_id", "_size", "_from", "_cluster"]).to_pylist()
+        rows.sort(key=lambda r: (r["_id"] is None, r["_id"] or 0, r["_size"], repr(r["_from"]), repr(r["_cluster"])))
+        shard = table.column("_shard")[0].as_py()
+        found = pack([r["_size"] for r in rows], [r["_from"] for r in rows], [r["_cluster"] for r in rows], capacity, apart)
+        out = [(r["_id"], k, a, n, (shard << 32) + b) for r, pieces in zip(rows, found, strict=True) for k, (a, n, b) in enumerate(pieces)]
+        names = [c.split()[0] for c in _OUT.split(", ")]
+        return pa.table([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
 
     return run
 
@@ -99,7 +100,7 @@ def best_fit(
     shards = max(1, -(-rows.count() // shard_rows))
     place = F.pmod(F.xxhash64("_id", F.monotonically_increasing_id()), F.lit(shards))
     dealt = rows.where("_size > 0").withColumn("_shard", place)
-    packed = dealt.groupBy("_shard").applyInPandas(_pack_shard(capacity, apart), _OUT)
+    packed = dealt.groupBy("_shard").applyInArrow(_pack_shard(capacity, apart), _OUT)
     none = rows.where("_size = 0").select(
         "_id", F.lit(0).cast("long").alias("piece"), F.lit(0).cast("long").alias("piece_start"),
         F.lit(0).cast("long").alias("piece_len"), F.lit(None).cast("long").alias("bin_id"),

@@ -114,4 +114,6 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op4_source_mix": mixing.MIX_SQL,
     "op9_tiered_shards": "select doc_id, octet_length(encode(text))::bigint as n_bytes, md5(text) as text_md5 from documents",
+    "op11_periodic_runs": repeats.RUNS_SQL,
+    "op13_prefix_trie": trie.TRIE_SQL,
 }

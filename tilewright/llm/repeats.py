@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, slices, words_of
+from .common import WORD_PATTERN, crc_sql, slices, words_of
 
 #: Text that is refined together.
 TOGETHER = 16_000_000
@@ -309,3 +309,37 @@ def looped(doc_id: Column, text: Column) -> Column:
     # The words are computed once: a one-element array carries them into the expression.
     planted = F.element_at(F.transform(F.array(F.struct(words.alias("w"))), repeated), 1)
     return F.when((crc % 10 == 0) & text.rlike(WORD_PATTERN), planted).otherwise(text)
+
+
+#: The query's rows by pairs of equal words: stretches of pairs q apart are the runs.
+RUNS_SQL = rf"""
+with split as (
+  select doc_id, coalesce(regexp_extract_all(text, '{WORD_PATTERN}'), []) as given, {crc_sql("coalesce(doc_id::varchar, '')")} as crc from documents
+), placed as (
+  select *, len(given) as n, crc // 10 as g, case when len(given) > 0 then (crc // 10) % len(given) end as a from split
+), texts as (
+  select row_number() over () as d, doc_id, n, case when crc % 10 = 0 and n > 0 then
+    list_transform(range(n), lambda i: given[(case when i < a then i else a + (i - a) % (1 + (n - a) // (3 + g % 8)) end) + 1]) else given end as w
+  from placed
+), words as materialized (
+  select d, n, unnest(w) as w, unnest(range(n)) as i from texts
+), pairs as (
+  select x.d, x.i, y.i - x.i as q from words x join words y on x.d = y.d and x.w = y.w and y.i > x.i and 3 * (y.i - x.i) <= x.n
+), islands as (
+  select d, q, i, i - row_number() over (partition by d, q order by i) as island from pairs
+), stretches as materialized (
+  select d, min(i) as s, count(*) + q as len, q from islands group by d, q, island having count(*) + q >= greatest(24, 3 * q)
+), runs as materialized (
+  select * from stretches r where not exists (select 1 from stretches o where o.d = r.d and o.q < r.q and o.s <= r.s and o.s + o.len >= r.s + r.len)
+), listed as (
+  select d, count(*) as n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' order by s, q) as runs,
+    first({{'s': s, 'len': len, 'q': q}} order by len::double / q desc, s, q) as best
+  from runs group by d
+), kept as (
+  select d, string_agg(w, ' ' order by i) as text from words x
+  where not exists (select 1 from runs r where r.d = x.d and x.i >= r.s + r.q and x.i < r.s + r.len) group by d
+)
+select doc_id, coalesce(n_runs, 0)::bigint as n_runs, best.s::bigint as start, best.len::bigint as length, best.q::bigint as period,
+  (1000 * best.len // best.q)::bigint as exponent_milli, sha256(coalesce(runs, '')) as runs_sha256, sha256(coalesce(text, '')) as collapsed_sha256
+from texts left join listed using (d) left join kept using (d)
+"""

@@ -12,6 +12,7 @@ partitions of the target size, and each partition is written as one file, so no
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -135,8 +136,8 @@ def compact(spark: SparkSession, root: str, target: int = TARGET_BYTES) -> int:
     """Merges tiers, from the lowest on, until none can be merged; returns the version.
 
     Each step commits a version of its own, so that a compaction that is broken off loses one step; the
-    version stays the same if there is nothing to merge. No row is changed, dropped or shuffled. A table
-    without versions or rows stays as it is.
+    version stays the same if there is nothing to merge. No row is changed, dropped or shuffled, repeated
+    rows and columns of any names included. A table without versions or rows stays as it is.
     """
     version = latest(spark, root)
     while paths := _next_step(now := manifest(spark, root, version), target):
@@ -160,8 +161,14 @@ def live(spark: SparkSession, root: str, schema: StructType, version: int | None
     return _read(spark, schema, paths) if paths else spark.createDataFrame([], schema)
 
 
-def expire(spark: SparkSession, root: str) -> int:
-    """Deletes the runs that the last version does not name; returns how many. Run it when no reader needs an older version."""
+def expire(spark: SparkSession, root: str, grace: float = 0) -> int:
+    """Deletes the runs that the last version does not name; returns how many. Run it when no reader needs an older version.
+
+    A run that an ``append`` or ``compact`` elsewhere has written and not yet committed is named by no version
+    either: runs younger than ``grace`` seconds are spared, so give more than such a writer can take; 0 is
+    for a single writer. Versions and their manifests stay.
+    """
+    now = time.time() * 1000
     within = lambda path: path.rpartition("/data/")[2].rstrip("/")
     named = {within(r["path"]) for r in manifest(spark, root).select("path").collect()}
     roots, gone = {x.partition("/")[0] for x in named}, 0
@@ -170,5 +177,6 @@ def expire(spark: SparkSession, root: str) -> int:
         for run in inside or [name]:
             if run not in named:
                 p, fs = _path(spark, f"{root}/data/{run}")
-                gone += bool(fs.delete(p, True))
+                if fs.getFileStatus(p).getModificationTime() <= now - grace * 1000:
+                    gone += bool(fs.delete(p, True))
     return gone

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, drop
+from .common import crc_sql, cut, drop
 
 #: Levels that Spark always builds one by one. Deeper ones are built within tasks, a node's in one, if a count shows
 #: that all turns below them are no more than so many.
@@ -266,3 +266,35 @@ def _tails(alone: DataFrame, steps: DataFrame) -> DataFrame:
         F.col("rep").alias("conv_id"), depth.alias("depth"), F.when(depth == F.col("head"), F.col("above")).otherwise(F.col("rep")).alias("parent_conv_id"),
         F.col("n").alias("n_convs"), (depth < F.col("n_turns")).cast("long").alias("n_children"), F.lit(1).cast("long").alias("n_leaves"), "saved_tokens", "head",
     )
+
+
+#: The query's rows by hashed prefixes; a subtree is joined through the prefixes of its nodes' smallest conversations.
+TRIE_SQL = f"""
+with turns as (
+  select conv_id, turn, sha256(octet_length(encode(coalesce(role, '')))::varchar || ':' || coalesce(role, '') || coalesce(text, '')) as key,
+    octet_length(encode(coalesce(text, ''))) as n_bytes
+  from conversations where conv_id is not null
+), convs as (
+  select conv_id, list(key order by turn nulls first, key) as keys, list(n_bytes order by turn nulls first, key) as sizes, {crc_sql("conv_id::varchar")} % 9 as h
+  from turns group by conv_id
+), rebuilt as materialized (
+  select c.conv_id, list_concat(coalesce(b.keys[:c.h], []), c.keys[c.h + 1:]) as keys, list_concat(coalesce(b.sizes[:c.h], []), c.sizes[c.h + 1:]) as sizes
+  from convs c left join convs b on b.conv_id = c.conv_id - c.conv_id % 5
+), paths as materialized (
+  select conv_id, d, d = len(keys) as ends, sha256(array_to_string(keys[:d], ',')) as node,
+    case when d > 0 then sha256(array_to_string(keys[:d - 1], ',')) end as above, coalesce(sizes[d], 0) as n_bytes
+  from (select *, unnest(range(len(keys) + 1)) as d from rebuilt)
+), nodes as materialized (
+  select d, node, any_value(above) as above, min(conv_id) as conv_id, count(*) as n_convs, (count(*) - 1) * max(n_bytes) as own,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where ends), '')) as ends_sha256
+  from paths group by d, node
+), kids as (
+  select above as node, count(*) as n from nodes where d > 0 group by above
+), sums as (
+  select p.d, p.node, sum(n.own) as saved, count(*) filter (where k.n is null) as leaves
+  from nodes n left join kids k on k.node = n.node join paths p on p.conv_id = n.conv_id and p.d <= n.d group by p.d, p.node
+)
+select n.conv_id, n.d::bigint as depth, a.conv_id as parent_conv_id, n.n_convs::bigint as n_convs, coalesce(k.n, 0)::bigint as n_children,
+  s.leaves::bigint as n_leaves, s.saved::bigint as saved_tokens, n.ends_sha256
+from nodes n join sums s on s.d = n.d and s.node = n.node left join kids k on k.node = n.node left join nodes a on a.node = n.above and a.d = n.d - 1
+"""
