@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tilewright.sources import store
-from tilewright.streaming import messages
+from tilewright.streaming import messages, ordered
 
 BODY = T.StructType([T.StructField("k", T.LongType()), T.StructField("game_id", T.StringType())])
 TEXTS = [
@@ -42,9 +42,12 @@ def test_waiting_room(spark, tmp_path):
     told = [(1, "b", 2, 4), (1, "c", 5, 6), (2, "d", 2, 9)]
     table, path = spark.createDataFrame(rows, "game long, seq long, kind string, name string"), str(tmp_path / "in")
     assert sorted(tuple(r) for r in messages.waiting(table, "game").collect()) == told
+    timed = table.withColumn("ts", F.timestamp_seconds("seq"))
+    assert sorted(tuple(r) for r in messages.waiting(timed, "game", "ts").collect()) == told
     for a, b in ((0, 3), (3, 6), (6, 99)):
-        table.where(f"seq >= {a} and seq < {b}").coalesce(1).write.mode("append").parquet(path)
-    stream = messages.waiting(spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path), "game")
+        timed.where(f"seq >= {a} and seq < {b}").coalesce(1).write.mode("append").parquet(path)
+    ordered.use_rocksdb(spark)
+    stream = messages.waiting(spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1).parquet(path), "game", "ts")
     assert sorted(tuple(r) for r in _drained(stream, "waiting", tmp_path / "c")) == told
 
 
@@ -97,6 +100,7 @@ def test_idle_keys_of_a_stream(spark, tmp_path):
     told = [(1, "10:29"), (1, "10:59"), (2, "10:34"), (3, "10:50"), (4, "10:00")]
     assert pairs(messages.evicted(rows, "game", "ts").collect()) == told
     path = str(tmp_path / "in")
+    ordered.use_rocksdb(spark)
     for a, b in ((0, 40), (40, 60), (60, 200)):
         part = rows.where((F.col("ts") >= F.lit(at(a)).cast("timestamp")) & (F.col("ts") < F.lit(at(b)).cast("timestamp")))
         part.select("game", "ts").coalesce(1).write.mode("append").parquet(path)

@@ -12,7 +12,7 @@ from ..functions.cards import call_positions, random_grid
 from ..functions.patterns import PATTERNS, first_win
 from ..operators import replay
 from ..sources import store
-from ..streaming import messages
+from ..streaming import messages, rounds
 from .queries import _lines_sql, _table, registered
 
 
@@ -185,3 +185,38 @@ def catch_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     call = F.when(F.col("event_type").isin("click", "purchase"), F.col("event_id"))
     rows = rows.withColumn("called", F.count(call).over(before)).withColumn("current", F.last(call, True).over(before))
     return rows.where("event_type = 'view'").select("event_id", "called", "current")
+
+
+def round_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a game's messages: signup sets up, purchase starts, error ends, clicks and views call a cell named by day and kind."""
+    kinds = {"signup": "setup", "purchase": "start", "error": "over", "click": "call", "view": "call"}
+    kind = F.element_at(F.create_map(*[F.lit(x) for p in kinds.items() for x in p]), F.col("event_type"))
+    cell = F.dayofmonth("ts") % 5 * 5 + F.when(F.col("event_type") == "click", 0).when(F.col("event_type") == "view", 1)
+    return _table(spark, sf_dir, "events").select(F.col("user_id").alias("game"), "ts", F.col("event_id").alias("seq"), kind.alias("kind"), cell.alias("cell"))
+
+
+_ROUNDS_SQL = (
+    "with m as (select user_id as game, ts, event_id as seq, event_type as kind, day(ts) % 5 * 5 + case event_type when 'click' then 0 when 'view' then 1 end as cell from events), "
+    "s as (select m.*, (select p.kind from m p where p.game = m.game and p.kind in ('signup', 'purchase', 'error') and (p.ts, p.seq) < (m.ts, m.seq) order by p.ts desc, p.seq desc limit 1) as status, "
+    "(select count(*) from m p where p.game = m.game and p.kind = 'signup' and (p.ts, p.seq) < (m.ts, m.seq)) as round from m where kind in ('click', 'view')), "
+    "f as (select game, round, cell, min((ts, seq)) as first from s where status = 'purchase' group by 1, 2, 3), "
+    "c as (select s.*, case when status is null then 'no_game' when status = 'signup' then 'not_started' when status = 'error' then 'over' when (s.ts, s.seq) > f.first then 'repeat' end as reason from s left join f using (game, round, cell)), "
+    "r as (select c.*, (select count(*) from c d where d.game = c.game and d.round = c.round and d.reason is null and (d.ts, d.seq) <= (c.ts, c.seq)) as called from c)"
+)
+
+
+@registered(_ROUNDS_SQL + " select game, seq, round::bigint as round, reason, called::bigint as called from r")
+def game_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each call with its round, why it is turned away, and the calls that count in the round so far."""
+    return rounds.call_verdicts(round_messages(spark, sf_dir), "game", "ts", "seq")
+
+
+@registered(
+    _ROUNDS_SQL
+    + ", g as (select game, count(*) filter (where kind = 'signup') as round, arg_max(kind, (ts, seq)) filter (where kind in ('signup', 'purchase', 'error')) as k from m group by game) "
+    "select g.game, case k when 'signup' then 'setup' when 'purchase' then 'in_progress' when 'error' then 'game_over' else 'none' end as status, g.round::bigint as round, "
+    "count(r.seq)::bigint as called, arg_max(r.seq, (r.ts, r.seq)) as current from g left join r on r.game = g.game and r.round = g.round and r.reason is null group by g.game, k, g.round"
+)
+def game_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each game's status, round, calls and last call at the end: what a client that comes back is told."""
+    return rounds.game_status(round_messages(spark, sf_dir), "game", "ts", "seq")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from .ordered import InOrder, in_order
+
 # The types of messages that are known, with the part of the game that takes them.
 ROUTES = {
     "ping": "liveness", "join": "players", "create_game": "games", "submit_number": "calls", "reconnect": "players",
@@ -72,82 +72,107 @@ def recipients(messages: DataFrame, players: DataFrame, hosts: DataFrame) -> Dat
     return messages.select("message", "game").join(to, "game").select("message", "game", "role", "recipient")
 
 
-def waiting(joins: DataFrame, key: str) -> DataFrame:
+class _Waiting(InOrder):
+    """State per game: who waits, and since which message."""
+
+    def open(self) -> None:
+        self.waiters = self.handle.getMapState("names", "name string", "seq long")
+
+    def fold(self, key: tuple, rows: list[tuple]) -> list[tuple]:
+        held = {k[0]: v[0] for k, v in self.waiters.iterator()} if self.waiters.exists() else {}
+        before, out = dict(held), []
+        for _, seq, kind, name in rows:
+            if kind == "setup":
+                out += [(n, s, seq) for n, s in held.items()]
+                held.clear()
+            elif kind == "wait" and name is not None:
+                held.setdefault(name, seq)
+            elif kind == "left":
+                held.pop(name, None)
+        for name in before.keys() - held.keys():
+            self.waiters.removeKey((name,))
+        for name, seq in held.items():
+            if before.get(name) != seq:
+                self.waiters.updateValue((name,), (seq,))
+        return out
+
+
+def waiting(joins: DataFrame, key: str, ts: str | None = None, delay: str = "0 seconds") -> DataFrame:
     """(key, name, seq, admitted_at): waiters of each game with the reset that lets them in, as a stream or a table.
 
-    ``joins`` has key (long), seq (long, ascending per key), kind (``wait``, ``left`` or ``setup``) and name. A waiter who
-    left before the reset is not let in; one who waits at the end of the input gives no row. The state is the
-    names that wait; it does not grow with what has passed.
+    ``joins`` has key (long), seq (long), kind (``wait``, ``left`` or ``setup``), name, and the time ``ts``, which a
+    stream needs: rows count in the order of (ts, seq), or of seq alone. A waiter who left before the reset is not
+    let in; one who waits at the end of the input gives no row, nor does one without a name. On a stream a row
+    waits for the watermark to pass it, and beside such rows the state is the names that wait.
     """
-
-    def fold(of: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        names, since = state.get if state.exists else ([], [])
-        held = dict(zip(names, since, strict=True))
-        out = []
-        for rows in batches:
-            for seq, kind, name in rows.sort_values("seq")[["seq", "kind", "name"]].itertuples(index=False):
-                if kind == "wait":
-                    held.setdefault(name, int(seq))
-                elif kind == "left":
-                    held.pop(name, None)
-                else:
-                    out += [(of[0], n, s, int(seq)) for n, s in held.items()]
-                    held.clear()
-        state.update((list(held), list(held.values())))
-        yield pd.DataFrame(out, columns=[key, "name", "seq", "admitted_at"])
-
-    rows = joins.select(F.col(key).cast("long").alias(key), F.col("seq").cast("long").alias("seq"), "kind", F.col("name").cast("string").alias("name"))
+    rows = joins.select(
+        F.col(key).cast("long").alias(key), (F.col(ts).cast("timestamp") if ts else F.lit(0).cast("timestamp")).alias("_ts"), F.col("seq").cast("long").alias("seq"), "kind", F.col("name").cast("string").alias("name")
+    )
     if not joins.isStreaming:
         return _waited(rows, key)
-    return rows.groupBy(key).applyInPandasWithState(
-        fold, f"{key} long, name string, seq long, admitted_at long", "names array<string>, since array<long>", "append", GroupStateTimeout.NoTimeout
-    )
+    if ts is None:
+        raise ValueError("a stream's rows need a time to be put in order")
+    processor = _Waiting("us long, seq long, kind string, name string", [key, "name", "seq", "admitted_at"])
+    return in_order(rows, key, "_ts", "seq", ["kind", "name"], processor, f"{key} long, name string, seq long, admitted_at long", delay)
+
+
+class _Idle(InOrder):
+    """State per key: its last time."""
+
+    def __init__(self, gap: int, *args) -> None:
+        super().__init__(*args)
+        self.gap = gap
+
+    def open(self) -> None:
+        self.last = self.handle.getValueState("last", "us long")
+
+    def fold(self, key: tuple, rows: list[tuple]) -> list[tuple]:
+        times = [r[0] for r in rows]
+        if self.last.exists():
+            times.insert(0, self.last.get()[0])
+        self.last.update((times[-1],))
+        return [(a,) for a, b in zip(times, times[1:], strict=False) if b - a >= self.gap]
+
+    def idle(self, key: tuple, watermark: int) -> tuple[list[tuple], int | None]:
+        if not self.last.exists():
+            return [], None
+        (last,) = self.last.get()
+        if last + self.gap > watermark * 1000:
+            return [], -(-(last + self.gap) // 1000)
+        self.last.clear()
+        return [(last,)], None
 
 
 def evicted(events: DataFrame, key: str, ts: str, minutes: int = 30, delay: str = "0 seconds") -> DataFrame:
     """(key, last): each time that a key has had no event for so many minutes, with its last event before.
 
     On a stream a key goes once the watermark has passed its last event by the minutes (or a later event
-    shows it), and the state is one time for each key that is there. On a table a key's last event counts as
-    idle if the table's last event is so much later.
+    shows it), and the state is one time for each key that is there, beside rows that the watermark has not
+    passed. On a table a key's last event counts as idle if the table's last event is so much later. Events
+    without a key or time are left out.
     """
-    gap = minutes * 60_000
-    rows = events.select(F.col(key).cast("long").alias(key), F.col(ts).cast("timestamp").alias("_ts"))
-    if not events.isStreaming:
-        order = Window.partitionBy(key).orderBy("_ts")
-        now = rows.agg(F.max("_ts").alias("_now"))
-        spaced = rows.withColumn("_next", F.lead("_ts").over(order)).join(F.broadcast(now))  # one row
-        later = F.unix_micros(F.coalesce("_next", "_now")) - F.unix_micros("_ts")
-        return spaced.where(later >= gap * 1000).select(key, F.col("_ts").alias("last"))
-
-    def fold(of: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = [state.get[0]] if state.exists else []
-        for frame in batches:
-            held += (frame["_ms"]).tolist()
-        held.sort()
-        out = [a for a, b in zip(held, held[1:], strict=False) if b - a >= gap]
-        last = held[-1]
-        if state.hasTimedOut or last + gap <= state.getCurrentWatermarkMs():
-            out.append(last)
-            if state.exists:
-                state.remove()
-        else:
-            state.update((last,))
-            state.setTimeoutTimestamp(last + gap)
-        yield pd.DataFrame({key: [of[0]] * len(out), "last": pd.to_datetime(out, unit="ms")})
-
-    rows = rows.withWatermark("_ts", delay).withColumn("_ms", F.unix_millis("_ts"))
-    return rows.groupBy(key).applyInPandasWithState(fold, f"{key} long, last timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    gap = minutes * 60_000_000
+    rows = events.select(F.col(key).cast("long").alias(key), F.col(ts).cast("timestamp").alias("_ts")).dropna()
+    if events.isStreaming:
+        rows = rows.withColumn("seq", F.lit(0).cast("long"))
+        found = in_order(rows, key, "_ts", "seq", [], _Idle(gap, "us long, seq long", [key, "last"]), f"{key} long, last long", delay)
+        return found.select(key, F.timestamp_micros("last").alias("last"))
+    order = Window.partitionBy(key).orderBy("_ts")
+    now = rows.agg(F.max("_ts").alias("_now"))
+    spaced = rows.withColumn("_next", F.lead("_ts").over(order)).join(F.broadcast(now))  # one row
+    later = F.unix_micros(F.coalesce("_next", "_now")) - F.unix_micros("_ts")
+    return spaced.where(later >= gap).select(key, F.col("_ts").alias("last"))
 
 
 def _waited(rows: DataFrame, key: str) -> DataFrame:
     """``waiting`` for tables: each wait since the waiter last left, with the reset that ends its round."""
-    before = Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.struct("_ts", "seq")
+    before = Window.partitionBy(key).orderBy("_ts", "seq").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_round", F.coalesce(F.sum((F.col("kind") == "setup").cast("int")).over(before), F.lit(0)))
     ends = rows.where("kind = 'setup'").select(key, "_round", F.col("seq").alias("admitted_at"))
-    gone = F.max(F.when(F.col("kind") == "left", F.col("seq"))).over(Window.partitionBy(key, "_round", "name"))
-    waits = rows.withColumn("_gone", gone).where("kind = 'wait' and seq > coalesce(_gone, -1)")
-    first = waits.groupBy(key, "_round", "name").agg(F.min("seq").alias("seq"))
+    gone = F.max(F.when(F.col("kind") == "left", at)).over(Window.partitionBy(key, "_round", "name"))
+    waits = rows.where("name is not null").withColumn("_gone", gone).where((F.col("kind") == "wait") & (F.col("_gone").isNull() | (at > F.col("_gone"))))
+    first = waits.groupBy(key, "_round", "name").agg(F.min_by("seq", at).alias("seq"))
     return first.join(ends, [key, "_round"]).select(key, "name", "seq", "admitted_at")
 
 
