@@ -106,12 +106,3 @@ def test_idle_keys_of_a_stream(spark, tmp_path):
         part.select("game", "ts").coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema("game long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(path)
     assert pairs(_drained(messages.evicted(stream, "game", "ts"), "idle", tmp_path / "c")) == told
-
-
-def test_autosave(spark, tmp_path):
-    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id long, blob string")
-    rows.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    run = store.autosave(stream, str(tmp_path / "s"), str(tmp_path / "c")).trigger(availableNow=True).start()
-    run.awaitTermination(120)
-    assert store.load_snapshot(spark, str(tmp_path / "s")).count() == 2

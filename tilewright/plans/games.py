@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..functions.cards import call_positions, random_grid
 from ..functions.patterns import PATTERNS, first_win
 from ..operators import replay
-from ..sources import store
+from ..sources import deltas, gamestate, store
 from ..streaming import messages, rounds
 from .queries import _lines_sql, _table, registered
 
@@ -220,3 +220,52 @@ def game_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def game_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each game's status, round, calls and last call at the end: what a client that comes back is told."""
     return rounds.game_status(round_messages(spark, sf_dir), "game", "ts", "seq")
+
+
+#: Customers of one stored game.
+PLAYERS = 50
+
+
+@registered(
+    _CARDS_SQL + ", whole as (select c_custkey // 50 as key, c_custkey, string_agg(case when r * 5 + c = 12 then '0' else n::varchar end, ' ' order by r * 5 + c) as cells, "
+    "count(*) filter (where r * 5 + c = 12 or pos <= 20 + c_custkey // 50 % 30) as marked from drawn join calls using (n) where r < 5 group by 1, 2) "
+    "select key::bigint as key, 'p' || c_custkey as player_id, c_name as display_name, 'c' || c_custkey as card_id, cells, marked::int as marked, (20 + key % 30)::int as called, "
+    "key % 3 = 0 as wins, 'in_progress' as status, (select count(*) from customer w where w.c_custkey // 50 = key and w.c_acctbal < 0)::bigint as waiters from whole join customer using (c_custkey)"
+)
+def nested_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Games of fifty customers with their cards, marks, calls and waiters, saved as JSON texts and restored from them: one row for each card."""
+    customers = _table(spark, sf_dir, "customer").withColumn("key", F.floor(F.col("c_custkey") / PLAYERS))
+    called = F.slice(F.array(*map(F.lit, _called())), F.lit(1), (20 + F.col("key") % 30).cast("int"))
+    games = customers.select("key").distinct().select(
+        "key", F.concat(F.lit("g"), "key").alias("game_id"), F.lit("in_progress").alias("status"), called.cast("array<string>").alias("called_numbers"), F.lit(None).cast("string").alias("current_number"),
+        F.when(F.col("key") % 3 == 0, "standard").otherwise("nope").alias("winning_pattern_name"), F.lit("2024-05-01 10:00:00").cast("timestamp_ntz").alias("last_activity"),
+    )
+    player = F.concat(F.lit("p"), "c_custkey").alias("player_id")
+    players = customers.select("key", player, F.col("c_name").alias("display_name"), F.lit(None).cast("timestamp_ntz").alias("connected_at"))
+    drawn = customers.select("key", player, F.lit(1).alias("place"), F.concat(F.lit("c"), "c_custkey").alias("card_id"), random_grid(F.col("c_custkey"), "card").alias("grid"))
+    cards = gamestate.saved_cards(drawn, ["key"], games.select("key", F.col("called_numbers").cast("array<int>").alias("called")))
+    waiters = customers.where("c_acctbal < 0").select("key", F.col("c_custkey").cast("string").alias("pending_id"), F.col("c_name").alias("display_name"))
+    texts = gamestate.state_texts({"games": games, "players": players, "cards": cards, "waiters": waiters})
+    back = gamestate.restored_state(texts, "key", "text", ["standard"], F.lit("2024-06-01 00:00:00").cast("timestamp_ntz"))
+    waiting = back["waiters"].groupBy("key").agg(F.count(F.lit(1)).alias("waiters"))
+    told = back["games"].join(waiting, "key", "left").select("key", "status", "wins", F.size("called_numbers").alias("called"), F.coalesce("waiters", F.lit(0)).cast("long").alias("waiters"))
+    rows = back["cards"].join(back["players"], ["key", "player_id"]).join(told, "key")
+    marked = F.size(F.filter(F.flatten("marked"), lambda m: m))
+    return rows.select("key", "player_id", "display_name", "card_id", F.array_join(F.flatten("grid"), " ").alias("cells"), marked.alias("marked"), "called", "wins", "status", "waiters")
+
+
+@registered(
+    "with c as (select user_id, hour(ts) as hour, arg_max(event_id, (ts, event_id)) as event_id, arg_max(event_type, (ts, event_id)) as kind, arg_max(value, (ts, event_id)) as value from events group by 1, 2) "
+    "select user_id, hour::int as hour, event_id, kind, value from c where kind <> 'error'"
+)
+def delta_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last event of each user and hour, saved in four lots of changes, merged after two; an error deletes."""
+    events = _table(spark, sf_dir, "events").select("user_id", F.hour("ts").alias("hour"), "event_id", F.col("event_type").alias("kind"), "value", F.struct("ts", "event_id").alias("at"), (F.col("event_type") == "error").alias("gone"))
+    root, keys, lot = deltas.shared_dir(spark), ["user_id", "hour"], F.floor((F.dayofmonth("at.ts") - 1) / 8)
+    writer = deltas.generation(spark, root, "events")
+    for number in range(4):
+        deltas.append_delta(events.where(lot == number), root, writer, number, keys, "at", "gone")
+        if number == 1:
+            deltas.merge(spark, root, keys)
+            deltas.vacuum(spark, root)
+    return deltas.live(spark, root, keys).drop("at")

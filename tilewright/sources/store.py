@@ -6,9 +6,10 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.readwriter import DataStreamWriter
 from pyspark.sql.types import StructType
 
+from .deltas import names
+
 
 def latest_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the given order."""
@@ -17,8 +18,10 @@ def latest_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> Dat
 
 
 def upserted(held: DataFrame, more: DataFrame, keys: list[str], updated: str) -> DataFrame:
-    """Both tables' rows, the last updated of each key."""
-    return latest_per_key(held.unionByName(more), keys, [F.col(updated).desc()])
+    """Both tables' rows, the last updated of each key. The maximum is taken before rows are shuffled, and nothing is sorted by key."""
+    rest = [c for c in held.columns if c not in keys]
+    last = held.unionByName(more).groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(updated)).alias("_last"))
+    return last.select(*[F.col(c) if c in keys else F.col(f"_last.`{c}`").alias(c) for c in held.columns])
 
 
 def save_snapshot(df: DataFrame, root: str) -> bool:
@@ -29,15 +32,6 @@ def save_snapshot(df: DataFrame, root: str) -> bool:
     return True
 
 
-def autosave(stream: DataFrame, root: str, checkpoint: str, every: str = "5 seconds") -> DataStreamWriter:
-    """A writer that saves a snapshot of each micro-batch's rows every so often; start it, or give it another trigger.
-
-    A batch that a restart repeats is saved again as a newer snapshot, so readers, who take the newest, see it once.
-    """
-    writer = stream.writeStream.foreachBatch(lambda batch, _: save_snapshot(batch, root) and None)
-    return writer.option("checkpointLocation", checkpoint).trigger(processingTime=every)
-
-
 def _stamp() -> str:
     """A name that sorts after earlier ones."""
     import time
@@ -46,10 +40,9 @@ def _stamp() -> str:
 
 
 def load_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    """The newest whole snapshot."""
-    rows = spark.read.parquet(root)
-    newest = rows.agg(F.max("snapshot")).first()[0]
-    return rows.where(F.col("snapshot") == newest).drop("snapshot")
+    """The newest whole snapshot, found by listing the folder."""
+    newest = max(n for n in names(spark, root) if n.startswith("snapshot="))
+    return spark.read.parquet(f"{root}/{newest}")
 
 
 def keep_last(spark: SparkSession, root: str, n: int = 20) -> int:
