@@ -245,8 +245,9 @@ def nested_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = customers.select("key", player, F.lit(1).alias("place"), F.concat(F.lit("c"), "c_custkey").alias("card_id"), random_grid(F.col("c_custkey"), "card").alias("grid"))
     cards = gamestate.saved_cards(drawn, ["key"], games.select("key", F.col("called_numbers").cast("array<int>").alias("called")))
     waiters = customers.where("c_acctbal < 0").select("key", F.col("c_custkey").cast("string").alias("pending_id"), F.col("c_name").alias("display_name"))
-    texts = gamestate.state_texts({"games": games, "players": players, "cards": cards, "waiters": waiters})
-    back = gamestate.restored_state(texts, "key", "text", ["standard"], F.lit("2024-06-01 00:00:00").cast("timestamp_ntz"))
+    saved = f"{deltas.shared_dir(spark)}/texts"
+    gamestate.state_texts({"games": games, "players": players, "cards": cards, "waiters": waiters}).write.parquet(saved)
+    back = gamestate.restored_state(spark.read.parquet(saved), "key", "text", ["standard"], F.lit("2024-06-01 00:00:00").cast("timestamp_ntz"))
     waiting = back["waiters"].groupBy("key").agg(F.count(F.lit(1)).alias("waiters"))
     told = back["games"].join(waiting, "key", "left").select("key", "status", "wins", F.size("called_numbers").alias("called"), F.coalesce("waiters", F.lit(0)).cast("long").alias("waiters"))
     rows = back["cards"].join(back["players"], ["key", "player_id"]).join(told, "key")

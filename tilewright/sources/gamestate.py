@@ -87,8 +87,10 @@ def saved_cards(cards: DataFrame, keys: list[str], calls: DataFrame) -> DataFram
 
     ``calls`` has one row for each key, with the array of numbers called so far.
     """
-    five = lambda held: F.transform(F.sequence(F.lit(0), F.lit(SIDE - 1)), lambda r: F.slice(held, r * SIDE + 1, SIDE))
-    marked = F.transform("grid", lambda n, i: (i == FREE_BIT) | F.array_contains(F.col("called"), n))
-    rows = cards.join(calls, keys)
-    return rows.select(*cards.drop("grid").columns, five(F.col("grid").cast("array<string>")).alias("grid"), five(marked).alias("marked"))
-
+    rows = cards.withColumnRenamed("grid", "_grid").join(calls, keys)
+    places = F.sequence(F.lit(0), F.lit(SIDE - 1))
+    # each array is made once, outside the loop over rows
+    five = lambda held: F.element_at(F.transform(F.array(held), lambda h: F.transform(places, lambda r: F.slice(h, r * SIDE + 1, SIDE))), 1)
+    marked = F.transform("_grid", lambda n, i: (i == FREE_BIT) | F.array_contains(F.col("called"), n))
+    rest = [c for c in cards.columns if c != "grid"]
+    return rows.select(*rest, five(F.col("_grid").cast("array<string>")).alias("grid"), five(marked).alias("marked"))
