@@ -31,7 +31,7 @@ LOT_BYTES, LOT_DOCS, SHARE_BYTES = 16_000_000, 200_000, 64 << 20
 REMEMBERED = 500_000
 
 #: A lot's documents stand in a row with share -1, its pre-tokens in one row for each share that has some.
-_LOTS = "lot long, share int, first int, words array<binary>, ids array<long>, n_bytes array<long>, others array<long>, counts binary, packed long"
+_LOTS = "lot long, share int, first int, words binary, ids array<long>, n_bytes array<long>, others array<long>, counts binary"
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -56,6 +56,11 @@ class _Cutter:
         self.added = re.compile("|".join(map(re.escape, strings))) if strings else None
         self.plain = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in added)
         self.by_words = _by_words(settings)
+        # How this tokenizer writes a space and the letters of Latin script, which it never parts from each other.
+        self.space, self.latin = "", {}
+        if self.by_words:
+            self.space = self.cut(" a")[0][:-1]
+            self.latin = {c: self.cut(chr(c))[0] for c in range(0x250) if chr(c).isalpha()}
         self.held: dict[str, tuple[str, ...]] = {}
         self.pieces: dict[bytes, int] = {}
 
@@ -72,9 +77,19 @@ class _Cutter:
         if made is None:
             if len(self.held) >= REMEMBERED:
                 self.held.clear()
-            made = self.held[word] = self.cut(word)
+            made = self.held[word] = self._latin(word) if self.by_words else self.cut(word)
         return made
 
+    def _latin(self, word: str) -> tuple[str, ...]:
+        """As ``cut``, without the library for a word of Latin letters, with or without a space before and a mark after it."""
+        bare, space = (word[1:], self.space) if word[:1] == " " else (word, "")
+        mark = bare[-1:] if bare[-1:] in (",", ".", ";", ":", "!", "?") else ""
+        bare = bare.removesuffix(mark)
+        if bare.isalpha() and max(bare) < "\u0250":
+            made = space + (bare if bare.isascii() else bare.translate(self.latin))
+            return (made, mark) if mark else (made,)
+        return self.cut(word)
+
     def frequencies(self, text: str) -> tuple[dict[str, int], int]:
         """How often each pre-token occurs, and the number of tokens that are no pre-token's pieces."""
         special, texts = 0, [text]
@@ -129,12 +144,38 @@ def _cutter(path: str) -> _Cutter:
     return _CUTTERS[path]
 
 
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Whole numbers as compressed bytes: all lowest bytes first, as the high ones are mostly zero."""
+    flat = np.concatenate([np.array([len(a) for a in arrays]), *arrays]).astype("<i4")
+    return flat.nbytes.to_bytes(8, "little") + pa.compress(np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(held: bytes, n: int) -> list[np.ndarray]:
+    """The ``n`` arrays of ``_packed``."""
+    raw = pa.decompress(held[8:], int.from_bytes(held[:8], "little"), "zstd", asbytes=True)
+    flat = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<i4").ravel().astype(np.int64)
+    return np.split(flat[n:], np.cumsum(flat[:n])[:-1])
+
+
+def _packed_words(words: list[bytes]) -> bytes:
+    lengths, text = _packed(np.array([len(w) for w in words])), b"".join(words)
+    return len(lengths).to_bytes(8, "little") + lengths + len(text).to_bytes(8, "little") + pa.compress(text, "zstd", asbytes=True)
+
+
+def _unpacked_words(held: bytes) -> list[bytes]:
+    at = 8 + int.from_bytes(held[:8], "little")
+    (lengths,) = _unpacked(held[8:at], 1)
+    text = pa.decompress(held[at + 8 :], int.from_bytes(held[at : at + 8], "little"), "zstd", asbytes=True)
+    ends = np.cumsum(lengths).tolist()
+    return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 def _names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
 
 def _lot(cutter: _Cutter, lot: int, rows: list[tuple[int | None, str | None]], shares: int) -> pa.RecordBatch:
-    """The rows of one lot: pre-tokens are numbered by share, frequencies are packed as (how many, numbers, frequencies)."""
+    """The rows of one lot: pre-tokens are numbered by share, frequencies are packed as (how many, steps, frequencies)."""
     number: dict[str, int] = defaultdict(count().__next__)
     others, places, often = [], [], []
     for _, text in rows:
@@ -143,19 +184,25 @@ def _lot(cutter: _Cutter, lot: int, rows: list[tuple[int | None, str | None]], s
         places.append(np.fromiter(map(number.__getitem__, found), np.int32, len(found)))
         often.append(np.fromiter(found.values(), np.int32, len(found)))
     words = [w.encode() for w in number]
-    share = np.array([zlib.crc32(w) % shares for w in words], np.int64)
-    order = np.argsort(share, kind="stable")
-    moved = np.empty(len(words), np.int32)
+    share = [zlib.crc32(w) % shares for w in words]
+    order = sorted(range(len(words)), key=lambda i: (share[i], words[i]))
+    moved = np.empty(len(words), np.int64)
     moved[order] = np.arange(len(words))
-    packed = np.concatenate([np.array([len(p) for p in places]), moved[np.concatenate(places)], *often]).astype("<i4")
-    held, first, n = np.unique(share[order], return_index=True, return_counts=True)
+    share = np.array(share, np.int64)[order]
+    # Each document's pre-tokens in ascending order, as steps from one to the next.
+    sizes = np.array([len(p) for p in places])
+    pairs = np.repeat(np.arange(len(rows)), sizes) * (len(words) + 1) + moved[np.concatenate(places)]
+    by_doc = np.argsort(pairs, kind="stable")
+    steps = np.diff(pairs[by_doc] % (len(words) + 1), prepend=0)
+    often = np.concatenate(often)[by_doc]
+    held, first, n = np.unique(share, return_index=True, return_counts=True)
     one = [None] * len(held)
     return pa.RecordBatch.from_arrays(
         [
             pa.array([lot] * (len(held) + 1), pa.int64()), pa.array([-1, *held.tolist()], pa.int32()), pa.array([None, *first.tolist()], pa.int32()),
-            pa.array([None, *([words[i] for i in order[a : a + k]] for a, k in zip(first.tolist(), n.tolist(), strict=True))], pa.list_(pa.binary())),
+            pa.array([None, *(_packed_words([words[i] for i in order[a : a + k]]) for a, k in zip(first.tolist(), n.tolist(), strict=True))], pa.binary()),
             pa.array([[i for i, _ in rows], *one], pa.list_(pa.int64())), pa.array([[len((t or "").encode()) for _, t in rows], *one], pa.list_(pa.int64())),
-            pa.array([others, *one], pa.list_(pa.int64())), pa.array([pa.compress(packed.tobytes(), "zstd", asbytes=True), *one], pa.binary()), pa.array([packed.nbytes, *one], pa.int64()),
+            pa.array([others, *one], pa.list_(pa.int64())), pa.array([_packed(sizes, steps, often), *one], pa.binary()),
         ],
         names=_names(_LOTS),
     )
@@ -183,8 +230,8 @@ def _counter(tokenizer: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = _cutter(tokenizer)
         for batch in batches:
-            pieces = [[cutter.n_pieces(w) for w in words] for words in batch.column("words").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("lot"), batch.column("first"), pa.array(pieces, pa.list_(pa.int32()))], names=["lot", "first", "pieces"])
+            pieces = [_packed(np.array([cutter.n_pieces(w) for w in _unpacked_words(words.as_py())])) for words in batch.column("words")]
+            yield pa.RecordBatch.from_arrays([batch.column("lot"), batch.column("first"), pa.array(pieces, pa.binary())], names=["lot", "first", "pieces"])
 
     return run
 
@@ -196,12 +243,11 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Frequencies times pieces, summed for each document of a lot."""
     for batch in batches:
         for lot in batch.to_pylist():
-            packed = np.frombuffer(pa.decompress(lot["counts"], lot["packed"], "zstd", asbytes=True), "<i4")
-            docs = len(lot["ids"])
-            sizes, pairs = packed[:docs].astype(np.int64), (len(packed) - docs) // 2
-            pieces = np.concatenate([np.empty(0, np.int64), *(p["pieces"] for p in sorted(lot["found"] or [], key=lambda p: p["first"]))]).astype(np.int64)
+            sizes, steps, often = _unpacked(lot["counts"], 3)
+            found = sorted(lot["found"] or [], key=lambda p: p["first"])
+            pieces = np.concatenate([np.empty(0, np.int64), *(_unpacked(p["pieces"], 1)[0] for p in found)])
             ends = np.cumsum(sizes)
-            running = np.concatenate([[0], np.cumsum(pieces[packed[docs : docs + pairs]] * packed[docs + pairs :])])
+            running = np.concatenate([[0], np.cumsum(pieces[np.cumsum(steps)] * often)]).astype(np.int64)
             tokens = running[ends] - running[ends - sizes] + np.array(lot["others"], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(lot["ids"], pa.int64()), pa.array(lot["n_bytes"], pa.int64()), pa.array(tokens, pa.int64())], names=_names(_COUNTED))
 
@@ -219,7 +265,7 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     shares = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARE_BYTES))
     lots = cut(rows.mapInArrow(_lots(tokenizer, shares), _LOTS))
     words = lots.where("share >= 0").select("share", "lot", "first", "words").repartition(shares, "share")
-    pieces = words.drop("share").mapInArrow(_counter(tokenizer), "lot long, first int, pieces array<int>")
+    pieces = words.drop("share").mapInArrow(_counter(tokenizer), "lot long, first int, pieces binary")
     found = pieces.groupBy("lot").agg(F.collect_list(F.struct("first", "pieces")).alias("found"))
-    held = lots.where("share = -1").select("lot", "ids", "n_bytes", "others", "counts", "packed")
+    held = lots.where("share = -1").select("lot", "ids", "n_bytes", "others", "counts")
     return held.join(found, "lot", "left").mapInArrow(_sums, _COUNTED)
