@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..functions.cards import call_positions, random_grid
 from ..functions.patterns import PATTERNS, first_win
 from ..operators import replay
+from ..operators.tables import shared_dir
 from ..sources import deltas, gamestate, store
 from ..streaming import messages, rounds
 from .queries import _lines_sql, _table, registered
@@ -245,7 +246,7 @@ def nested_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = customers.select("key", player, F.lit(1).alias("place"), F.concat(F.lit("c"), "c_custkey").alias("card_id"), random_grid(F.col("c_custkey"), "card").alias("grid"))
     cards = gamestate.saved_cards(drawn, ["key"], games.select("key", F.col("called_numbers").cast("array<int>").alias("called")))
     waiters = customers.where("c_acctbal < 0").select("key", F.col("c_custkey").cast("string").alias("pending_id"), F.col("c_name").alias("display_name"))
-    saved = f"{deltas.shared_dir(spark)}/texts"
+    saved = f"{shared_dir(spark)}/texts"
     gamestate.state_texts({"games": games, "players": players, "cards": cards, "waiters": waiters}).write.parquet(saved)
     back = gamestate.restored_state(spark.read.parquet(saved), "key", "text", ["standard"], F.lit("2024-06-01 00:00:00").cast("timestamp_ntz"))
     waiting = back["waiters"].groupBy("key").agg(F.count(F.lit(1)).alias("waiters"))
@@ -262,7 +263,7 @@ def nested_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
 def delta_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last event of each user and hour, saved in four lots of changes, merged after two; an error deletes."""
     events = _table(spark, sf_dir, "events").select("user_id", F.hour("ts").alias("hour"), "event_id", F.col("event_type").alias("kind"), "value", F.struct("ts", "event_id").alias("at"), (F.col("event_type") == "error").alias("gone"))
-    root, keys, lot = deltas.shared_dir(spark), ["user_id", "hour"], F.floor((F.dayofmonth("at.ts") - 1) / 8)
+    root, keys, lot = shared_dir(spark), ["user_id", "hour"], F.floor((F.dayofmonth("at.ts") - 1) / 8)
     writer = deltas.generation(spark, root, "events")
     for number in range(4):
         deltas.append_delta(events.where(lot == number), root, writer, number, keys, "at", "gone")

@@ -9,8 +9,6 @@ Nothing rewrites the whole table for a change, and a broken writer leaves folder
 from __future__ import annotations
 
 import json
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,20 +18,6 @@ from pyspark.sql.streaming.readwriter import DataStreamWriter
 _GONE, _AT = "_deleted", "_at"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; only a session in local mode may leave that out. It goes when the driver ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = f"{tempfile.gettempdir()}/checkpoints"
-    folder = f"{base.rstrip('/')}/store-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
-    path, files = _files(spark, folder)
-    files.mkdirs(path)
-    files.deleteOnExit(path)
-    return folder
-
-
 def _files(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
