@@ -105,6 +105,57 @@ def test_holds_column(spark):
         assert [*row[1:]] == [p.holds_for(t, row["m"]) for t in trees]
 
 
+def _tree_that_stops(r, depth=0):
+    kind = r.choice("ao" if depth < 1 else "aomlx" if depth < 3 else "mlxx")
+    bits = r.getrandbits(25) & (r.getrandbits(25) | r.getrandbits(25))
+    if kind in "mlx":
+        return p.Mask(bits & r.getrandbits(25)) if kind == "m" else (p.AtLeast if kind == "l" else p.AtMost)(bits, r.randint(0, 6))
+    return (p.All if kind == "a" else p.Any)(tuple(_tree_that_stops(r, depth + 1) for _ in range(r.randint(0, 3))))
+
+
+def _spans(tree, order):
+    """Where a pattern holds, by marking one call after the other."""
+    marked, out = 1 << p.FREE_BIT, []
+    for at, bit in enumerate([None, *order]):
+        marked |= 0 if bit is None else 1 << bit
+        out.append(p.holds_for(tree, marked))
+    found, since = [], None
+    for at, ok in enumerate([*out, False]):
+        if ok and since is None:
+            since = at
+        elif not ok and since is not None:
+            found.append((since, at if at < len(out) else p.NEVER))
+            since = None
+    return found, next((at for at, ok in enumerate(out) if ok and at > 0), p.NEVER)
+
+
+def test_spans_of_patterns_that_stop_holding(spark):
+    """Random trees with AtMost, on calls of all or some cells, against a replay."""
+    r = random.Random(12)
+    trees = [_tree_that_stops(r) for _ in range(50)] + [p.AtMost(31, -1), p.AtMost(31, 0), p.AtMost(31, 9), p.All((p.AtMost(31, 9), p.Any(()))), p.AtLeast(31, 0)]
+    assert sum(map(p._has_at_most, trees)) > 20
+    for _ in range(3):
+        order = r.sample(range(25), r.randint(1, 25))
+        at = {bit: i for i, bit in enumerate(order, 1)} | {p.FREE_BIT: 0}
+        places = [F.lit(at.get(i, p.NEVER)).cast("long") for i in range(25)]
+        spans = [p.holding(t, places).alias(f"s{i}") for i, t in enumerate(trees)]
+        wins = [p.first_hold(t, places, F.lit(1).cast("long")).alias(f"w{i}") for i, t in enumerate(trees)]
+        row = spark.range(1).select(*spans, *wins).first()
+        for i, t in enumerate(trees):
+            assert ([tuple(x) for x in row[f"s{i}"]], row[f"w{i}"]) == _spans(t, order), (t, order)
+
+
+def test_win_sequence_with_at_most_equals_the_replay(spark):
+    r = random.Random(13)
+    rows = [(c, s, r.randint(0, 24)) for c in range(40) for s in range(1, r.randint(2, 60))]
+    calls = spark.createDataFrame(rows, "card long, seq long, bit int")
+    trees = [t for t in (_tree_that_stops(r) for _ in range(40)) if p._has_at_most(t)][:6]
+    for tree in trees:
+        told = replay.replayed(calls, "card", F.col("bit"), F.col("seq"), tree).where("won").groupBy("card").agg(F.min("seq").alias("win_seq"))
+        found = replay.win_sequence(calls, "card", F.col("bit"), ["seq"], tree)
+        assert {tuple(x) for x in found.collect()} == {tuple(x) for x in told.collect()}
+
+
 def test_labels(spark):
     rows = spark.createDataFrame([("52",), (" g52 ",), ("B52",), ("0",), ("76",), ("x",), (None,), ("99999999999999999999",), ("007",)], "t string")
     found = rows.select(labels.lenient_label(F.col("t")), labels.strict_label(F.col("t"))).collect()

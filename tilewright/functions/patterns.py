@@ -1,8 +1,9 @@
 """Win patterns over 5 x 5 grids: a small language of masks and rules, compiled to column expressions.
 
 A mask is an integer whose bit 5 * row + column stands for a cell. A pattern is a tree of masks,
-AtLeast / AtMost rules, AND and OR. It compiles to a boolean column over a bitmask of marked cells, or,
-without AtMost, to the first call position at which it holds, given each cell's position.
+AtLeast / AtMost rules, AND and OR. It compiles to a boolean column over a bitmask of marked cells, to the first
+call position at which it holds, given each cell's position, or, as AtMost can stop holding, to all spans of
+positions in which it holds.
 """
 
 from __future__ import annotations
@@ -149,7 +150,65 @@ def first_win(pattern, positions: list[Column], start: Column | None = None, nev
             if not found:
                 return start if isinstance(pattern, All) else never
             return found[0] if len(found) == 1 else (F.greatest if isinstance(pattern, All) else F.least)(*found)
-    raise PatternError("AtMost can stop holding: replay the calls instead")
+    raise PatternError("AtMost can stop holding: take holding or first_hold instead")
+
+
+def _has_at_most(pattern) -> bool:
+    return isinstance(pattern, AtMost) or any(map(_has_at_most, getattr(pattern, "parts", ())))
+
+
+def holding(pattern, positions: list[Column], start: Column | None = None, never: Column | None = None) -> Column:
+    """When a pattern holds, as an array of (since, until): ascending, apart, with until the first position at which it no longer does.
+
+    Any pattern, AtMost included: a part without AtMost holds from its first win on (until ``never``), an AtMost until
+    one cell too many is called, AND leaves what all parts share, OR unites what touches. ``positions``, ``start``
+    and ``never`` are as in ``first_win``.
+    """
+    start = F.lit(0).cast("long") if start is None else start
+    never = F.lit(NEVER) if never is None else never
+    span = lambda since, until: F.filter(F.array(F.struct(since.alias("since"), until.alias("until"))), _is_some)
+    if not _has_at_most(pattern):
+        return span(first_win(pattern, positions, start, never), never)
+    if isinstance(pattern, AtMost):
+        cells = cells_of(pattern.bits)
+        if pattern.n < 0:
+            return span(never, never)
+        if pattern.n >= len(cells):
+            return span(start, never)
+        return span(start, F.element_at(F.array_sort(F.array(*[positions[i] for i in cells])), pattern.n + 1))
+    joined = _shared if isinstance(pattern, All) else _united
+    return reduce(joined, [holding(part, positions, start, never) for part in pattern.parts])
+
+
+def _is_some(span: Column) -> Column:
+    return span["since"] < span["until"]
+
+
+def _shared(a: Column, b: Column) -> Column:
+    both = lambda x, y: F.struct(F.greatest(x["since"], y["since"]).alias("since"), F.least(x["until"], y["until"]).alias("until"))
+    return F.filter(F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: both(x, y)))), _is_some)
+
+
+def _united(a: Column, b: Column) -> Column:
+    """Spans in order of their begin; each joins the one before if it begins no later than that ends."""
+
+    def add(held: Column, x: Column) -> Column:
+        last = F.element_at(held, -1)
+        longer = F.struct(last["since"].alias("since"), F.greatest(last["until"], x["until"]).alias("until"))
+        touches = (F.size(held) > 0) & (F.try_element_at(held, F.lit(-1))["until"] >= x["since"])
+        return F.when(touches, F.concat(F.slice(held, 1, F.size(held) - 1), F.array(longer))).otherwise(F.concat(held, F.array(x)))
+
+    ordered = F.array_sort(F.concat(a, b))
+    return F.aggregate(ordered, F.slice(ordered, 1, 0), add)
+
+
+def first_hold(pattern, positions: list[Column], first: Column, start: Column | None = None, never: Column | None = None) -> Column:
+    """The first call after which a pattern holds, AtMost included; ``never`` if there is none. ``first`` is the position of the first call of all."""
+    never = F.lit(NEVER) if never is None else never
+    if not _has_at_most(pattern):
+        return F.greatest(first_win(pattern, positions, start, never), first)
+    after = F.filter(F.transform(holding(pattern, positions, start, never), lambda x: F.struct(F.greatest(x["since"], first).alias("since"), x["until"].alias("until"))), _is_some)
+    return F.coalesce(F.get(after, F.lit(0))["since"], never)
 
 
 _RULE = re.compile(r"(AtLeast|AtMost)\(\s*([A-Za-z0-9_-]+)\s*,\s*(-?[0-9]+)\s*\)")

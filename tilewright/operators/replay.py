@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.patterns import CELLS, FREE_BIT, first_win, holds
+from ..functions.patterns import CELLS, FREE_BIT, first_hold, holds
 
 
 def grid_marks(cells: DataFrame, key: str, bit: Column) -> DataFrame:
@@ -18,7 +18,8 @@ def win_sequence(calls: DataFrame, key: str, bit: Column, order: list[str], patt
     """(key, win_seq): the number of the call, in the given order, at which a pattern first holds, for keys that win.
 
     No window: each cell's first call is a minimum, the pattern's is one of these, and its number a count of
-    the calls up to it. Both aggregations combine before they shuffle; the join's hot keys can be split.
+    the calls up to it. A pattern with AtMost holds in spans between such minima, and the first call within one
+    is taken. Both aggregations combine before they shuffle; the join's hot keys can be split.
     """
     at = F.struct(*order)
     rows = calls.select(key, bit.alias("_bit"), F.struct(F.lit(1).alias("_k"), at.alias("_at")).alias("_p"))
@@ -26,8 +27,9 @@ def win_sequence(calls: DataFrame, key: str, bit: Column, order: list[str], patt
     start, never = (F.struct(F.lit(k).alias("_k"), F.lit(None).cast(kind["_at"].dataType).alias("_at")) for k in (0, 2))
     firsts = [F.coalesce(F.min(F.when(F.col("_bit") == i, F.col("_p"))), never).alias(f"c{i}") for i in range(CELLS)]
     firsts[FREE_BIT] = start.alias(f"c{FREE_BIT}")
-    held = rows.groupBy(key).agg(*firsts)
-    won = held.select(key, first_win(pattern, [F.col(f"c{i}") for i in range(CELLS)], start, never).alias("_won")).where("_won._k = 1")
+    held = rows.groupBy(key).agg(*firsts, F.min("_p").alias("_first"))
+    # the first call of all is never before the start, so a pattern that holds from there on wins by that call
+    won = held.select(key, first_hold(pattern, [F.col(f"c{i}") for i in range(CELLS)], F.col("_first"), start, never).alias("_won")).where("_won._k = 1")
     upto = rows.join(won, key).where(F.col("_p") <= F.col("_won"))
     return upto.groupBy(key).agg(F.count(F.lit(1)).alias("win_seq"))
 

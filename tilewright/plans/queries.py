@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.labels import lenient_label, strict_label
-from ..functions.patterns import FREE_BIT, PATTERNS, All, Any, AtLeast, AtMost, Mask, cells_of, col_mask, holds, row_mask
+from ..functions.patterns import FREE_BIT, FULL, PATTERNS, All, Any, AtLeast, AtMost, Mask, cells_of, col_mask, holds, row_mask
 from ..operators import islands, metrics, quantiles, replay, signals
 from ..operators.tables import join_few, written
 from ..sources import store
@@ -130,6 +130,20 @@ def win_sequence_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("won").groupBy("card").agg(F.min("_seq").alias("win_seq"))
 
 
+#: Holds for a while, and perhaps again: its parts stop holding when one cell too many is called.
+_SPANS = Any((All((AtMost(row_mask(1), 3), AtLeast(col_mask(0), 3))), All((AtMost(FULL, 12), AtLeast(col_mask(2), 2), Any((Mask(row_mask(3)), AtMost(col_mask(4), 2)))))))
+
+
+@registered(
+    f"with {_CALLS_SQL}, firsts as (select card, bit, min(seq) as pos from calls where bit <> {FREE_BIT} group by card, bit union all select distinct card, {FREE_BIT}, 0 from calls), "
+    f"held as (select c.card, c.seq, f.bit from calls c join firsts f on f.card = c.card and f.pos <= c.seq), after as (select card, seq from held group by card, seq having {_tree_sql(_SPANS)}) "
+    "select card, min(seq)::bigint as win_seq from after group by card"
+)
+def win_sequence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The call at which each card first holds a pattern that can stop holding: from its cells' first calls, without a replay."""
+    return replay.win_sequence(_calls(spark, sf_dir), "card", F.col("bit"), ["ts", "event_id"], _SPANS)
+
+
 @registered(
     _WIN_SQL.replace("select card, min(pos)::bigint as win_seq from done group by card", "")
     + ", w as (select card, min(pos) as win_seq from done group by card) "
