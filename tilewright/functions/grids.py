@@ -72,3 +72,13 @@ def cuts(extent: Column, parts: int = SIDE, floor: bool = False) -> Column:
     """Where an extent is cut into equal parts, its ends included; rounded (half to even), or cut down."""
     at = lambda k: k * extent.cast("double") / parts
     return F.transform(F.sequence(F.lit(0), F.lit(parts)), lambda k: (F.floor(at(k)) if floor else F.bround(at(k))).cast("int"))
+
+
+def cropped(plane: Column, y0: Column, y1: Column, x0: Column, x1: Column, inset: int = 0) -> Column:
+    """The rows and columns of a nested array from y0 and x0 up to y1 and x1, without ``inset`` of them on each side; null if nothing is left.
+
+    Bounds are counted from 0 and the upper ones are not included; what lies beyond the array is left out.
+    """
+    high, wide = y1 - y0 - 2 * inset, x1 - x0 - 2 * inset
+    rows = F.transform(F.slice(plane, y0 + inset + 1, F.greatest(high, F.lit(0))), lambda r: F.slice(r, x0 + inset + 1, F.greatest(wide, F.lit(0))))
+    return F.when((high > 0) & (wide > 0), rows)
