@@ -71,6 +71,30 @@ def winner_lists(cards: DataFrame, calls: list[int]) -> DataFrame:
     return spread.select("game", "t.call", "t.number", F.when(F.col("t.call") == F.col("_own"), F.col("fresh")).otherwise(none).alias("fresh"), "winners")
 
 
+def winner_rows(cards: DataFrame, calls: list[int]) -> tuple[DataFrame, DataFrame]:
+    """What ``winner_lists`` announces, as rows: the cards that win by a call, and the counts of each call.
+
+    The first has the columns of ``cards`` (game, card, won, and any others, such as the player) with call and number: one row
+    for each card that wins at all. The second is (game, call, number, fresh, winners), with a row for each call
+    of a new number after which some card holds the pattern. No game's cards come together.
+    """
+    first: dict[int, int] = {}
+    for at, number in enumerate(calls, 1):
+        first.setdefault(number, at)
+    told = F.array(*[F.struct(F.lit(at).alias("call"), F.lit(number).alias("number")) for number, at in first.items()])
+    numbers = F.array(F.lit(None).cast("int"), *[F.lit(n) for n in calls])  # by call, from 0 on
+    # exploding what the filter leaves of one value keeps a costly ``won`` from being computed again for the filter
+    inside = F.transform(F.filter(F.array("won"), lambda w: (w >= 0) & (w <= len(calls))), lambda w: w.cast("int"))
+    won = cards.withColumn("call", F.explode(inside)).withColumn("number", F.get(numbers, F.col("call")))
+    counts = won.groupBy("game", "call").agg(F.count(F.lit(1)).alias("fresh"))
+    order = Window.partitionBy("game").orderBy("call")  # a row for each call of a game
+    rows = counts.select("game", F.col("call").alias("_own"), "fresh", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("winners"), F.lead("call").over(order).alias("_next"))
+    until = F.coalesce("_next", F.lit(len(calls) + 1))
+    spread = rows.select("*", F.explode(F.filter(told, lambda t: (t["call"] >= F.col("_own")) & (t["call"] < until))).alias("t"))
+    fresh = F.when(F.col("t.call") == F.col("_own"), F.col("fresh")).otherwise(0)
+    return won, spread.select("game", "t.call", "t.number", fresh.alias("fresh"), "winners")
+
+
 def first_calls(calls: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first call of each key; later ones are repeats. A minimum over structs, so no sort by key."""
     rest = [c for c in calls.columns if c not in keys and c not in order]

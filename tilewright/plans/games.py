@@ -52,6 +52,27 @@ def winner_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("game", "call", "number", F.size("fresh").alias("fresh"), "winners", F.nullif(F.array_join("fresh", " "), F.lit("")).alias("cards"))
 
 
+def _winning_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = random_grid(F.col("c_custkey"), "card")
+    cards = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("game"), F.col("c_custkey").alias("card"), F.col("c_name").alias("player"), grid.alias("grid"))
+    return cards.withColumn("won", first_win(PATTERNS["standard"], call_positions(F.col("grid"), _called()))).drop("grid")
+
+
+@registered(_CARDS_SQL + " select c_nationkey as game, c_custkey as card, c_name as player, pos::int as call, n::int as number from w join customer using (c_custkey, c_nationkey) join calls on pos = won")
+def winner_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each card that wins, with its player and the call by which it does."""
+    return replay.winner_rows(_winning_cards(spark, sf_dir), _called())[0].drop("won")
+
+
+@registered(
+    _CARDS_SQL + " select c_nationkey as game, pos::int as call, n::int as number, count(*) filter (where won = pos)::bigint as fresh, count(*)::bigint as winners "
+    "from w join calls on won <= pos group by 1, 2, 3"
+)
+def winner_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many cards of a game win by each call, and how many hold the pattern after it."""
+    return replay.winner_rows(_winning_cards(spark, sf_dir), _called())[1]
+
+
 @registered(
     "with m as (select s_suppkey as message, s_nationkey as game from supplier) "
     "select message, game, 'player' as role, c_custkey::varchar as recipient from m join customer on c_nationkey = game where c_acctbal > 0 "

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.cards import random_grid
 from ..operators import metrics, readers
-from ..sources import files, manifests
+from ..operators.tables import shared_dir
+from ..sources import files, manifests, pending, text
 from .queries import _table, registered
 
 
@@ -57,13 +59,14 @@ def confirmed_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(_table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
 
 
-@registered("select n_nationkey, n_name, row_number() over (order by n_nationkey) as place, n_regionkey = 2 as partial from nation")
+@registered("select o_custkey, o_orderkey, o_orderstatus as status, o_totalprice > 150000 as partial, row_number() over (partition by o_custkey order by o_orderkey) as place from orders")
 def golden_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A manifest of cases, one JSON object with a key for each, as rows in the order of its keys as numbers."""
-    case = F.struct(F.col("n_name").alias("name"), (F.col("n_regionkey") == 2).alias("partial"))
-    text = _table(spark, sf_dir, "nation").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("n_nationkey").cast("string"), case)))).alias("text"))
-    rows = manifests.cases(text, "text", "name string, partial boolean")
-    return rows.select(F.col("key").cast("int").alias("n_nationkey"), F.col("case.name").alias("n_name"), "place", "case.partial").withColumn("place", F.col("place").cast("long"))
+    """A manifest of cases for each customer, one JSON object with a key for each order, as rows in the order of its keys as numbers."""
+    case = F.struct(F.col("o_orderstatus").alias("status"), (F.col("o_totalprice") > 150000).alias("partial"))
+    held = F.map_from_entries(F.collect_list(F.struct(F.col("o_orderkey").cast("string"), case)))  # one customer's orders
+    texts = _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.to_json(held).alias("text"))
+    rows = manifests.cases(texts, "text", "status string, partial boolean", ["o_custkey"])
+    return rows.select("o_custkey", F.col("key").cast("long").alias("o_orderkey"), "case.status", "case.partial", F.col("place").cast("long").alias("place"))
 
 
 @registered(
@@ -100,12 +103,12 @@ def class_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(
     "select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey)::bigint as joined_seq, "
-    "'{\"id\":' || o_orderkey || ',\"status\":\"' || o_orderstatus || '\"}' as card from orders where o_totalprice > 100000"
+    "'{\"id\":' || o_orderkey || ',\"status\":\"' || o_orderstatus || '\"}' as card from orders"
 )
 def joined_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A player's cards in the order in which they came, each as JSON without the player's id."""
     order = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    rows = _table(spark, sf_dir, "orders").where("o_totalprice > 100000").withColumn("joined_seq", order.cast("long"))
+    rows = _table(spark, sf_dir, "orders").withColumn("joined_seq", order.cast("long"))
     card = F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status")))
     return rows.select("o_custkey", "o_orderkey", "joined_seq", card.alias("card"))
 
@@ -149,10 +152,9 @@ def merged_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     "select o_custkey, max(o_orderkey) filter (where i = 1) as top, max(o_orderkey) filter (where i = n) as bottom, max(n)::int as n from k group by o_custkey"
 )
 def cards_by_height(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sheet's cards from top to bottom: structs in the order of y, of which the first and last are shown."""
-    held = F.array_sort(F.collect_list(F.struct(F.col("o_totalprice").alias("y"), "o_orderkey")))  # one customer's orders
-    rows = _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(held.alias("cards"))
-    return rows.select("o_custkey", F.col("cards")[0]["o_orderkey"].alias("top"), F.element_at("cards", -1)["o_orderkey"].alias("bottom"), F.size("cards").alias("n"))
+    """A sheet's cards from top to bottom: the first and the last of them, and how many there are."""
+    rows, at = _table(spark, sf_dir, "orders"), F.struct("o_totalprice", "o_orderkey")
+    return rows.groupBy("o_custkey").agg(F.min_by("o_orderkey", at).alias("top"), F.max_by("o_orderkey", at).alias("bottom"), F.count(F.lit(1)).cast("int").alias("n"))
 
 
 @registered(
@@ -208,3 +210,56 @@ def cell_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(key % 6 == 0, F.concat(key, F.lit("_c2_r0c1.png"))).when(key % 10 == 0, "odd.jpg").otherwise(name)
     rows = _table(spark, sf_dir, "events").select("event_id", name.alias("name"))
     return rows.select("event_id", *[c.alias(k) for k, c in files.cell_name(F.col("name")).items()])
+
+
+_SHEET_SQL = (
+    "with n as (select unnest(generate_series(1, 75)) as n), drawn as (select c_custkey, n, (n - 1) // 15 as c, row_number() over (partition by c_custkey, (n - 1) // 15 order by md5('sheet-' || c_custkey || '-' || n)) - 1 as r from customer, n) "
+    "select c_custkey as sheet, (1 + c_custkey % 3)::int as card, r::int as r, c::int as c, case when r * 5 + c <> 12 then n end::int as value from drawn where r < 5"
+)
+
+
+def _sheet_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as sheets with a card each, written as text files and read by blocks."""
+    grid = random_grid(F.col("c_custkey"), "sheet")
+    row = lambda r: F.concat(F.lit("["), F.array_join(F.transform(F.slice("grid", r * 5 + 1, 5), lambda n: F.when(n == 0, "FREE").otherwise(n.cast("string"))), ", "), F.lit("]"))
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", grid.alias("grid"))
+    card = (1 + F.col("c_custkey") % 3).cast("string")
+    lines = F.concat_ws("\n", F.format_string("#blue_sheet_%03d:", "c_custkey"), F.lit(""), F.concat(F.lit("#card"), card), *[row(r) for r in range(5)], F.lit(""))
+    folder = f"{shared_dir(spark)}/sheets"
+    rows.select(lines.alias("value")).write.text(folder)
+    return text.numbered_lines(spark, folder)
+
+
+@registered(_SHEET_SQL)
+def sheet_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of cards that stand in text files, under headers that may lie in an earlier block of the file."""
+    return text.truth_cells(_sheet_lines(spark, sf_dir)).select(F.col("sheet").cast("long").alias("sheet"), "card", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.col("value").cast("int").alias("value"))
+
+
+@registered(_SHEET_SQL)
+def sheet_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same cells by a table function that reads the lines of one sheet after the other."""
+    lines = _sheet_lines(spark, sf_dir)
+    number = F.nullif(F.regexp_extract("text", "^#blue_sheet_0*([0-9]+):", 1), F.lit("")).cast("long")
+    order = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)  # a file has what one task has written
+    named = lines.withColumn("sheet", F.last(number, True).over(order))
+    return text.sheet_cells(named)
+
+
+@registered(
+    "with p as (select vec_id, vec_id // 10 as scan_id, unnest(embedding) as v from embeddings), s as (select vec_id, scan_id, avg((v::double > 0.3::double)::int) as share from p group by 1, 2) "
+    "select s.scan_id, (s.vec_id % 10)::int as cell, share, case when s.scan_id % 4 not in (1, 2, 3) then label end::int as read from s join embeddings using (vec_id) where share >= 0.01::double"
+)
+def pending_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as pending cells of scans, the blank ones left out, with what a scan's sidecar says of them: some sidecars are broken, no list, or missing."""
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 10).alias("scan_id"), (F.col("vec_id") % 10).cast("int").alias("cell"), "embedding", "label")
+    places = vectors.select("scan_id", "cell", F.explode("embedding").alias("v"))
+    cells = pending.dark_shares(places, ["scan_id", "cell"], F.col("v").cast("double") > 0.3)
+    one = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("cell", "label"))), lambda x: F.array(x["cell"], x["label"])))  # ten cells
+    kind = F.col("scan_id") % 4
+    autos = vectors.where("scan_id % 4 <> 3").groupBy("scan_id").agg(one.alias("t")).select("scan_id", F.when(kind == 1, F.substring("t", 1, 7)).when(kind == 2, '{"a": 1}').otherwise(F.col("t")).alias("auto"))
+    root = shared_dir(spark)
+    pending.save_pending(cells, autos, root, "0")
+    found = pending.pending(spark, root, "array<int>")
+    read = F.filter("auto", lambda x: x[0] == F.col("cell"))
+    return found.select("scan_id", "cell", "share", F.get(read, F.lit(0))[1].alias("read"))

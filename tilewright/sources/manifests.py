@@ -7,19 +7,19 @@ from pyspark.sql import functions as F
 
 
 def read_cases(spark: SparkSession, path: str, case: str) -> DataFrame:
-    """``cases`` of a manifest file, which is read as one value."""
-    return cases(spark.read.text(path, wholetext=True), "value", case)
+    """``cases`` of manifest files with their file; each file is read as one value, so it must fit in a task."""
+    return cases(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value"), "value", case, ["file"])
 
 
-def cases(texts: DataFrame, text: str, case: str) -> DataFrame:
-    """(key, case, place): the entries of each text's object, in the order of the keys as whole numbers; other keys come last, as text.
+def cases(texts: DataFrame, text: str, case: str, of: list[str]) -> DataFrame:
+    """(of, key, case, place): the entries of each manifest's object, in the order of the keys as whole numbers; other keys come last, as text.
 
-    ``case`` is the DDL of an entry. A text that is no object gives no rows; a manifest lists the cases of one
-    test, so its order is a window over them.
+    ``case`` is the DDL of an entry; ``of`` names the manifest, and places are counted within it. A text that is no
+    object gives no rows.
     """
-    rows = texts.select(F.explode(F.from_json(text, f"map<string, struct<{_fields(case)}>>")).alias("key", "case"))
+    rows = texts.select(*of, F.explode(F.from_json(text, f"map<string, struct<{_fields(case)}>>")).alias("key", "case"))
     number = F.col("key").try_cast("long")
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(number.asc_nulls_last(), "key")))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*of).orderBy(number.asc_nulls_last(), "key")))
 
 
 def _fields(case: str) -> str:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import is_free, number_of
@@ -10,20 +13,46 @@ from ..functions.patterns import FREE_BIT, SIDE
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, text) of text files; a file is one value, so files must fit in a task."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line", "text")).withColumn("text", F.trim("text"))
+    """(file, block, line, text) of text files of any size, with the number of each line in its file.
+
+    Files are read in blocks of bytes, and lines are numbered within each block; what blocks before it hold comes
+    from one count a block. Neither a file nor its lines come together in one task.
+    """
+    rows = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("_i"),
+        F.trim(F.regexp_replace("value", "\r$", "")).alias("text"),
+    )
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("file", "block").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.select("file", "block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("file", "block").orderBy("_i")) - 1
+    rows = rows.withColumn("_at", inside).join(counts, ["file", "block"])
+    return rows.select("file", "block", (F.col("_before") + F.col("_at")).alias("line"), "text")
 
 
 def _sections(lines: DataFrame, outer, inner) -> DataFrame:
-    """Adds outer and inner, the headers above each line; an outer header ends the inner section."""
-    upto = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    inside = Window.partitionBy("file", "_part").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    """Adds outer and inner, the headers above each line; an outer header ends the inner section.
+
+    Headers are carried down within a block; those that a block begins under come from the blocks before it, each of
+    which is one row: the last outer header in it, and the inner one after that.
+    """
     rows = lines.withColumn("_outer", outer).withColumn("_inner", inner)
-    rows = rows.withColumn("outer", F.last("_outer", True).over(upto)).withColumn("_part", F.count("_outer").over(upto))
-    rows = rows.withColumn("inner", F.last("_inner", True).over(inside))
+    place = lambda c: F.max(F.when(F.col(c).isNotNull(), F.col("line")))
+    ends = rows.groupBy("file", "block").agg(
+        F.max_by("_outer", F.when(F.col("_outer").isNotNull(), F.col("line"))).alias("_o"), place("_outer").alias("_o_at"),
+        F.max_by("_inner", F.when(F.col("_inner").isNotNull(), F.col("line"))).alias("_i"), place("_inner").alias("_i_at"),
+    )
+    open_inner = F.when(F.col("_i_at") > F.coalesce("_o_at", F.lit(-1)), F.col("_i"))
+    says = F.when(F.col("_o_at").isNotNull() | F.col("_i_at").isNotNull(), F.struct(open_inner.alias("i")))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("file", "block", F.last("_o", True).over(before).alias("_outer_in"), F.last(says, True).over(before)["i"].alias("_inner_in"))
+    upto = Window.partitionBy("file", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("file", "block", "_part").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_o", F.last("_outer", True).over(upto)).withColumn("_part", F.count("_outer").over(upto))
+    rows = rows.withColumn("_i", F.last("_inner", True).over(inside)).join(carried, ["file", "block"])
+    rows = rows.withColumn("outer", F.coalesce("_o", "_outer_in")).withColumn("inner", F.coalesce("_i", F.when(F.col("_part") == 0, F.col("_inner_in"))))
     rest = rows.where("_outer is null and _inner is null and outer is not null and inner is not null")
-    return rest.where("text != '' and not startswith(text, '#')")
+    return rest.where("text != '' and not startswith(text, '#')").select("file", "line", "text", "outer", "inner")
 
 
 def truth_cells(lines: DataFrame) -> DataFrame:
@@ -39,6 +68,35 @@ def truth_cells(lines: DataFrame) -> DataFrame:
     return cells.withColumn("value", number_of(F.col("_token"))).drop("_token")
 
 
+class SheetCells:
+    """A table function from the lines of one sheet, in order, to its cells; it keeps the card and row that it is in.
+
+    A card begins with ``#card1`` and its rows are lists such as ``[1, FREE, 3]``; lines before any card are passed over.
+    """
+
+    def __init__(self) -> None:
+        self.card, self.row = None, 0
+
+    def eval(self, line: Row) -> Iterator[tuple]:
+        text = (line["text"] or "").strip()
+        head = re.match(r"#card([0-9])", text)
+        if head:
+            self.card, self.row = int(head[1]), 0
+        elif self.card is not None and text and not text.startswith("#"):
+            for c, token in enumerate(re.findall(r"[0-9]+|FREE", text)):
+                yield line["sheet"], self.card, self.row, c, None if token == "FREE" else int(token)
+            self.row += 1
+
+
+def sheet_cells(lines: DataFrame) -> DataFrame:
+    """(sheet, card, r, c, value) of lines (sheet, line, text): each sheet's lines go through a table function in their order.
+
+    Spark deals and sorts the lines by sheet; the function holds no more than its place in one sheet.
+    """
+    cells = F.udtf(SheetCells, returnType="sheet long, card int, r int, c int, value int")
+    return cells(lines.select(F.col("sheet").cast("long").alias("sheet"), "line", "text").asTable().partitionBy("sheet").orderBy("line"))
+
+
 def dictated_cells(lines: DataFrame) -> DataFrame:
     """(file, image, card, r, c, value, bad) of dictated cards: an image's name with a colon, ``Card one:``, tokens by columns.
 
