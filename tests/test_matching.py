@@ -186,3 +186,13 @@ def test_manifest_file(spark, tmp_path):
     (tmp_path / "m.json").write_text('{"10": {"cards": 3, "note": null}, "9": {"cards": 1, "note": "n"}, "b": {"cards": 2}}')
     rows = manifests.read_cases(spark, str(tmp_path / "m.json"), "cards int, note string").orderBy("place").collect()
     assert [(r["key"], r["case"]["cards"], r["place"]) for r in rows] == [("9", 1, 1), ("10", 3, 2), ("b", 2, 3)]
+
+
+def test_many_queries_use_the_index_alike(spark, monkeypatch):
+    r = random.Random(6)
+    rows = spark.createDataFrame([(i, [r.gauss(0, 1) for _ in range(6)]) for i in range(300)] + [(999, None)], "id long, v array<float>")
+    centres, asked = nearest.fit_centres(rows, "id", "v"), rows.where("id % 10 = 0 or id = 999")
+    sent = nearest.indexed_nearest(asked, rows, "id", "v", 3, 0.3, centres).collect()
+    monkeypatch.setattr(nearest, "MOST_SENT", 5)
+    joined = nearest.indexed_nearest(asked, rows, "id", "v", 3, 0.3, centres).collect()
+    assert sorted(map(tuple, sent)) == sorted(map(tuple, joined)) and len(sent) == 90

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tilewright.plans import games
-from tilewright.streaming import messages, ordered, rounds
+from tilewright.streaming import messages, ordered, requests, rounds
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -94,3 +94,28 @@ def test_idle_keys_with_null_and_late_times(spark, tmp_path, small_batches):
     spark.createDataFrame([(None, 1), (None, None), (5.0, None)], "at double, game long").withColumn("ts", F.timestamp_seconds("at")).coalesce(1).write.parquet(path)
     stream = _shuffled(spark, [*rows, sentinel], "at double, game long", path, 4, 6000)
     assert set(_drained(messages.evicted(stream, "game", "ts", delay="100 minutes"), "idles", tmp_path / "c")) == told
+
+
+def test_tries_until_acknowledged(spark, tmp_path, small_batches):
+    r = random.Random(8)
+    rows = [(float(i + 1), r.randint(1, 3), i, r.choice(["a", "b"]), r.random() < 0.3) for i in range(100)]
+    schema = "at double, client long, seq long, request string, is_ack boolean"
+    table = spark.createDataFrame([*rows, (3.0, 1, 500, None, False), (None, 1, 501, "a", False)], schema).withColumn("ts", F.timestamp_seconds("at"))
+    told, first = [], {}
+    for _, client, seq, request, is_ack in rows:
+        if is_ack:
+            first.pop((client, request), None)
+        else:
+            f = first.setdefault((client, request), seq)
+            told.append((client, seq, request, f, f != seq))
+    assert sorted(map(tuple, requests.answered(table, "client", "ts", "seq").collect()), key=repr) == sorted(told, key=repr)
+    stream = _shuffled(spark, [*rows, (1000.0, 9, 900, "z", None)], schema, str(tmp_path / "in"), 4, 30)
+    assert _drained(requests.answered(stream, "client", "ts", "seq", "30 seconds"), "tries", tmp_path / "c") == sorted(told, key=repr)
+
+
+def test_marks_beside_the_sink(spark, tmp_path):
+    root, rows = str(tmp_path), spark.createDataFrame([(1,), (2,)], "a long")
+    for number in (0, 0, 1, 0):  # each time as after a restart
+        done, mark = messages.marks_beside(spark, root)
+        messages.once_per_batch(lambda df: df.write.mode("append").parquet(f"{root}/out"), done, mark)(rows, number)
+    assert spark.read.parquet(f"{root}/out").count() == 4 and messages.marks_beside(spark, root)[0]() == {0, 1}

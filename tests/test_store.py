@@ -74,8 +74,8 @@ def test_two_merges_at_once(spark, tmp_path):
     root = str(tmp_path)
     rows = spark.createDataFrame([(1, "a", 1)], "id long, blob string, at long")
     deltas.append_delta(rows, root, 1, 0, KEYS, "at")
-    assert deltas._create(spark, f"{root}/versions/{1:020d}", json.dumps({"base": None, "upto": ""}))
-    assert not deltas._create(spark, f"{root}/versions/{1:020d}", "other")
+    assert deltas.created(spark, f"{root}/versions/{1:020d}", json.dumps({"base": None, "upto": ""}))
+    assert not deltas.created(spark, f"{root}/versions/{1:020d}", "other")
     assert deltas.merge(spark, root, KEYS) and _rows(deltas.live(spark, root, KEYS)) == [(1, "a")]
 
 

@@ -170,15 +170,61 @@ def _in_cells(rows: DataFrame, id_col: str, vector_col: str, centres: np.ndarray
     return dealt.mapInArrow(pack, "cell long, ids array<long>, flat array<float>").toDF("cell", *names)
 
 
+def _probe(ids: np.ndarray, v: np.ndarray, asked: np.ndarray, centres: np.ndarray, k: int):
+    """Of each task's rows the k nearest of each query, of those in its ``asked`` cells; rows stay where they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The queries of each cell, one after the other.
+        by_cell = np.argsort(asked, axis=None, kind="stable")
+        ends = np.searchsorted(asked.ravel()[by_cell], np.arange(len(centres) + 1))
+        who, square = by_cell // asked.shape[1], (v * v).sum(axis=1)
+        far, near = np.full((len(ids), k), np.inf), np.zeros((len(ids), k), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            r_ids, r = batch.column("id").to_numpy(), batch.column("v").flatten().to_numpy().astype(float).reshape(batch.num_rows, -1)
+            cell = _cells(r, centres, 1)[:, 0]
+            order = np.argsort(cell, kind="stable")
+            cuts = np.flatnonzero(np.diff(cell[order])) + 1
+            for rows in np.split(order, cuts):
+                c = cell[rows[0]]
+                those = who[ends[c] : ends[c + 1]]
+                for at in range(0, len(those), 1_000):  # at most a thousand queries by a batch's rows at once
+                    q = those[at : at + 1_000]
+                    d = np.round(np.sqrt(np.maximum(square[q, None] + (r[rows] * r[rows]).sum(axis=1)[None] - 2 * v[q] @ r[rows].T, 0)), 4)
+                    d[ids[q, None] == r_ids[rows][None]] = np.inf
+                    all_d, all_i = np.concatenate([far[q], d], axis=1), np.concatenate([near[q], np.broadcast_to(r_ids[rows], d.shape)], axis=1)
+                    best = np.lexsort((all_i, all_d), axis=1)[:, :k]
+                    far[q], near[q] = np.take_along_axis(all_d, best, 1), np.take_along_axis(all_i, best, 1)
+        kept = np.isfinite(far)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.broadcast_to(ids[:, None], far.shape)[kept], pa.int64()), pa.array(near[kept], pa.int64()), pa.array(far[kept], pa.float64())],
+            names=["query", "neighbour", "distance"],
+        )
+
+    return run
+
+
 def indexed_nearest(queries: DataFrame, rows: DataFrame, id_col: str, vector_col: str, k: int = 2, share: float = 0.4, centres: np.ndarray | None = None) -> DataFrame:
     """As ``k_nearest``, but a query meets the rows of its nearest cells alone, a share of all; some neighbours may be missed.
 
     The centres are fitted on a bounded sample; every row is in the index. With a share of 1 the answer is
-    exact. Vectors without clusters need a large share: of random ones in 64 dimensions 0.4 finds 0.94. A cell's rows are dealt over DEALT parts and joined in blocks.
+    exact. Vectors without clusters need a large share: of random ones in 64 dimensions 0.4 finds 0.94. MOST_SENT queries
+    at most are sent to the tasks once, with the numbers of their cells, and neither they nor the rows are
+    copied or shuffled; each task hands on k rows a query. More queries are dealt to their cells, a cell's rows
+    over DEALT parts, and joined in blocks.
     """
     centres = fit_centres(rows, id_col, vector_col) if centres is None else centres
     if not len(centres):
         return k_nearest(queries, rows, id_col, vector_col, k)
-    asked = _in_cells(queries, id_col, vector_col, centres, math.ceil(len(centres) * share), ("q_ids", "q_flat"))
+    most, vectors = math.ceil(len(centres) * share), lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).dropna()
+    some = vectors(queries).limit(MOST_SENT + 1).collect()
+    if len(some) <= MOST_SENT:
+        v = np.array([r["v"] for r in some], float).reshape(len(some), centres.shape[1])
+        probe = _probe(np.array([r["id"] for r in some], np.int64), v, _cells(v, centres, most), centres, k)
+        near = vectors(rows).mapInArrow(probe, "query long, neighbour long, distance double")
+        rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbour"))
+        return near.withColumn("rank", rank).where(F.col("rank") <= k)
+    asked = _in_cells(queries, id_col, vector_col, centres, most, ("q_ids", "q_flat"))
     held = _in_cells(rows, id_col, vector_col, centres, 1, ("r_ids", "r_flat"))
     return _ranked(held.join(asked, "cell").select("q_ids", "q_flat", "r_ids", "r_flat"), k)

@@ -13,7 +13,7 @@ from ..functions.patterns import PATTERNS, first_win
 from ..operators import replay
 from ..operators.tables import shared_dir
 from ..sources import deltas, gamestate, store
-from ..streaming import messages, rounds
+from ..streaming import messages, requests, rounds
 from .queries import _lines_sql, _table, registered
 
 
@@ -292,3 +292,20 @@ def delta_store(spark: SparkSession, sf_dir: str) -> DataFrame:
             deltas.merge(spark, root, keys)
             deltas.vacuum(spark, root)
     return deltas.live(spark, root, keys).drop("at")
+
+
+@registered(
+    "with t as (select user_id as client, ts, event_id as seq, 'r' || day(ts) % 4 as request, event_type = 'purchase' as is_ack from events where event_type in ('view', 'click', 'purchase')), "
+    "b as (select t.*, (select max((a.ts, a.seq)) from t a where a.client = t.client and a.request = t.request and a.is_ack and (a.ts, a.seq) < (t.ts, t.seq)) as acked from t where not is_ack), "
+    "f as (select b.*, (select arg_min(c.seq, (c.ts, c.seq)) from t c where c.client = b.client and c.request = b.request and not c.is_ack and (b.acked is null or (c.ts, c.seq) > b.acked)) as first from b) "
+    "select client, seq, request, first, first <> seq as repeated from f"
+)
+def answered_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views and clicks as tries of a client's four requests, purchases as acknowledgements: which try each answer belongs to."""
+    return requests.answered(request_tries(spark, sf_dir), "client", "ts", "seq")
+
+
+def request_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "events").where("event_type in ('view', 'click', 'purchase')")
+    request = F.concat(F.lit("r"), F.dayofmonth("ts") % 4)
+    return rows.select(F.col("user_id").alias("client"), "ts", F.col("event_id").alias("seq"), request.alias("request"), (F.col("event_type") == "purchase").alias("is_ack"))

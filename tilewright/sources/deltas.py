@@ -38,7 +38,7 @@ def _read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
-def _create(spark: SparkSession, path: str, text: str) -> bool:
+def created(spark: SparkSession, path: str, text: str) -> bool:
     """Writes a small file unless it is there; of several writers one gets True."""
     p, files = _files(spark, path)
     draft, _ = _files(spark, f"{path.rpartition('/')[0]}/.draft-{uuid.uuid4().hex}")
@@ -59,7 +59,7 @@ def generation(spark: SparkSession, root: str, writer: str) -> int:
         if mine:
             return mine[0]
         new = max(map(int, held), default=0) + 1
-        if _create(spark, f"{root}/writers/{new:010d}", writer):
+        if created(spark, f"{root}/writers/{new:010d}", writer):
             return new
 
 
@@ -142,7 +142,7 @@ def merge(spark: SparkSession, root: str, keys: list[str], sealed: str | None =
         return False
     new = uuid.uuid4().hex
     _merged(spark, root, keys, base, deltas).write.parquet(f"{root}/base/{new}")
-    return _create(spark, f"{root}/versions/{number + 1:020d}", json.dumps({"base": new, "upto": deltas[-1]}))
+    return created(spark, f"{root}/versions/{number + 1:020d}", json.dumps({"base": new, "upto": deltas[-1]}))
 
 
 def vacuum(spark: SparkSession, root: str) -> int:

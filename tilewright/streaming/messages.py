@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..sources.deltas import created, names
 from .ordered import InOrder, in_order
 
 # The types of messages that are known, with the part of the game that takes them.
@@ -188,3 +189,13 @@ def once_per_batch(write: Callable[[DataFrame], None], done: Callable[[], set[in
             mark(number)
 
     return run
+
+
+def marks_beside(spark: SparkSession, root: str) -> tuple[Callable[[], set[int]], Callable[[int], None]]:
+    """``done`` and ``mark`` for ``once_per_batch`` that keep a small file for each batch beside what is written below ``root``."""
+    folder = f"{root}/_marks"
+
+    def mark(number: int) -> None:
+        created(spark, f"{folder}/{number:020d}", str(number))
+
+    return lambda: {int(n) for n in names(spark, folder) if not n.startswith(".")}, mark
