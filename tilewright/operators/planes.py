@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import join_few, written
+from .tables import join_few, settled, written
 
 #: Side of a tile; with the rows around it, it is what one task holds at once.
 TILE = 256
@@ -102,7 +102,7 @@ def second_difference_variance(cells: DataFrame, keys: list[str], y: str = "y",
     """
     held = cells.select(*keys, F.col(y).cast("long").alias("y"), F.col(x).cast("long").alias("x"), F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias("v")).dropna()
     sides = held.groupBy(*keys).agg((F.max("y") + 1).alias("_h"), (F.max("x") + 1).alias("_w"))
-    rows = join_few(held, written(sides), keys)
+    rows = join_few(held, settled(sides), keys)
 
     def mirrored(at: str, n: str):
         """The place itself, and those beyond the borders where the cell stands as well."""

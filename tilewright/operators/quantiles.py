@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import join_few, written
+from .tables import are_few, join_few, settled
 
 #: Parts into which the range of a rank is cut at each step, and rows of a range whose values are then put in order.
 PARTS, FEW = 4_096, 50_000
@@ -26,18 +26,22 @@ def exact(rows: DataFrame, keys: list[str], x: str, shares: list[float]) -> Data
     ends = held.groupBy(*keys).agg(F.min("_x").alias("_low"), F.max("_x").alias("_high"), F.count(F.lit(1)).alias("_n"))
     at = F.posexplode(F.array(*[F.lit(float(s)) for s in shares])).alias("i", "_share")
     asked = ends.select("*", at).withColumn("_rank", (F.col("_n") - 1) * F.col("_share"))
-    asked = written(asked.select(*keys, "i", "_rank", F.explode(F.array_distinct(F.array(F.floor("_rank"), F.ceil("_rank")))).alias("_at"), "_low", "_high", "_n"))
-    ranks = asked.select(*keys, "_at", "_low", "_high", "_n", F.lit(0).cast("long").alias("_before")).distinct()
+    asked = settled(asked.select(*keys, "i", "_rank", F.explode(F.array_distinct(F.array(F.floor("_rank"), F.ceil("_rank")))).alias("_at"), "_low", "_high", "_n"))
+    ranks = settled(asked.select(*keys, "_at", "_low", "_high", "_n", F.lit(0).cast("long").alias("_before")).distinct())
     done = None
     while True:
         is_open = (F.col("_n") > FEW) & (F.col("_high") > F.col("_low"))
         closed = ranks.where(~is_open)
         done = closed if done is None else done.unionByName(closed)
         still = ranks.where(is_open)
-        if not still.limit(1).count():
+        if hasattr(ranks, "_few_rows"):
+            more = any(r["_n"] > FEW and r["_high"] > r["_low"] for r in ranks._few_rows)
+        else:
+            more = bool(still.limit(1).count())
+        if not more:
             break
-        ranks = written(_narrowed(held, still, keys))
-    ranges = written(done.select(*keys, "_low", "_high", "_before").distinct())
+        ranks = settled(_narrowed(held, still, keys, ranks))
+    ranges = are_few(done.select(*keys, "_low", "_high", "_before").distinct(), asked)
     inside = _inside(held, ranges, keys).groupBy(*keys, "_low", "_before", "_x").agg(F.count(F.lit(1)).alias("_k"))
     running = Window.partitionBy(*keys, "_low", "_before").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
     placed = inside.withColumn("_upto", F.col("_before") + F.sum("_k").over(running))
@@ -71,9 +75,9 @@ def _part() -> Column:
     return F.least(F.floor((half("_x") - half("_low")) / (half("_high") - half("_low")) * PARTS), F.lit(PARTS - 1))
 
 
-def _narrowed(held: DataFrame, ranks: DataFrame, keys: list[str]) -> DataFrame:
+def _narrowed(held: DataFrame, ranks: DataFrame, keys: list[str], of: DataFrame) -> DataFrame:
     """Each open rank with the part of its range that holds it."""
-    ranges = written(ranks.select(*keys, "_low", "_high", "_before").distinct())
+    ranges = are_few(ranks.select(*keys, "_low", "_high", "_before").distinct(), of)
     parts = _inside(held, ranges, keys).groupBy(*keys, "_low", "_before", _part().alias("_part")).agg(
         F.count(F.lit(1)).alias("_k"), F.min("_x").alias("_least"), F.max("_x").alias("_greatest")
     )

@@ -35,12 +35,31 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The table, computed once: as rows of this session if they are few, else written to the shared folder."""
+    rows = df.limit(BROADCAST_ROWS + 1).collect()
+    if len(rows) > BROADCAST_ROWS:
+        return written(df)
+    few = df.sparkSession.createDataFrame(rows, df.schema)
+    few._few_rows = rows
+    return few
+
+
+def are_few(df: DataFrame, of: DataFrame) -> DataFrame:
+    """Marks a table that has no more rows than ``of`` as few, if that was settled as few rows, else computes it once."""
+    if not hasattr(of, "_few_rows"):
+        return settled(df)
+    df._few_rows = None
+    return df
+
+
 def join_few(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Joins on keys, null with null, with a broadcast of ``few`` if a count shows few rows, else as Spark plans it.
 
-    ``few`` is counted, so it should be a written table. Its key columns are left out of the result.
+    ``few`` is counted if it isn't a settled table of few rows, so it should be a written one. Its key columns are left
+    out of the result.
     """
-    if few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if hasattr(few, "_few_rows") or few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         few = F.broadcast(few)
     renamed = few.withColumnsRenamed({k: f"_few_{k}" for k in keys})
     on = [F.col(k).eqNullSafe(F.col(f"_few_{k}")) for k in keys] or [F.lit(True)]

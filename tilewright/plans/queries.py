@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..functions.labels import lenient_label, strict_label
 from ..functions.patterns import FREE_BIT, FULL, PATTERNS, All, Any, AtLeast, AtMost, Mask, cells_of, col_mask, holds, row_mask
 from ..operators import islands, metrics, quantiles, replay, signals
-from ..operators.tables import join_few, written
+from ..operators.tables import join_few, settled
 from ..sources import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -363,7 +363,7 @@ def percentile_stretch(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = lambda i: F.round(F.max(F.when(F.col("i") == i, F.col("value"))), 2)
     q = q.groupBy("l_returnflag").agg(at(0).alias("lo"), at(1).alias("hi"))
     clipped = F.least(F.greatest("x", "lo"), F.col("hi")).cast("decimal(18,2)")
-    return join_few(rows, written(q), ["l_returnflag"]).groupBy("l_returnflag").agg(
+    return join_few(rows, settled(q), ["l_returnflag"]).groupBy("l_returnflag").agg(
         F.sum(clipped).cast("double").alias("total"), F.count_if(F.col("x") < F.col("lo")).alias("low")
     )
 
