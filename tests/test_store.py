@@ -62,9 +62,12 @@ def test_merging_stops_at_a_batch_that_is_not_finished(spark, tmp_path):
     for number in range(4):
         deltas.append_delta(rows.where(F.col("id") == number), root, 1, number, KEYS, "at")
     (tmp_path / "delta" / f"{1:010d}-{2:020d}" / "_SUCCESS").unlink()
-    assert deltas.merge(spark, root, KEYS, sealed=f"{1:010d}-{0:020d}") and deltas.merge(spark, root, KEYS)
-    assert not deltas.merge(spark, root, KEYS)
-    assert deltas._version(spark, root)[2].endswith("1") and len(_rows(deltas.live(spark, root, KEYS))) == 4
+    deltas.append_delta(rows.where("id = 0").withColumn("blob", F.lit("other")), root, 2, 7, KEYS, "at")
+    assert deltas.merge(spark, root, KEYS) and not deltas.merge(spark, root, KEYS)
+    assert {int(w): int(n) for w, n in deltas._version(spark, root)[2].items()} == {1: 1, 2: 7} and len(_rows(deltas.live(spark, root, KEYS))) == 4
+    deltas.vacuum(spark, root)
+    deltas.append_delta(rows.where("id = 1").withColumn("blob", F.lit("late")), root, 1, 4, KEYS, "at")  # a writer older than one that was merged
+    assert _rows(deltas.live(spark, root, KEYS)) == [(0, "other"), (1, "late"), (2, "2"), (3, "3")]
     wider = spark.createDataFrame([(9, "n", 1, "more")], "id long, blob string, at long, extra string")
     deltas.append_delta(wider, root, 1, 5, KEYS, "at")
     assert {r["id"]: r["extra"] for r in deltas.live(spark, root, KEYS).collect()} == {0: None, 1: None, 2: None, 3: None, 9: "more"}
@@ -74,7 +77,7 @@ def test_two_merges_at_once(spark, tmp_path):
     root = str(tmp_path)
     rows = spark.createDataFrame([(1, "a", 1)], "id long, blob string, at long")
     deltas.append_delta(rows, root, 1, 0, KEYS, "at")
-    assert deltas.created(spark, f"{root}/versions/{1:020d}", json.dumps({"base": None, "upto": ""}))
+    assert deltas.created(spark, f"{root}/versions/{1:020d}", json.dumps({"base": None, "upto": {}}))
     assert not deltas.created(spark, f"{root}/versions/{1:020d}", "other")
     assert deltas.merge(spark, root, KEYS) and _rows(deltas.live(spark, root, KEYS)) == [(1, "a")]
 

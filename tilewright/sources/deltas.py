@@ -95,15 +95,20 @@ def autosave(stream: DataFrame, root: str, checkpoint: str, keys: list[str], ord
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=every)
 
 
-def _version(spark: SparkSession, root: str) -> tuple[int, str | None, str]:
-    """The number of the version in force, its base, and the last delta in that."""
+def _version(spark: SparkSession, root: str) -> tuple[int, str | None, dict[str, str]]:
+    """The number of the version in force, its base, and each writer's last batch in that."""
     held = [n for n in names(spark, f"{root}/versions") if not n.startswith(".")]
     if not held:
-        return 0, None, ""
+        return 0, None, {}
     said = json.loads(_read_text(spark, f"{root}/versions/{held[-1]}"))
     return int(held[-1]), said["base"], said["upto"]
 
 
+def _is_merged(delta: str, upto: dict[str, str]) -> bool:
+    writer, _, number = delta.partition("-")
+    return number <= upto.get(writer, "")
+
+
 def _merged(spark: SparkSession, root: str, keys: list[str], base: str | None, deltas: list[str]) -> DataFrame:
     rows = None
     if base:
@@ -120,35 +125,39 @@ def _merged(spark: SparkSession, root: str, keys: list[str], base: str | None, d
 def live(spark: SparkSession, root: str, keys: list[str]) -> DataFrame | None:
     """The store's rows: the last of each key, without those that were deleted; None if nothing was ever saved."""
     _, base, upto = _version(spark, root)
-    deltas = [n for n in names(spark, f"{root}/delta") if n > upto]
+    deltas = [n for n in names(spark, f"{root}/delta") if not _is_merged(n, upto)]
     return _merged(spark, root, keys, base, deltas) if base or deltas else None
 
 
-def merge(spark: SparkSession, root: str, keys: list[str], sealed: str | None = None) -> bool:
+def merge(spark: SparkSession, root: str, keys: list[str]) -> bool:
     """Makes a new base of the base and the finished deltas; False if there is nothing to merge or another merge came first.
 
-    Deltas without Spark's mark of success are still being written and end what is merged, as a later version
-    counts them by name. So do deltas after ``sealed``, if given: a batch that may be repeated must not be merged yet.
+    A delta without Spark's mark of success is still being written and ends what is merged of its writer, as a version
+    counts each writer's batches up to one. A merged batch that is repeated changes nothing. What is merged is older than any delta
+    that is not.
     """
     number, base, upto = _version(spark, root)
-    deltas = []
+    deltas, last, ended = [], dict(upto), set()
     for name in names(spark, f"{root}/delta"):
-        if name <= upto:
+        writer, _, batch = name.partition("-")
+        if _is_merged(name, upto) or writer in ended:
+            continue
+        if "_SUCCESS" not in names(spark, f"{root}/delta/{name}"):
+            ended.add(writer)
             continue
-        if "_SUCCESS" not in names(spark, f"{root}/delta/{name}") or (sealed is not None and name > sealed):
-            break
         deltas.append(name)
+        last[writer] = batch
     if not deltas:
         return False
     new = uuid.uuid4().hex
     _merged(spark, root, keys, base, deltas).write.parquet(f"{root}/base/{new}")
-    return created(spark, f"{root}/versions/{number + 1:020d}", json.dumps({"base": new, "upto": deltas[-1]}))
+    return created(spark, f"{root}/versions/{number + 1:020d}", json.dumps({"base": new, "upto": last}))
 
 
 def vacuum(spark: SparkSession, root: str) -> int:
     """Deletes bases and deltas that the version in force does not need; returns how many. Run it when no reader is at work."""
     _, base, upto = _version(spark, root)
-    gone = [f"base/{n}" for n in names(spark, f"{root}/base") if base and n != base] + [f"delta/{n}" for n in names(spark, f"{root}/delta") if n <= upto]
+    gone = [f"base/{n}" for n in names(spark, f"{root}/base") if base and n != base] + [f"delta/{n}" for n in names(spark, f"{root}/delta") if _is_merged(n, upto)]
     for name in gone:
         path, files = _files(spark, f"{root}/{name}")
         files.delete(path, True)
