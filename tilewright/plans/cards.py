@@ -202,16 +202,21 @@ def argmax_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", number.alias("number")).withColumn("valid", F.expr("number between vec_id % 5 * 15 + 1 and vec_id % 5 * 15 + 15"))
 
 
+#: Words that the confidences belong to, over and over; some are blank.
+_WORDS = ["a", "", "b", " ", "c", "d", "", "e"]
+
+
 @registered(
-    "select vec_id, (abs(floor(embedding[1]::double * 10)) % 10 * 10 + abs(floor(embedding[2]::double * 10)) % 10)::int as value, round((abs(embedding[3]::double) + abs(embedding[4]::double)) / 2, 6) as conf, "
-    "round(coalesce((select avg(c) from (select unnest(list_transform(embedding[1:8], lambda x: x::double)) as c, unnest(['a', '', 'b', ' ', 'c', 'd', '', 'e']) as w) where trim(w) <> '' and c >= 0), 0), 6) as mean from embeddings"
+    f"with m as (select vec_id, coalesce(avg(c) filter (where trim(w) <> '' and c >= 0), 0) as mean from (select vec_id, unnest(list_transform(embedding, lambda x: x::double)) as c, unnest({_WORDS * 8}) as w from embeddings) group by 1), "
+    "q as (select vec_id, p, list_transform(embedding[p * 4 + 1:p * 4 + 4], lambda x: x::double) as v from embeddings, (select unnest(range(16)) as p)) "
+    "select vec_id, p::int as part, (abs(floor(v[1] * 10)) % 10 * 10 + abs(floor(v[2] * 10)) % 10)::int as value, round((abs(v[3]) + abs(v[4])) / 2, 6) as conf, round(mean, 6) as mean from q join m using (vec_id)"
 )
 def digit_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers read as two digits with their mean confidence, and the mean confidence of words that are not blank."""
-    x = lambda i: F.col("embedding")[i].cast("double")
-    digit = lambda i: F.abs(F.floor(x(i) * 10)) % 10
-    pair = metrics.digit_reading(digit(0), digit(1), F.abs(x(2)), F.abs(x(3)))
-    words = F.array(*map(F.lit, ("a", "", "b", " ", "c", "d", "", "e")))
-    mean = metrics.mean_confidence(F.slice(F.col("embedding").cast("array<double>"), 1, 8), words)
-    rows = _table(spark, sf_dir, "embeddings").select("vec_id", pair.alias("p"), F.round(mean, 6).alias("mean"))
-    return rows.select("vec_id", F.col("p.value").cast("int").alias("value"), F.round("p.conf", 6).alias("conf"), "mean")
+    """Numbers read as two digits with their mean confidence, sixteen of each vector, and the mean confidence of its words that are not blank."""
+    v = F.col("embedding").cast("array<double>")
+    mean = metrics.mean_confidence(v, F.array(*map(F.lit, _WORDS * 8)))
+    fours = F.transform(F.sequence(F.lit(1), F.lit(61), F.lit(4)), lambda i: F.slice(v, i, 4))
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", F.round(mean, 6).alias("mean"), F.posexplode(fours).alias("part", "v"))
+    digit = lambda i: F.abs(F.floor(F.col("v")[i] * 10)) % 10
+    pair = metrics.digit_reading(digit(0), digit(1), F.abs(F.col("v")[2]), F.abs(F.col("v")[3]))
+    return rows.withColumn("p", pair).select("vec_id", "part", F.col("p.value").cast("int").alias("value"), F.round("p.conf", 6).alias("conf"), "mean")

@@ -180,14 +180,14 @@ def next_sequence_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(
     "select o_orderkey, n from (select o.o_orderkey, (select count(*) from customer c2 where c2.c_nationkey = c.c_nationkey) + (select count(*) from supplier s where s.s_nationkey = c.c_nationkey) as n "
-    "from orders o join customer c on c.c_custkey = o.o_custkey where o_orderpriority like '1%')"
+    "from orders o join customer c on c.c_custkey = o.o_custkey)"
 )
 def recipients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many customers and hosts of its nation each urgent order is sent to: counted by nation first, never expanded."""
+    """How many customers and hosts of its nation each order is sent to: counted by nation first, never expanded."""
     people = _table(spark, sf_dir, "customer").select("c_nationkey").unionAll(_table(spark, sf_dir, "supplier").select("s_nationkey"))
     sizes = people.groupBy(F.col("c_nationkey").alias("to")).agg(F.count(F.lit(1)).alias("n"))
-    urgent = _table(spark, sf_dir, "orders").where(F.col("o_orderpriority").startswith("1")).select("o_orderkey", "o_custkey")
-    senders = urgent.join(_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    senders = orders.join(_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     return senders.join(sizes, F.col("c_nationkey") == F.col("to")).select("o_orderkey", "n")
 
 
