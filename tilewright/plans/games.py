@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.cards import call_positions, random_grid
 from ..functions.patterns import PATTERNS, first_win
 from ..operators import replay
+from ..operators.running import running
 from ..operators.tables import shared_dir
 from ..sources import deltas, gamestate, store
 from ..streaming import messages, requests, rounds
@@ -200,12 +201,10 @@ def live_waiters(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def catch_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a client that comes back (a view) is told: the calls of the round so far, and the last of them."""
-    events = _table(spark, sf_dir, "events")
-    rounds = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = events.withColumn("round", F.sum((F.col("event_type") == "signup").cast("int")).over(rounds))
-    before = Window.partitionBy("user_id", "round").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    events = _table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    rows = running(events, ["user_id"], ["ts", "event_id"], {"round": (F.col("event_type") == "signup").cast("long")})
     call = F.when(F.col("event_type").isin("click", "purchase"), F.col("event_id"))
-    rows = rows.withColumn("called", F.count(call).over(before)).withColumn("current", F.last(call, True).over(before))
+    rows = running(rows, ["user_id", "round"], ["ts", "event_id"], {"called": call.isNotNull().cast("long")}, {"current": call}, before=True)
     return rows.where("event_type = 'view'").select("event_id", "called", "current")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cards import call_positions, random_grid
@@ -12,6 +12,7 @@ from ..functions.geometry import completed_lines, line_at, projected
 from ..functions.numbers import TOKEN, WORDS, is_free, number_of
 from ..functions.patterns import FREE_BIT, PATTERNS, first_win
 from ..operators import metrics, nearest, signals
+from ..operators.running import running
 from ..streaming import pending
 from .queries import _DAYS_SQL, _TYPES, ORACLE_SQL, QUERIES, _days, _lines_sql, _predicted, _table, registered
 
@@ -85,13 +86,10 @@ def worst_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why calls are turned away: no game, not started, over, or the cell was called before in the same game."""
-    upto = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     change = F.when(F.col("event_type").isin("signup", "purchase", "error"), F.col("event_type"))
     kind = F.array_position(F.array(*map(F.lit, _TYPES)), F.col("event_type"))
-    rows = _table(spark, sf_dir, "events").select(
-        "user_id", "event_type", (F.dayofmonth("ts") % 5 * 5 + kind).alias("cell"),
-        F.last(change, True).over(upto).alias("state"), F.count(change).over(upto).alias("game"),
-    )
+    events = _table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", (F.dayofmonth("ts") % 5 * 5 + kind).alias("cell"))
+    rows = running(events, ["user_id"], ["ts", "event_id"], {"game": change.isNotNull().cast("long")}, {"state": change}, before=True)
     calls = rows.where(F.col("event_type").isin("click", "view")).groupBy("user_id", "game", "state", "cell").agg(F.count(F.lit(1)).alias("n"))
     reason = F.when(F.col("state").isNull(), "no_game").when(F.col("state") == "signup", "not_started").when(F.col("state") == "error", "over").otherwise("repeat")
     turned = F.when(reason == "repeat", F.col("n") - 1).otherwise(F.col("n"))
@@ -107,9 +105,9 @@ def reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def pending_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signups as scans: the next purchase confirms, the next error rejects, six hours expire."""
-    upto = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    game = F.sum((F.col("event_type") == "signup").cast("int")).over(upto)
-    rows = _table(spark, sf_dir, "events").withColumn("scan_id", F.concat_ws("-", F.col("user_id"), game))
+    events = _table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    rows = running(events, ["user_id"], ["ts", "event_id"], {"game": (F.col("event_type") == "signup").cast("long")})
+    rows = rows.withColumn("scan_id", F.concat_ws("-", "user_id", "game"))
     scans = rows.where("event_type = 'signup'").select("scan_id", F.col("ts").alias("scan_ts"))
     first = F.min(F.struct("ts", "event_id", "event_type")).alias("first")
     ends = rows.where("event_type in ('purchase', 'error')").groupBy("scan_id").agg(first)

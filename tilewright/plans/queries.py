@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..functions.labels import lenient_label, strict_label
 from ..functions.patterns import FREE_BIT, FULL, PATTERNS, All, Any, AtLeast, AtMost, Mask, cells_of, col_mask, holds, row_mask
 from ..operators import islands, metrics, quantiles, replay, signals
+from ..operators.running import running
 from ..operators.tables import join_few, settled
 from ..sources import store
 
@@ -391,9 +392,8 @@ def sessions_30min(spark: SparkSession, sf_dir: str) -> DataFrame:
     "(select *, sum((event_type = 'signup')::int) over (partition by user_id order by ts, event_id rows unbounded preceding) as round from events) group by user_id, round"
 )
 def round_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    upto = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    rounds = F.sum((F.col("event_type") == "signup").cast("long")).over(upto)
-    rows = _table(spark, sf_dir, "events").withColumn("round", rounds)
+    events = _table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    rows = running(events, ["user_id"], ["ts", "event_id"], {"round": (F.col("event_type") == "signup").cast("long")})
     return rows.groupBy("user_id", "round").agg(F.count_if(F.col("event_type").isin("click", "view")).alias("calls"))
 
 
@@ -403,9 +403,9 @@ def round_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls by the state they meet: signup sets up, purchase starts, error ends; only a started game takes calls."""
-    before = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     change = F.when(F.col("event_type").isin("signup", "purchase", "error"), F.col("event_type"))
-    rows = _table(spark, sf_dir, "events").withColumn("state", F.coalesce(F.last(change, True).over(before), F.lit("none")))
+    events = _table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    rows = running(events, ["user_id"], ["ts", "event_id"], lasts={"state": change}, before=True).fillna("none", ["state"])
     calls = rows.where(F.col("event_type").isin("click", "view"))
     return calls.groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("state") != "purchase").alias("rejected"))
 
@@ -415,9 +415,9 @@ def state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def waiting_room(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each joining event with the next reset that lets it in."""
-    after = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, -1)
     reset = F.when(F.col("event_type") == "signup", F.col("event_id"))
-    rows = _table(spark, sf_dir, "events").withColumn("admitted_by", F.last(reset, True).over(after))
+    events = _table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    rows = running(events, ["user_id"], [F.desc("ts"), F.desc("event_id")], lasts={"admitted_by": reset}, before=True)
     return rows.where("event_type = 'view'").select("event_id", "admitted_by")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.running import running
 from .deltas import names
 
 
@@ -99,5 +100,4 @@ def restored_games(rows: DataFrame, blob: str, patterns: list[str], now: Column)
 
 def filled_down(rows: DataFrame, keys: list[str], order: str, header: Column, name: str) -> DataFrame:
     """Adds the last header at or above each line."""
-    upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(name, F.last(header, ignorenulls=True).over(upto))
+    return running(rows, keys, [order], lasts={name: header})

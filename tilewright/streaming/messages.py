@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.running import running
 from ..sources.deltas import created, names
 from .ordered import InOrder, in_order
 
@@ -45,10 +46,8 @@ def routed(messages: DataFrame, text: str, fields: StructType) -> DataFrame:
 
 def missed_pongs(beats: DataFrame, key: str, order: list[str], pong: Column) -> DataFrame:
     """Adds missed: the pings of a client since its last pong, this one included; 0 at a pong."""
-    since = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = beats.withColumn("_beat", F.sum(pong.cast("int")).over(since)).withColumn("_pong", pong)
-    inside = Window.partitionBy(key, "_beat").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("missed", F.sum((~F.col("_pong")).cast("int")).over(inside)).drop("_beat", "_pong")
+    rows = running(beats.withColumn("_pong", pong), [key], order, {"_beat": F.col("_pong").cast("long")})
+    return running(rows, [key, "_beat"], order, {"missed": (~F.col("_pong")).cast("long")}).drop("_beat", "_pong")
 
 
 def idle_games(games: DataFrame, players: DataFrame, waiters: DataFrame, now: Column, minutes: int = 30) -> DataFrame:
@@ -158,9 +157,8 @@ def evicted(events: DataFrame, key: str, ts: str, minutes: int = 30, delay: str
         rows = rows.withColumn("seq", F.lit(0).cast("long"))
         found = in_order(rows, key, "_ts", "seq", [], _Idle(gap, "us long, seq long", [key, "last"]), f"{key} long, last long", delay)
         return found.select(key, F.timestamp_micros("last").alias("last"))
-    order = Window.partitionBy(key).orderBy("_ts")
     now = rows.agg(F.max("_ts").alias("_now"))
-    spaced = rows.withColumn("_next", F.lead("_ts").over(order)).join(F.broadcast(now))  # one row
+    spaced = running(rows, [key], [F.desc("_ts")], lasts={"_next": F.col("_ts")}, before=True).join(F.broadcast(now))  # one row
     later = F.unix_micros(F.coalesce("_next", "_now")) - F.unix_micros("_ts")
     return spaced.where(later >= gap).select(key, F.col("_ts").alias("last"))
 
@@ -168,11 +166,10 @@ def evicted(events: DataFrame, key: str, ts: str, minutes: int = 30, delay: str
 def _waited(rows: DataFrame, key: str) -> DataFrame:
     """``waiting`` for tables: each wait since the waiter last left, with the reset that ends its round."""
     at = F.struct("_ts", "seq")
-    before = Window.partitionBy(key).orderBy("_ts", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_round", F.coalesce(F.sum((F.col("kind") == "setup").cast("int")).over(before), F.lit(0)))
+    rows = running(rows, [key], ["_ts", "seq"], {"_round": (F.col("kind") == "setup").cast("long")}, before=True)
     ends = rows.where("kind = 'setup'").select(key, "_round", F.col("seq").alias("admitted_at"))
-    gone = F.max(F.when(F.col("kind") == "left", at)).over(Window.partitionBy(key, "_round", "name"))
-    waits = rows.where("name is not null").withColumn("_gone", gone).where((F.col("kind") == "wait") & (F.col("_gone").isNull() | (at > F.col("_gone"))))
+    gone = rows.where("kind = 'left'").groupBy(key, "_round", "name").agg(F.max(at).alias("_gone"))
+    waits = rows.where("kind = 'wait' and name is not null").join(gone, [key, "_round", "name"], "left").where(F.col("_gone").isNull() | (at > F.col("_gone")))
     first = waits.groupBy(key, "_round", "name").agg(F.min_by("seq", at).alias("seq"))
     return first.join(ends, [key, "_round"]).select(key, "name", "seq", "admitted_at")
 

@@ -7,9 +7,10 @@ called before in the round. The stream and the table form give the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.running import running
 from .ordered import InOrder, in_order
 
 #: What a message of a kind makes of the game, and why a call is turned away in a state.
@@ -62,26 +63,26 @@ def call_verdicts(messages: DataFrame, game: str, ts: str, seq: str, delay: str
         processor = _Rounds("us long, seq long, kind string, cell long", [game, "seq", "round", "reason", "called"])
         return in_order(rows, game, "_ts", "seq", ["kind", "cell"], processor, f"{game} {_OUT}", delay)
     rows = _placed(rows.dropna(subset=[game, "_ts", "seq"]), game)
-    return _counted(rows, game).where("kind = 'call'").select(game, "seq", "round", "reason", "called")
+    rows = running(_counted(rows, game), [game, "round"], ["_ts", "seq"], {"called": F.col("counts").cast("long")})
+    return rows.where("kind = 'call'").select(game, "seq", "round", "reason", "called")
 
 
 def _placed(rows: DataFrame, game: str) -> DataFrame:
-    """Adds the status and round that each message meets."""
-    order = Window.partitionBy(game).orderBy("_ts", "seq")
+    """Adds the status and round that each message meets; a setup is of the round that it begins."""
     names = F.create_map(*[F.lit(x) for pair in STATUS.items() for x in pair])
-    change = F.try_element_at(names, F.col("kind"))
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("status", F.coalesce(F.last(change, True).over(before), F.lit("none"))).withColumn("round", F.count_if(F.col("kind") == "setup").over(upto))
+    setup = (F.col("kind") == "setup").cast("long")
+    found = running(rows, [game], ["_ts", "seq"], {"round": setup}, {"status": F.try_element_at(names, F.col("kind"))}, before=True)
+    return found.fillna("none", ["status"]).withColumn("round", F.col("round") + F.coalesce(setup, F.lit(0)))
 
 
 def _counted(rows: DataFrame, game: str) -> DataFrame:
-    taken = (F.col("kind") == "call") & (F.col("status") == "in_progress")
-    nth = F.row_number().over(Window.partitionBy(game, "round", "cell", taken).orderBy("_ts", "seq"))
+    """Adds reason, and counts: whether a message is a call that counts, as the first of its cell in its round."""
+    taken = F.coalesce((F.col("kind") == "call") & (F.col("status") == "in_progress"), F.lit(False))
+    first = rows.where(taken).groupBy(game, "round", "cell").agg(F.min(F.struct("_ts", "seq")).alias("_first"))
     told = F.create_map(*[F.lit(x) for pair in REASONS.items() for x in pair])
-    rows = rows.withColumn("reason", F.when(taken, F.when(nth > 1, "repeat")).otherwise(F.try_element_at(told, F.col("status"))))
-    within = Window.partitionBy(game, "round").orderBy("_ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("counts", taken & F.col("reason").isNull()).withColumn("called", F.count_if("counts").over(within))
+    again = F.when(F.struct("_ts", "seq") > F.col("_first"), "repeat")
+    rows = rows.join(first, [game, "round", "cell"], "left").withColumn("reason", F.when(taken, again).otherwise(F.try_element_at(told, F.col("status"))))
+    return rows.withColumn("counts", taken & F.col("reason").isNull()).drop("_first")
 
 
 def game_status(messages: DataFrame, game: str, ts: str, seq: str) -> DataFrame:
