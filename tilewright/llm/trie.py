@@ -22,11 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import crc_sql, cut, drop
+from .common import BROADCAST_ROWS, crc_sql, cut, drop
 
 #: Levels that Spark always builds one by one. Deeper ones are built within tasks, a node's in one, if a count shows
 #: that all turns below them are no more than so many.
 DEEP, FEW_TURNS = 12, 500_000
+#: Levels for which a class takes its next turns along at once.
+STRIDE = 8
 
 _NODE = "conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long"
 _COLUMNS = [c.split()[0] for c in _NODE.split(", ")]
@@ -184,7 +186,8 @@ def prefix_trie(convs: DataFrame, turns: DataFrame) -> DataFrame:
     (childless nodes in the subtree), saved_tokens (over the subtree, members but one times the bytes of the
     node's last text), ends_sha256 (of the ids that end there). Conversations without turns end at the root;
     no conversation at all gives no node. Repeated and long conversations need no more levels than different
-    ones share. Two jobs a level go down and one goes up.
+    ones share. Two jobs a level go down and one goes up; a level's nodes are broadcast
+    if a count shows few.
     """
     turns = cut(turns)
     marks = [F.bit_xor(F.xxhash64(F.lit(salt), "at", "key")).alias(f"h{salt}") for salt in range(4)]
@@ -200,18 +203,26 @@ def prefix_trie(convs: DataFrame, turns: DataFrame) -> DataFrame:
     if top[0] is None:
         return spark.createDataFrame([], f"{_NODE}, ends_sha256 string")
     shared = [spark.createDataFrame([(top[0], 0, None, top[1], 0)], "conv_id long, depth long, parent_conv_id long, n_convs long, n_bytes long")]
-    live = classes.select("rep", "n", "n_turns", F.lit(top[0]).alias("node"))
+    live, sizes = classes.select("rep", "n", "n_turns", F.lit(top[0]).alias("node")), [1]
     alone, enders, finished = [], [], None
-    depth, any_left = 0, True
-    while any_left:
+    depth, left = 0, 1
+    while left:
+        ended = F.lit(depth).cast("long").alias("depth")
         if depth >= DEEP:
+            live = cut(live.select("rep", "n", "n_turns", "node"))
             below = live.join(steps.where(F.col("at") >= depth), "rep")
             if below.limit(FEW_TURNS + 1).count() <= FEW_TURNS:
-                enders.append(live.where(F.col("n_turns") == depth).select(F.col("node").alias("conv_id"), F.lit(depth).cast("long").alias("depth"), "rep"))
+                enders.append(live.where(F.col("n_turns") == depth).select(F.col("node").alias("conv_id"), ended, "rep"))
                 finished = cut(below.groupBy("node").applyInArrow(_below(depth), f"{_NODE}, rep long"))
                 break
-        enders.append(live.where(F.col("n_turns") == depth).select(F.col("node").alias("conv_id"), F.lit(depth).cast("long").alias("depth"), "rep"))
-        going = cut(live.where(F.col("n_turns") > depth).join(steps.where(F.col("at") == depth).drop("at"), "rep"))
+            live = _with_turns(live, steps, depth)
+        elif depth % STRIDE == 0:
+            live = _with_turns(live.select("rep", "n", "n_turns", "node"), steps, depth)
+        # The turn at this depth; classes that end here have none.
+        turn = F.get("ahead", depth - F.get("ahead", F.lit(0))["at"])
+        going = cut(live.select("*", turn["key"].alias("key"), turn["n_bytes"].alias("n_bytes")))
+        enders.append(going.where("key is null").select(F.col("node").alias("conv_id"), ended, "rep"))
+        going = going.where("key is not null")
         depth += 1
         groups = cut(
             going.groupBy("node", "key").agg(
@@ -220,10 +231,12 @@ def prefix_trie(convs: DataFrame, turns: DataFrame) -> DataFrame:
         )
         several = groups.where("n_classes > 1")
         alone.append(groups.where("n_classes = 1").select(F.col("conv_id").alias("rep"), F.lit(depth).cast("long").alias("head"), F.col("node").alias("above"), F.col("n_convs").alias("n"), "n_turns"))
-        any_left = bool(several.limit(1).count())
-        if any_left:
+        left = several.limit(BROADCAST_ROWS + 1).count()
+        if left:
+            sizes.append(left)
             shared.append(several.select("conv_id", F.lit(depth).cast("long").alias("depth"), F.col("node").alias("parent_conv_id"), "n_convs", "n_bytes"))
-            live = going.join(several.select("node", "key", F.col("conv_id").alias("_child")), ["node", "key"]).select("rep", "n", "n_turns", F.col("_child").alias("node"))
+            child = _sent(several.select("node", "key", F.col("conv_id").alias("_child")), left)
+            live = going.join(child, ["node", "key"]).select("rep", "n", "n_turns", F.col("_child").alias("node"), "ahead")
 
     alone = reduce(DataFrame.unionByName, alone)
     tails = cut(_tails(alone, steps))
@@ -238,7 +251,7 @@ def prefix_trie(convs: DataFrame, turns: DataFrame) -> DataFrame:
         sums = below.groupBy(F.col("parent_conv_id").alias("conv_id")).agg(F.count("*").alias("n_children"), F.sum("n_leaves").alias("_leaves"), F.sum("saved_tokens").alias("_saved"))
         zero = F.lit(0).cast("long")
         done = cut(
-            shared[level].join(sums, "conv_id", "left").select(
+            shared[level].join(_sent(sums, sizes[level]), "conv_id", "left").select(
                 "conv_id", "depth", "parent_conv_id", "n_convs", F.coalesce("n_children", zero).alias("n_children"),
                 F.coalesce("_leaves", F.lit(1).cast("long")).alias("n_leaves"),
                 (F.coalesce("_saved", zero) + (F.col("n_convs") - 1) * F.col("n_bytes")).alias("saved_tokens"),
@@ -256,6 +269,18 @@ def prefix_trie(convs: DataFrame, turns: DataFrame) -> DataFrame:
     return nodes.join(ends, ["conv_id", "depth"], "left").select(*_COLUMNS, F.coalesce("ends_sha256", nothing).alias("ends_sha256"))
 
 
+def _sent(few: DataFrame, rows: int) -> DataFrame:
+    """A side of a join, broadcast if it was counted to have few rows."""
+    return F.broadcast(few) if rows <= BROADCAST_ROWS else few
+
+
+def _with_turns(live: DataFrame, steps: DataFrame, depth: int) -> DataFrame:
+    """Adds ahead: a class's next STRIDE turns, or those that it has, in order."""
+    near = steps.where((F.col("at") >= depth) & (F.col("at") < depth + STRIDE))
+    ahead = near.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("at", "key", "n_bytes"))).alias("ahead"))  # at most STRIDE
+    return live.join(ahead, "rep", "left")
+
+
 def _tails(alone: DataFrame, steps: DataFrame) -> DataFrame:
     """The nodes of classes from the depth (``head``) on where each is alone: no branches, one leaf."""
     depth = F.col("at") + 1
