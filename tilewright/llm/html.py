@@ -438,7 +438,8 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     Null and empty pages have an empty text; a null id or url is carried on; repeated rows each get a row;
     an empty table gives none; other columns of ``pages``, whatever their names, are not looked at. A page
     is parsed whole in one task: about 30 bytes of memory for each of its characters. White space is what
-    Python's str.split takes for it, so a non-breaking space becomes a space too.
+    Python's str.split takes for it, so a non-breaking space becomes a space too. As in a browser, a
+    ``textarea`` or ``title`` that is never closed holds the rest of its page, which is no main text then.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"))
     out = rows.mapInArrow(_run(trained()), "_id long, _url string, text string, n_chars long")
