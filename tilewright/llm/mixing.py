@@ -163,9 +163,12 @@ def mix(
 def mixed_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None
 ) -> DataFrame:
-    """The mix itself: each document as often as ``mix`` takes it, with its own columns, whatever their names."""
-    rows = sized(docs, id_col, text_col, source_col, weight, keep=True)
-    out = mixed(rows, mix_plan(rows)).where("_copies > 0 and _size > 0")
+    """The mix itself: each document as often as ``mix`` takes it, with its own columns, whatever their names.
+
+    The plan comes from a written table of sizes and keys, so texts are counted once for it and once for the mix.
+    """
+    plan = mix_plan(cut(sized(docs, id_col, text_col, source_col, weight)))
+    out = mixed(sized(docs, id_col, text_col, source_col, weight, keep=True), plan).where("_copies > 0 and _size > 0")
     return out.select("_doc", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_doc.*")
 
 
