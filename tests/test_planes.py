@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tilewright.functions.grids import cropped
 from tilewright.operators import lattices, planes
+from tilewright.plans import lattices as _lattice_queries  # noqa: F401  (adds its queries)
+from tilewright.plans.queries import ORACLE_SQL, QUERIES
 
 
 def _plain_components(cells):
@@ -152,3 +154,16 @@ def test_crops(spark):
     rows = spark.createDataFrame([(plane, 0, 5, 0, 6), (plane, 1, 4, 2, 9), (plane, 2, 4, 0, 6), (plane, 3, 9, 1, 6), (None, 0, 5, 0, 6)], "p array<array<int>>, a int, b int, c int, d int")
     found = [x[0] for x in rows.select(cropped(F.col("p"), *map(F.col, "abcd"), 1)).collect()]
     assert found == [[x[1:5] for x in plane[1:4]], [plane[2][3:6]], None, [plane[4][2:5]], None]
+
+
+def test_cell_crops_round_single_precision(spark, tmp_path):
+    import duckdb
+
+    half = float(np.float32(0.0025))  # times 1000: 2.5 in single precision, less than that in double
+    rows = [(i, [half, -half, 0.1, 0.5] * 16, 0) for i in range(420)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    told = con.sql(ORACLE_SQL["cell_crops"]).fetchall()
+    assert sorted(map(tuple, QUERIES["cell_crops"](spark, str(tmp_path)).collect())) == sorted(told)
+    assert any(c and "3" in c.split() for _, c in told)

@@ -159,4 +159,5 @@ def cell_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("vec_id")
     box = [c.cast("int") for c in (i % 3, i % 3 + i % 7, i % 2, 7 - i % 4)]
     cells = cropped(plane, *box, 1)
-    return rows.select("vec_id", F.array_join(F.transform(F.flatten(cells), lambda x: F.round(x * 1000).cast("int")), " ").alias("cells"))
+    thousand = F.lit(1000).cast("float")  # as a whole number it would make the product a double, which rounds otherwise near a half
+    return rows.select("vec_id", F.array_join(F.transform(F.flatten(cells), lambda x: F.round(x * thousand).cast("int")), " ").alias("cells"))
