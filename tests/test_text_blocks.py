@@ -50,6 +50,24 @@ def test_blocks_equal_whole_files(spark, tmp_path, tiny_blocks):
         assert {(x["sheet"], x["card"], x["r"], x["c"]): x["value"] for x in got} == cells and len(got) == len(cells)
 
 
+def test_headers_over_pieces(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text, "PIECE", 7)
+    body, lines, cells = _file(random.Random(5), "\n")
+    for name in "ab":
+        (tmp_path / f"{name}.txt").write_text(body)
+    rows = text.numbered_lines(spark, str(tmp_path))
+    assert rows.groupBy("file", "block").count().agg(F.max("count")).first()[0] == 7
+    number = F.nullif(F.regexp_extract("text", "^#blue_sheet_0*([0-9]+):", 1), F.lit("")).cast("long")
+    now, told = None, []
+    for i, x in enumerate(lines):
+        now = int(x[12:15]) if x.startswith("#blue") else now
+        told.append((i, x.strip(), now))
+    found = text.under_headers(rows, number, "sheet").where("file like '%b.txt'").orderBy("line").collect()
+    assert [(x["line"], x["text"], x["sheet"]) for x in found] == told
+    got = text.truth_cells(rows.where("file like '%a.txt'")).collect()
+    assert {(x["sheet"], x["card"], x["r"], x["c"]): x["value"] for x in got} == cells and len(got) == len(cells)
+
+
 def test_dictated_cards_over_blocks(spark, tmp_path, tiny_blocks):
     r = random.Random(3)
     lines, told = [], {}

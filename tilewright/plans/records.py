@@ -246,9 +246,7 @@ def sheet_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same cells by a table function that reads the lines of one sheet after the other."""
     lines = _sheet_lines(spark, sf_dir)
     number = F.nullif(F.regexp_extract("text", "^#blue_sheet_0*([0-9]+):", 1), F.lit("")).cast("long")
-    order = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)  # a file has what one task has written
-    named = lines.withColumn("sheet", F.last(number, True).over(order))
-    return text.sheet_cells(named)
+    return text.sheet_cells(text.under_headers(lines, number, "sheet"))
 
 
 @registered(

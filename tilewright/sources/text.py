@@ -5,29 +5,45 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import is_free, number_of
 from ..functions.patterns import FREE_BIT, SIDE
 
 
+#: Lines of a piece, the most that a window over headers and lines holds.
+PIECE = 50_000
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, block, line, text) of text files of any size, with the number of each line in its file.
 
-    Files are read in blocks of bytes, and lines are numbered within each block; what blocks before it hold comes
-    from one count a block. Neither a file nor its lines come together in one task.
+    Files are read in blocks of bytes. A task reads a block's lines in order, so their ids are consecutive, and the least of them and
+    the count of lines (a row a block, as Spark plans the reading) number them without a sort. ``block`` grows along a file
+    and is the same for PIECE lines at most: a block's first byte and the number of the piece within it.
     """
     rows = spark.read.option("lineSep", "\n").text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("_i"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_i"),
         F.trim(F.regexp_replace("value", "\r$", "")).alias("text"),
     )
+    before = Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("file", "_start").agg(F.min("_i").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    blocks = blocks.select("file", "_start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    at = F.col("_i") - F.col("_first")
+    block = F.col("_start") + F.floor(at / PIECE)  # a piece has more bytes than one, so no other block begins there
+    return rows.join(F.broadcast(blocks), ["file", "_start"]).select("file", block.alias("block"), (F.col("_before") + at).alias("line"), "text")
+
+
+def under_headers(lines: DataFrame, header: Column, name: str) -> DataFrame:
+    """Adds the last header at or above each line of its file; those that a block begins under come from one row a block."""
+    rows = lines.withColumn("_header", header)
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy("file", "block").agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.select("file", "block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("file", "block").orderBy("_i")) - 1
-    rows = rows.withColumn("_at", inside).join(counts, ["file", "block"])
-    return rows.select("file", "block", (F.col("_before") + F.col("_at")).alias("line"), "text")
+    ends = rows.groupBy("file", "block").agg(F.max_by("_header", F.when(F.col("_header").isNotNull(), F.col("line"))).alias("_end"))
+    carried = ends.select("file", "block", F.last("_end", True).over(before).alias("_in"))
+    upto = Window.partitionBy("file", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_last", F.last("_header", True).over(upto)).join(carried, ["file", "block"])
+    return rows.select(*lines.columns, F.coalesce("_last", "_in").alias(name))
 
 
 def _sections(lines: DataFrame, outer, inner) -> DataFrame:
