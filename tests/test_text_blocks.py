@@ -5,9 +5,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tilewright.operators import replay
+from tilewright.operators import replay, tables
+from tilewright.plans import records
 from tilewright.sources import pending, text
 
+from conftest import SF_DIR
+
 
 @pytest.fixture
 def tiny_blocks(spark):
@@ -91,6 +94,14 @@ def test_sheet_function(spark):
     assert found == [(1, 1, 0, 0, 8), (1, 2, 0, 0, 1), (1, 2, 0, 1, None), (1, 2, 0, 2, 3), (1, 2, 1, 0, 7), (2, 3, 0, 0, 75)]
 
 
+def test_grids_are_drawn_in_many_tasks(spark):
+    few = tables.dealt(spark.range(500).coalesce(1), "id")
+    sizes = few.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) >= 8 and sum(x["count"] for x in sizes) == 500
+    # the customers' file is one block; each task writes a file of sheets
+    assert records._sheet_lines(spark, SF_DIR).select("file").distinct().count() >= 8
+
+
 def test_pending_cells(spark, tmp_path):
     root = str(tmp_path)
     assert pending.pending(spark, root) is None

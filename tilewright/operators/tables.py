@@ -28,6 +28,20 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Rows of a task that are meant where rows are dealt for costly work.
+ROWS_DEALT = 10_000
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows, dealt by their keys: for costly work on rows that fit into few blocks of a file, which few tasks would read.
+
+    There are as many tasks as the session has partitions of a shuffle, and more if a count shows more than ROWS_DEALT rows for each.
+    """
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, -(-rows.count() // ROWS_DEALT))
+    return rows.repartition(tasks, *keys)
+
+
 def written(df: DataFrame) -> DataFrame:
     """The table, written to the shared folder and read again: it is computed once, and its lineage ends there."""
     path = f"{shared_dir(df.sparkSession)}/table"

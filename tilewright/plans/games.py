@@ -12,7 +12,7 @@ from ..functions.cards import call_positions, random_grid
 from ..functions.patterns import PATTERNS, first_win
 from ..operators import replay
 from ..operators.running import running
-from ..operators.tables import shared_dir
+from ..operators.tables import dealt, shared_dir
 from ..sources import deltas, gamestate, store
 from ..streaming import messages, requests, rounds
 from .queries import _lines_sql, _table, registered
@@ -47,7 +47,7 @@ _CARDS_SQL = (
 def winner_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At each new call of a game: the cards that win by it, and how many hold the pattern after it. Repeated calls announce nothing."""
     calls = _called()
-    cards = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("game"), "c_custkey", random_grid(F.col("c_custkey"), "card").alias("grid"))
+    cards = dealt(_table(spark, sf_dir, "customer"), "c_custkey").select(F.col("c_nationkey").alias("game"), "c_custkey", random_grid(F.col("c_custkey"), "card").alias("grid"))
     won = first_win(PATTERNS["standard"], call_positions(F.col("grid"), calls))
     found = replay.winner_lists(cards.select("game", F.col("c_custkey").alias("card"), won.alias("won")), calls)
     return found.select("game", "call", "number", F.size("fresh").alias("fresh"), "winners", F.nullif(F.array_join("fresh", " "), F.lit("")).alias("cards"))
@@ -55,7 +55,7 @@ def winner_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _winning_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = random_grid(F.col("c_custkey"), "card")
-    cards = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("game"), F.col("c_custkey").alias("card"), F.col("c_name").alias("player"), grid.alias("grid"))
+    cards = dealt(_table(spark, sf_dir, "customer"), "c_custkey").select(F.col("c_nationkey").alias("game"), F.col("c_custkey").alias("card"), F.col("c_name").alias("player"), grid.alias("grid"))
     return cards.withColumn("won", first_win(PATTERNS["standard"], call_positions(F.col("grid"), _called()))).drop("grid")
 
 
@@ -255,7 +255,7 @@ PLAYERS = 50
 )
 def nested_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Games of fifty customers with their cards, marks, calls and waiters, saved as JSON texts and restored from them: one row for each card."""
-    customers = _table(spark, sf_dir, "customer").withColumn("key", F.floor(F.col("c_custkey") / PLAYERS))
+    customers = dealt(_table(spark, sf_dir, "customer").withColumn("key", F.floor(F.col("c_custkey") / PLAYERS)), "key")
     called = F.slice(F.array(*map(F.lit, _called())), F.lit(1), (20 + F.col("key") % 30).cast("int"))
     games = customers.select("key").distinct().select(
         "key", F.concat(F.lit("g"), "key").alias("game_id"), F.lit("in_progress").alias("status"), called.cast("array<string>").alias("called_numbers"), F.lit(None).cast("string").alias("current_number"),

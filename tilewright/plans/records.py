@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cards import random_grid
 from ..operators import metrics, readers
-from ..operators.tables import shared_dir
+from ..operators.tables import dealt, shared_dir
 from ..sources import files, manifests, pending, text
 from .queries import _table, registered
 
@@ -227,7 +227,7 @@ def _sheet_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as sheets with a card each, written as text files and read by blocks."""
     grid = random_grid(F.col("c_custkey"), "sheet")
     row = lambda r: F.concat(F.lit("["), F.array_join(F.transform(F.slice("grid", r * 5 + 1, 5), lambda n: F.when(n == 0, "FREE").otherwise(n.cast("string"))), ", "), F.lit("]"))
-    rows = _table(spark, sf_dir, "customer").select("c_custkey", grid.alias("grid"))
+    rows = dealt(_table(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", grid.alias("grid"))
     card = (1 + F.col("c_custkey") % 3).cast("string")
     lines = F.concat_ws("\n", F.format_string("#blue_sheet_%03d:", "c_custkey"), F.lit(""), F.concat(F.lit("#card"), card), *[row(r) for r in range(5)], F.lit(""))
     folder = f"{shared_dir(spark)}/sheets"
