@@ -1,6 +1,9 @@
 import datetime as dt
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tilewright.functions import cards, numbers
@@ -196,3 +199,21 @@ def test_many_queries_use_the_index_alike(spark, monkeypatch):
     monkeypatch.setattr(nearest, "MOST_SENT", 5)
     joined = nearest.indexed_nearest(asked, rows, "id", "v", 3, 0.3, centres).collect()
     assert sorted(map(tuple, sent)) == sorted(map(tuple, joined)) and len(sent) == 90
+
+
+def test_neighbours_in_bounded_memory():
+    """Tables of distances are made in parts: a batch of rows by all centres, and by all queries, whatever their number."""
+    r = np.random.default_rng(1)
+    v, centres, rows = r.random((3_000, 4)), r.random((2_500, 4)), r.random((3_000, 4)).astype(np.float32)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(3_000)), pa.FixedSizeListArray.from_arrays(rows.ravel(), 4).cast(pa.list_(pa.float32()))], names=["id", "v"])
+    tracemalloc.start()
+    cells = nearest._cells(v, centres, 1)
+    told = list(nearest._probe(np.arange(9_000, 12_000), v.astype(np.float32), 2)(iter([batch])))[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6  # 3,000 by 2,500 distances and their order take 120 MB
+    far = ((v[:, None] - centres[None]) ** 2).sum(axis=2)
+    assert (cells[:, 0] == far.argmin(axis=1)).all()
+    assert told.num_rows == 6_000
+    first = ((v[:50].astype(np.float32).astype(float)[:, None] - rows.astype(float)[None]) ** 2).sum(axis=2).min(axis=1) ** 0.5
+    assert np.allclose(told.column("distance").to_numpy()[:100:2], first, atol=1e-4)
