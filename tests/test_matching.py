@@ -217,3 +217,18 @@ def test_neighbours_in_bounded_memory():
     assert told.num_rows == 6_000
     first = ((v[:50].astype(np.float32).astype(float)[:, None] - rows.astype(float)[None]) ** 2).sum(axis=2).min(axis=1) ** 0.5
     assert np.allclose(told.column("distance").to_numpy()[:100:2], first, atol=1e-4)
+
+
+def test_few_and_many_queries_have_the_same_neighbours(spark, monkeypatch):
+    r = random.Random(8)
+    held = [(i, [float(r.randint(0, 2)) for _ in range(3)]) for i in range(200)] + [(7, [0.0, 0.0, 0.0]), (500, None)]
+    rows = spark.createDataFrame(held, "id long, v array<float>").repartition(3)
+    asked = rows.where("id % 10 = 0 or id = 500")
+    sent = nearest.k_nearest(asked, rows, "id", "v", 4)
+    assert "NestedLoop" not in sent._jdf.queryExecution().toString()  # no pairs of blocks
+    few = sorted(map(tuple, sent.collect()))
+    monkeypatch.setattr(nearest, "MOST_SENT", 3)
+    assert few == sorted(map(tuple, nearest.k_nearest(asked, rows, "id", "v", 4).collect())) and len(few) == 80
+    monkeypatch.setattr(nearest, "PAIRS", 50)
+    monkeypatch.setattr(nearest, "MOST_SENT", 300)
+    assert few == sorted(map(tuple, nearest.k_nearest(asked, rows, "id", "v", 4).collect()))
