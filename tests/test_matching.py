@@ -232,3 +232,27 @@ def test_few_and_many_queries_have_the_same_neighbours(spark, monkeypatch):
     monkeypatch.setattr(nearest, "PAIRS", 50)
     monkeypatch.setattr(nearest, "MOST_SENT", 300)
     assert few == sorted(map(tuple, nearest.k_nearest(asked, rows, "id", "v", 4).collect()))
+
+
+def test_many_queries_meet_the_rows_in_lots(spark, monkeypatch):
+    """No pairs of blocks are copied; lots and parts that share a task, and batches that end within them, change nothing."""
+    r = random.Random(9)
+    held = [(i, [float(r.randint(0, 3)) for _ in range(4)]) for i in range(300)] + [(7, [0.0, 0.0, 0.0, 0.0]), (500, None)]
+    rows = spark.createDataFrame(held, "id long, v array<float>").repartition(3)
+    asked = rows.where("id % 5 = 0 or id = 500")
+    few = sorted(map(tuple, nearest.k_nearest(asked, rows, "id", "v", 3).collect()))
+    monkeypatch.setattr(nearest, "MOST_SENT", 25)
+    monkeypatch.setattr(nearest, "ROWS_MET", 70, raising=False)
+    many = nearest.k_nearest(asked, rows, "id", "v", 3)
+    plan = many._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert few == sorted(map(tuple, many.collect())) and len(few) == 180
+    met = nearest._meetings(*(nearest._vectors(x, "id", "v") for x in (asked, rows))).coalesce(1).sortWithinPartitions("meeting", "row")
+    assert met.select("meeting").distinct().count() == 15
+    whole = met.toArrow().combine_chunks().to_batches()[0]
+    for size in (1, 7, 1_000):
+        told = pa.Table.from_batches(nearest._met(3)(whole.slice(at, size) for at in range(0, whole.num_rows, size))).to_pylist()
+        best = {}
+        for x in sorted(told, key=lambda x: (x["query"], x["distance"], x["neighbour"])):
+            best.setdefault(x["query"], []).append((x["neighbour"], x["distance"]))
+        assert few == sorted((q, n, d, i + 1) for q, near in best.items() for i, (n, d) in enumerate(near[:3]))
