@@ -80,6 +80,28 @@ def test_idle_games_and_recipients(spark):
     assert [r["missed"] for r in messages.missed_pongs(beats, "c", ["i"], F.col("pong")).orderBy("i").collect()] == [1, 2, 0, 1, 2, 0, 1]
 
 
+def test_recipients_are_dealt(spark, monkeypatch):
+    """A large game of small tables is sent in many tasks, with the same rows, repeated and null ones too."""
+    sent = spark.range(3_000).select(F.col("id").alias("message"), (F.col("id") % 2).alias("game")).coalesce(1)
+    players = spark.range(4_000).select((F.col("id") % 2).alias("game"), F.col("id").alias("player"), F.lit(True).alias("connected")).coalesce(1)
+    hosts = spark.createDataFrame([(0, "1"), (1, None)], "game long, host string")
+    rows = messages.recipients(sent, players, hosts).groupBy(F.spark_partition_id().alias("task"), "game").agg(F.count("*").alias("n"), F.sum("message").alias("m"), F.sum(F.col("message") * F.col("recipient").cast("long")).alias("both"))
+    found = rows.collect()
+    of = lambda game, up_to: sum(range(game, up_to, 2))
+    for game, host in ((0, 1), (1, 0)):
+        own = [r for r in found if r["game"] == game]
+        assert sum(r["n"] for r in own) == 1_500 * (2_000 + host) and sum(r["m"] for r in own) == of(game, 3_000) * (2_000 + host)
+        assert sum(r["both"] for r in own) == of(game, 3_000) * (of(game, 4_000) + host)
+    assert len({r["task"] for r in found}) > 1 and max(r["n"] for r in found) < 3_000_000
+    sent = spark.createDataFrame([(1, 5), (1, 5), (2, 5), (None, 5), (3, 6), (4, None), (5, 9)], "message long, game long")
+    players = spark.createDataFrame([(5, 1, True), (5, 1, True), (5, None, True), (5, 2, False), (6, 3, True), (None, 4, True), (8, 5, True)], "game long, player long, connected boolean")
+    hosts = spark.createDataFrame([(5, "1"), (6, None), (None, "h")], "game long, host string")
+    plain = [tuple(r) for r in messages.recipients(sent, players, hosts).collect()]
+    monkeypatch.setattr(messages, "ROWS_SENT", 3)
+    monkeypatch.setattr(messages, "BLOCK_ROWS", 2)
+    assert sorted(map(tuple, messages.recipients(sent, players, hosts).collect()), key=repr) == sorted(plain, key=repr) and len(plain) == 4 * 4 + 1
+
+
 def test_restored_games(spark):
     blobs = ['{"game_id": "a", "status": "game_over", "winning_pattern_name": "x"}', '{"status": "odd", "winning_pattern_name": "no", "last_activity": "soon"}', "{}", "{not json", None]
     rows = spark.createDataFrame(list(enumerate(blobs)), "i long, blob string")

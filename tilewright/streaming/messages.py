@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.running import running
+from ..operators.tables import join_few, settled
 from ..sources.deltas import created, names
 from .ordered import InOrder, in_order
 
@@ -61,15 +62,39 @@ def idle_games(games: DataFrame, players: DataFrame, waiters: DataFrame, now: Co
     return idle.join(here, "game", "left_anti")
 
 
+#: Rows of a block: a game's messages and those that they go to are dealt into blocks of about so many, and each block of the one meets each of the other.
+BLOCK_ROWS = 1_000
+
+#: Rows that one task is meant to send.
+ROWS_SENT = 5_000_000
+
+
 def recipients(messages: DataFrame, players: DataFrame, hosts: DataFrame) -> DataFrame:
     """(message, game, role, recipient): each message of a game with every connected player and the hosts that it goes to.
 
     ``messages`` has message and game, ``players`` game, player and connected, ``hosts`` game and host. The
-    rows are as many as what is sent; a large game's are dealt out by the join's skew handling.
+    rows are as many as what is sent, which grows with the square of a game, though its tables are small: blocks of a game's messages
+    and recipients meet in as many tasks as counts show rows for, and what is shuffled is a small part of the rows. A stream's
+    messages are joined as they come.
     """
     to = players.where("connected").select("game", F.lit("player").alias("role"), F.col("player").cast("string").alias("recipient"))
     to = to.unionByName(hosts.where("host is not null").select("game", F.lit("host").alias("role"), F.col("host").cast("string").alias("recipient")))
-    return messages.select("message", "game").join(to, "game").select("message", "game", "role", "recipient")
+    sent, out = messages.select("message", "game"), ["message", "game", "role", "recipient"]
+    if messages.isStreaming:
+        return sent.join(to, "game").select(out)
+    blocks = lambda rows, n: rows.groupBy("game").agg(F.count(F.lit(1)).alias(f"{n}_rows"), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias(n))
+    games = settled(blocks(sent, "_sent").join(blocks(to, "_to"), "game"))
+    total = games.agg(F.sum(F.col("_sent_rows") * F.col("_to_rows"))).first()[0] or 0
+    if total <= ROWS_SENT:
+        return sent.join(to, "game").select(out)
+    spark = messages.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, -(-total // ROWS_SENT))
+    own = lambda of, n: F.pmod(F.xxhash64(*of), n).alias(f"{n}_block")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias(f"{n}_block")
+    at = ["game", "_sent_block", "_to_block"]
+    sent = join_few(sent, games, ["game"]).select("message", "game", own(["message"], "_sent"), every("_to")).repartition(tasks, *at)
+    to = join_few(to, games, ["game"]).select("game", "role", "recipient", own(["role", "recipient"], "_to"), every("_sent")).repartition(tasks, *at)
+    return sent.join(to, at).select(out)
 
 
 class _Waiting(InOrder):
