@@ -17,15 +17,15 @@ def runs(rows: DataFrame, keys: list[str], pos: str, least: int = 1) -> DataFram
 
 
 def clustered(rows: DataFrame, keys: list[str], x: str, new: Column) -> DataFrame:
-    """Adds _cluster: counted up at each row for which ``new`` (of _gap, the step from the row before) holds."""
-    order = Window.partitionBy(*keys).orderBy(x)
+    """Adds _cluster: counted up at each row for which ``new`` (of _gap, the step from the row before) holds; rows without a value come last."""
+    order = Window.partitionBy(*keys).orderBy(F.col(x).asc_nulls_last())
     gaps = rows.withColumn("_gap", F.col(x) - F.lag(x).over(order))
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     return gaps.withColumn("_cluster", F.sum(F.when(new, 1).otherwise(0)).over(upto))
 
 
 def clusters_by_gap(rows: DataFrame, keys: list[str], x: str, tolerance: int, support: int = 1) -> DataFrame:
-    """(keys, center, n): values whose steps are at most ``tolerance`` are one cluster; its mean is truncated."""
+    """(keys, center, n): values whose steps are at most ``tolerance`` are one cluster; its mean is truncated. Null values count in a key's last cluster."""
     out = clustered(rows, keys, x, F.col("_gap") > tolerance).groupBy(*keys, "_cluster").agg(
         F.expr(f"cast(sum({x}) div count(*) as bigint)").alias("center"), F.count(F.lit(1)).alias("n")
     )
